@@ -69,3 +69,13 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
         return flat[:0]
     out_starts = np.cumsum(lengths) - lengths
     return flat[np.repeat(starts - out_starts, lengths) + np.arange(total)]
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder under the shared checkpoint folder, for tables that stages hand on."""
+    import uuid
+
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-checkpoints-"))
+    return f"{sc.getCheckpointDir()}/stages-{uuid.uuid4().hex}"

@@ -15,6 +15,7 @@ from .pii import pseudonymise
 from .sentence_pieces import encode as encode_pieces
 from .simhash import near_duplicates
 from .token_counts import count_tokens
+from .toxicity import fold_of, score, train
 from .url_filter import Rule, judge
 
 TOKEN_LIMIT = 1024
@@ -41,6 +42,12 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("kinds")), " ").alias("kinds"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -67,11 +74,17 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = (op1_embedding_dedup, op2_sentencepiece, op3_pii_surrogates, op5_packing, op6_license_scan, op7_url_filter, op8_token_counts, op9_fingerprint, op10_simhash_dedup)
+QUERIES = (op1_embedding_dedup, op2_sentencepiece, op3_pii_surrogates, op4_toxicity, op5_packing, op6_license_scan, op7_url_filter, op8_token_counts, op9_fingerprint, op10_simhash_dedup)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in (*QUERIES, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
