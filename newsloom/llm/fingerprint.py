@@ -13,6 +13,8 @@ BLOCK_ROWS = 2000
 QUANTILES = 64
 #: Blocks whose table is broadcast at most; beyond, it is joined by a shuffle.
 BROADCAST_BLOCKS = 200_000
+#: Buckets of several rows whose 8-byte keys are broadcast at most; beyond, texts are shuffled to them.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def canonical(text: Column) -> Column:
@@ -92,6 +94,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.char_length("text").cast("long").alias("n_chars"),
             F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
             wide_hash(F.col("c")).alias("h"),
+            F.xxhash64("c").alias("bucket"),
             wide_hash(F.col("e")).alias("eh"),
             F.substring(F.sha2(F.col("c").cast("binary"), 256), 1, 16).alias("long_h"),
             F.substring(F.sha2(F.col("e").cast("binary"), 256), 1, 16).alias("long_eh"),
@@ -118,9 +121,12 @@ def colliding_buckets(docs: DataFrame, found: DataFrame, text_col: str = "text")
     Only buckets of several rows are looked at. The smallest and the largest canonical text of a bucket are aggregated before
     they are shuffled, so a bucket that holds a third of all rows reaches one task as one row of each partition.
     """
-    several = found.groupBy("h").count().where("count > 1").select("h")
-    texts = docs.select(canonical(text_of(text_col)).alias("c")).withColumn("h", wide_hash(F.col("c")))
-    by_bytes = texts.join(several, "h", "left_semi").groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h")
+    several = checkpoint(found.groupBy("bucket").count().where("count > 1").select("bucket"))
+    if several.count() <= BROADCAST_BUCKETS:
+        several = F.broadcast(several)
+    texts = docs.select(canonical(text_of(text_col)).alias("c")).withColumn("bucket", F.xxhash64("c"))
+    members = texts.join(several, "bucket", "left_semi").select(wide_hash(F.col("c")).alias("h"), "c")
+    by_bytes = members.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h")
     every = found.select("h", F.col("long_h").alias("s")).union(found.select(F.col("eh").alias("h"), F.col("long_eh").alias("s")))
     by_digest = every.groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("h")
     return checkpoint(by_bytes.union(by_digest).distinct())
