@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -135,10 +136,125 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """docs without those that have a near duplicate of a smaller id (of rows with one id, one stays)."""
-    found = checkpoint(near_duplicates(docs, id_col, text_col, words_each))
+# Near copies by similarity: wide fingerprints find candidates, shingles decide.
+
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+#: Share of bits in which the word fingerprints of two texts of that similarity differ, and how many of such pairs are to be met.
+DIFFERING, TARGET = 0.073, 0.99
+#: Hashes that a text's shingles are compared by: all of a text of up to so many, else the smallest.
+SKETCH = 256
+REPRESENTATIVES = 4
+BROADCAST_IDS = 1_000_000
+
+
+def segments_for(n: int) -> tuple[int, int]:
+    """Bits of a segment, which grow with the logarithm of the number of texts, and how many segments meet the target."""
+    bits = min(60, max(20, math.ceil(math.log2(max(2, n))) + 6))
+    found = (1 - DIFFERING) ** bits + bits * DIFFERING * (1 - DIFFERING) ** (bits - 1)
+    return bits, math.ceil(math.log(1 - TARGET) / math.log(1 - found))
+
+
+def copy_profiles(docs: DataFrame, bits: int, segments: int, id_col: str, text_col: str) -> DataFrame:
+    """id, exact (a hash of the words), segments array<long> (a SimHash over the distinct words), of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+
+        n_bits = bits * segments
+        n_bytes = -(-n_bits // 128) * 16
+        known: dict[bytes, np.ndarray] = {}
+
+        def spread(word: bytes) -> np.ndarray:
+            if (row := known.get(word)) is None:
+                if len(known) > 100_000:
+                    known.clear()
+                row = known[word] = np.unpackbits(np.frombuffer(b"".join(xxh3_128_digest(word, i) for i in range(n_bytes // 16)), dtype=np.uint8))[:n_bits]
+            return row
+
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            for part in slices_by_bytes(batch, "text", BATCH_BYTES):
+                exact, found = [], []
+                for text in part.column("text").to_pylist():
+                    words = text.encode("utf-8", "replace").lower().split()
+                    exact.append(xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
+                    counts, own = np.zeros(n_bits, dtype=np.int64), list(set(words))
+                    for i in range(0, len(own), 4096):
+                        counts += np.array([spread(w) for w in own[i : i + 4096]]).sum(axis=0, dtype=np.int64)
+                    found.append(((counts * 2 > len(own)).reshape(segments, bits) * weights).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(exact, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "exact", "segments"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, exact long, segments array<long>")
+
+
+def shingle_sketches(texts: DataFrame, words_each: int) -> DataFrame:
+    """id and the smallest SKETCH distinct shingle hashes, of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices_by_bytes(batch, "text", BATCH_BYTES):
+                found = [np.unique(np.array(shingle_hashes(t, words_each), dtype=np.uint64) >> np.uint64(1))[:SKETCH].astype(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "sketch"])
+
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, sketch array<long>")
+
+
+def candidate_pairs(classes: DataFrame, bits: int) -> DataFrame:
+    """(a, b): classes (id, segments) that share a segment up to one bit, each with some of those that it shares a bucket with.
+
+    Index entries are whole segments and segments with one bit deleted. A bucket is not paired with itself: each member is
+    paired with REPRESENTATIVES of the bucket, drawn anew in each, so a bucket of any size gives rows in proportion to its
+    members, and large groups are linked by way of many buckets.
+    """
+    at = F.sequence(F.lit(0), F.lit(bits))
+
+    def variants(segment: Column, which: Column) -> Column:
+        one = F.lit(1).cast("long")
+        return F.transform(at, lambda p: F.xxhash64(which, p, F.when(p == bits, segment).otherwise(segment.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", one, p))))))
+
+    keys = F.flatten(F.transform("segments", variants))
+    index = classes.select("id", F.explode(keys).alias("key")).repartition("key")
+    draws = [F.min(F.xxhash64("id", "key", F.lit(r))).alias(f"r{r}") for r in range(REPRESENTATIVES)]
+    buckets = index.groupBy("key").agg(F.count("*").alias("n"), *draws).where("n > 1").drop("n")
+    shared = checkpoint(index.join(buckets, "key"))
+    chosen = shared.where(" or ".join(f"xxhash64(id, key, {r}) = r{r}" for r in range(REPRESENTATIVES))).select("key", F.col("id").alias("b"))
+    met = shared.select("key", F.col("id").alias("a")).join(chosen, "key").where("a <> b")
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """id and component (the smallest id reachable over links, its own included) of every row.
+
+    Two texts link if the Jaccard similarity of their word shingles is as high as asked: exact for texts of up to SKETCH
+    distinct shingles, else estimated from the smallest SKETCH hashes of both. Texts of the same words in a row (without
+    regard to case and white space) are one class from the start. Candidates come from SimHash segments that differ in one bit at
+    most. Null and empty texts are one class. Rows without an id are in no component but their own.
+    """
+    ship_package(docs.sparkSession)
+    bits, segments = segments_for(docs.count())
+    found = checkpoint(copy_profiles(docs, bits, segments, id_col, text_col))
+    classes = checkpoint(found.where("id is not null").groupBy("exact").agg(F.min("id").alias("id"), F.first("segments").alias("segments")))
+    pairs = checkpoint(candidate_pairs(classes.select("id", "segments"), bits))
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = checkpoint(wanted)
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(wanted, "id", "left_semi")
+    sketches = checkpoint(shingle_sketches(texts, words_each).groupBy("id").agg(F.first("sketch").alias("sketch")))
+    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+    union = F.array_sort(F.array_union("x", "y"))
+    least = F.when((F.size("x") < SKETCH) & (F.size("y") < SKETCH), union).otherwise(F.slice(union, 1, SKETCH))
+    links = both.where(F.size(F.array_intersect(F.array_intersect("x", "y"), least)) >= F.size(least) * similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = connected_components(links).withColumnRenamed("u", "id")
+    named = classes.select("exact", "id").join(roots, "id", "left").select("exact", F.coalesce("root", "id").alias("component"))
+    return found.join(named, "exact", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """docs without those that have a near copy of a smaller id; of rows with one id one stays, and all rows without an id."""
+    found = checkpoint(near_copies(docs, id_col, text_col, words_each, similarity))
     dropped = found.where(F.col(id_col) != F.col("component")).select(id_col).distinct()
     kept = docs.join(dropped, id_col, "left_anti")
-    n, distinct = found.agg(F.count("*"), F.count_distinct(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).first()
-    return kept if n == distinct else kept.dropDuplicates([id_col])
+    n, distinct = found.agg(F.count(id_col), F.count_distinct(id_col)).first()
+    return kept if n == distinct else kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
