@@ -20,8 +20,9 @@ CLASS = np.full(256, OTHER, dtype=np.uint8)
 CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
 CLASS[[*range(9, 14), 32]] = SPACE
 CLASS[48:58] = DIGIT
-#: Texts in which classes of bytes don't tell all: contractions, special tokens, characters beyond ASCII that are no letters.
-ODD = r"[^\x00-\x7f\p{L}]|'|<\|"
+#: Texts in which classes of bytes don't tell all: contractions, special tokens, characters beyond ASCII that are no letters or,
+#: like the dotted capital I, become a letter and a mark in lower case.
+ODD = r"[^\x00-\x7f\p{L}]|\x{130}|'|<\|"
 
 
 class Cache:
