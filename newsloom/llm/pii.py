@@ -47,6 +47,7 @@ SYLLABLES = {
     "cyrillic": ["ба", "ден", "гор", "кал", "лин", "мар", "нов", "пет", "рас", "сел", "тор", "вер"],
     "greek": ["βα", "δεν", "γορ", "καλ", "λιν", "μαρ", "νοβ", "περ", "σελ", "τορ"],
 }
+TITLES |= {t.upper(): g for t, g in TITLES.items()}
 NAME = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.? )([^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){0,2})")
 GIVEN_GENDER = {n.lower(): g for (_, g), names in GIVEN.items() for n in names}
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýß"]
