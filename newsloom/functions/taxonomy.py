@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import bound
+
 
 @dataclass(frozen=True)
 class Taxonomy:
@@ -40,8 +42,8 @@ def contained(text: Column, words: list[str]) -> Column:
 
 
 def matched_topics(text: Column, topics: list[str], most: int = 10) -> Column:
-    lowered = F.lower(text)
-    return F.slice(F.filter(F.lit(list(topics)), lambda t: F.contains(lowered, F.lower(t))), 1, most)
+    found = bound(F.lower(F.coalesce(text, F.lit(""))), lambda lowered: F.filter(F.lit(list(topics)), lambda t: F.contains(lowered, F.lower(t))))
+    return F.slice(found, 1, most)
 
 
 def pillar_of(title: Column, body: Column, taxonomy: Taxonomy) -> Column:
@@ -49,18 +51,35 @@ def pillar_of(title: Column, body: Column, taxonomy: Taxonomy) -> Column:
 
     Where nothing scores, the first list with a word in the title decides, and else it is pillar 1.
     """
-    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit(""))))
     ids = sorted(taxonomy.pillars)
-    scores = F.array(*[(contained(text, taxonomy.keywords.get(i, [])) * 2 + contained(text, [t for t, p in taxonomy.topics.items() if p == i]) * 3).cast("int") for i in ids])
-    lowered = F.lower(F.coalesce(title, F.lit("")))
-    fallback = F.lit(1)
-    for pillar, words in reversed(taxonomy.title_words):
-        fallback = F.when(contained(lowered, words) > 0, F.lit(pillar)).otherwise(fallback)
-    best = F.array_max(scores)
-    return F.when(best == 0, fallback).otherwise(F.element_at(F.lit(ids), F.array_position(scores, best).cast("int"))).cast("int")
+    own_topics = {i: [t for t, p in taxonomy.topics.items() if p == i] for i in ids}
+
+    def scores(text: Column) -> Column:
+        return F.array(*[(contained(text, taxonomy.keywords.get(i, [])) * 2 + contained(text, own_topics[i]) * 3).cast("int") for i in ids])
+
+    def by_title(lowered: Column) -> Column:
+        pillar = F.lit(1)
+        for other, words in reversed(taxonomy.title_words):
+            pillar = F.when(contained(lowered, words) > 0, F.lit(other)).otherwise(pillar)
+        return pillar
+
+    def best(found: Column) -> Column:
+        return F.when(F.array_max(found) > 0, F.get(F.lit(ids), F.array_position(found, F.array_max(found)).cast("int") - 1))
+
+    fallback = bound(F.lower(F.coalesce(title, F.lit(""))), by_title)
+    return F.coalesce(bound(_whole(title, body), lambda text: bound(scores(text), best)), fallback).cast("int")
+
+
+def _whole(title: Column, body: Column) -> Column:
+    return F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit(""))))
 
 
 def scope_of(title: Column, body: Column, taxonomy: Taxonomy) -> Column:
-    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit(""))))
-    home, local, world = (contained(text, w) for w in (taxonomy.home_words, taxonomy.local_words, taxonomy.world_words))
-    return F.when((local >= 2) & (home > 0), "local").when(home > world, "national").otherwise("global")
+    def counts(text: Column) -> Column:
+        return F.array(*[contained(text, w) for w in (taxonomy.home_words, taxonomy.local_words, taxonomy.world_words)])
+
+    def named(n: Column) -> Column:
+        home, local, world = (F.get(n, F.lit(i)) for i in range(3))
+        return F.when((local >= 2) & (home > 0), "local").when(home > world, "national").otherwise("global")
+
+    return bound(_whole(title, body), lambda text: bound(counts(text), named))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def _or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at the ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -89,9 +96,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def truncate_words(text: Column, most: int) -> Column:
     """The text if it has at most that many words, else its first ones and an ellipsis."""
-    all_words = words(text)
-    cut = F.concat(F.rtrim(F.array_join(F.slice(all_words, 1, most), " "), F.lit(CUT_ENDING)), F.lit(ELLIPSIS))
-    return F.when(F.size(all_words) <= most, _or_empty(text)).otherwise(cut)
+
+    def cut(all_words: Column) -> Column:
+        first = F.rtrim(F.array_join(F.slice(all_words, 1, most), " "), F.lit(CUT_ENDING))
+        return F.when(F.size(all_words) > most, F.concat(first, F.lit(ELLIPSIS)))
+
+    return bound(_or_empty(text), lambda t: F.coalesce(bound(words(t), cut), t))
 
 
 def sentences(text: Column) -> Column:
@@ -106,10 +116,14 @@ def first_sentences(text: Column, n: int = 2) -> Column:
 
 def restates_title(summary: Column, title: Column, threshold: float = 0.75) -> Column:
     """Whether a summary only says again what the title says."""
-    s, t = normalise_title(summary), normalise_title(title)
-    title_words = token_set(title)
-    overlap = F.size(F.array_intersect(token_set(summary), title_words)) / F.greatest(F.size(title_words), F.lit(1))
-    return F.when((_or_empty(summary) == "") | (_or_empty(title) == "") | (F.char_length(t) < 8), F.lit(False)).otherwise(s.startswith(t) | (overlap >= threshold))
+
+    def judged(s: Column, t: Column) -> Column:
+        title_words = F.array_distinct(words(t))
+        overlap = F.size(F.array_intersect(F.array_distinct(words(s)), title_words)) / F.greatest(F.size(title_words), F.lit(1))
+        return (F.char_length(t) >= 8) & (s.startswith(t) | (overlap >= threshold))
+
+    both = bound(normalise_title(summary), lambda s: bound(normalise_title(title), lambda t: judged(s, t)))
+    return F.when((_or_empty(summary) == "") | (_or_empty(title) == ""), F.lit(False)).otherwise(both)
 
 
 def slug(name: Column) -> Column:

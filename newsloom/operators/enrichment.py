@@ -20,13 +20,15 @@ Provider = Callable[[pd.DataFrame], pd.Series]
 
 def by_rules(title: Column, body: Column, category: Column) -> Column:
     """An enriched struct from the article alone: truncated title, first sentences, truncated body."""
-    clean = text.clean_markup(body)
-    first = text.first_sentences(clean, 2)
-    short = text.truncate_words(clean, 180)
+    return text.bound(text.clean_markup(body), lambda clean: _by_rules(title, clean, category))
+
+
+def _by_rules(title: Column, clean: Column, category: Column) -> Column:
+    opening = text.bound(text.first_sentences(clean, 2), lambda s: F.when(s == "", title).otherwise(s))
     return F.struct(
         text.truncate_words(title, 12).alias("refined_title"),
-        text.truncate_words(F.when(first == "", title).otherwise(first), 55).alias("summary"),
-        F.when(short == "", title).otherwise(short).alias("full_body"),
+        text.truncate_words(opening, 55).alias("summary"),
+        text.bound(text.truncate_words(clean, 180), lambda s: F.when(s == "", title).otherwise(s)).alias("full_body"),
         category.alias("category"), F.array().cast("array<string>").alias("topic_tags"), F.lit(False).alias("is_trending"),
         F.lit("neutral").alias("sentiment"), F.lit("").alias("when_info"), F.lit("Not specified").alias("where_info"),
     )
@@ -58,7 +60,7 @@ def repaired(rows: DataFrame, title: str = "title", body: str = "body", category
         F.coalesce(F.col(f"{raw}.is_trending"), F.lit(False)).alias("is_trending"), F.coalesce(F.col(f"{raw}.sentiment"), F.lit("neutral")).alias("sentiment"),
         F.coalesce(F.col(f"{raw}.when_info"), empty).alias("when_info"), F.coalesce(F.col(f"{raw}.where_info"), F.lit("Not specified")).alias("where_info"),
     )
-    ruled = by_rules(F.col(title), F.col(body), F.col(category))
+    ruled = _by_rules(F.col(title), F.col("__clean"), F.col(category))
     return steps.withColumn("enriched", F.when(F.col(raw).isNull(), ruled).otherwise(mended)).drop("__clean", "__title", "__s1", "__s2", "__s3", "__b")
 
 
