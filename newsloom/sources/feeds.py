@@ -11,7 +11,7 @@ from ..functions.taxonomy import Taxonomy, matched_topics, pillar_of, scope_of
 
 # Entries of a feed that count, and characters of the short texts.
 ENTRIES_PER_FEED, SHORT, DESCRIPTION = 36, 200, 400
-RSS_ITEM = "title string, link string, description string, pubDate string, enclosure struct<_type: string, _url: string>"
+RSS_ITEM = "title string, link string, description string, pubDate string, enclosure struct<_type string, _url string>"
 
 
 def rss_items(spark: SparkSession, path: str) -> DataFrame:

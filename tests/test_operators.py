@@ -103,6 +103,16 @@ def test_feed_files(spark, tmp_path):
     assert [(r["source_name"], r["full_body"], r["published_at"]) for r in got] == [("S", "d", dt.datetime(2024, 1, 31))]
 
 
+def test_live_feeds(spark, tmp_path):
+    from newsloom.sources import http
+
+    for k in range(12):
+        (tmp_path / f"{k}.xml").write_text(f"<rss><channel><title>c</title><item><title>A{k}</title><link>http://a/{k}</link><description>d</description></item><item><title>B</title><link>http://b/{k}</link></item></channel></rss>")
+    found = feeds.capped(http.items_of(http.pulled(spark, [*(f"file://{tmp_path}/{k}.xml" for k in range(12)), "file:///nowhere.xml"])))
+    assert found.count() == 24 and found.where("pos = 1").count() == 12
+    assert feeds.raw_articles(found, DEMO, as_of(), F.col("feed")).count() == 24
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = beats(spark, [(u, 1, f"2024-01-{d:02d} 10:00:{d:02d}", u + d, 1) for u in (1, 2) for d in (1, 2, 3)])
     rows.write.parquet(str(tmp_path / "in"))
