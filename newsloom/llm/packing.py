@@ -20,7 +20,7 @@ MAX_TOKENS = 4096
 END_ID = 2
 BATCH_BYTES = 16 << 20
 #: Rows of one length that a rank is counted over in one window group, on average.
-RANK_ROWS = 50_000
+RANK_ROWS = 2_000
 
 _caches: dict[str, Cache] = {}
 
