@@ -423,12 +423,11 @@ def validate_enrichment(spark, d):
 
 @query(S.with_(BEATS) + "SELECT user_id, ts::DATE::VARCHAR AS session_date, sum(duration_sec)::BIGINT AS duration_sec FROM beats GROUP BY ALL")
 def stream_daily_activity(spark, d):
-    import uuid
-
+    from ..session import shared_folder
     from ..streaming import activity as stream
 
     schema = A.table(spark, d, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     beats = raw.select("ts", "user_id", scalars.clamp(F.floor("value"), 0, 60).cast("long").alias("duration_sec"))
-    out = stream.run_available(stream.daily_activity(beats, lateness=None), f"daily_{uuid.uuid4().hex}")
+    out = stream.run_available(stream.daily_activity(beats, lateness=None), shared_folder(spark, "daily"))
     return out.withColumn("session_date", F.col("session_date").cast("string"))

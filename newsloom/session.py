@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +21,9 @@ def build_session(name: str = "newsloom", master: str | None = None, **more: str
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | more).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one in spark.checkpoint.dir, which all executors see; under a temporary one where it is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-")
+    return f"{top}/{name}-{uuid.uuid4().hex}"

@@ -24,12 +24,21 @@ def sessions(beats: DataFrame, gap: str = "30 minutes", lateness: str = "2 days"
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.sum("duration_sec").alias("duration_sec"), F.count("*").alias("beats"))
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete") -> DataFrame:
-    """All input that is there now, into an in-memory table for small results."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """All input that is there now; the whole result after the last batch, written as Parquet under the folder and read again.
+
+    A batch that is run again after a failure overwrites its own result.
+    """
+    result, batches = f"{folder}/result", []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{result}/batch={number}")
+        batches.append(number)
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    return spark.read.parquet(f"{result}/batch={max(batches)}") if batches else spark.createDataFrame([], stream.schema)
 
 
 def run_every(stream: DataFrame, path: str, checkpoint: str, interval: str = "25 minutes"):

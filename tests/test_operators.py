@@ -116,5 +116,5 @@ def test_live_feeds(spark, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     rows = beats(spark, [(u, 1, f"2024-01-{d:02d} 10:00:{d:02d}", u + d, 1) for u in (1, 2) for d in (1, 2, 3)])
     rows.write.parquet(str(tmp_path / "in"))
-    live = stream.run_available(stream.daily_activity(stream.heartbeat_stream(spark, str(tmp_path / "in"), rows.schema), lateness=None), "live")
+    live = stream.run_available(stream.daily_activity(stream.heartbeat_stream(spark, str(tmp_path / "in"), rows.schema), lateness=None), str(tmp_path / "out"))
     assert {tuple(r) for r in live.collect()} == {(r["user_id"], r["session_date"], r["duration_sec"]) for r in activity.daily_activity(rows).collect()}
