@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: Share of bits in which the word fingerprints of two texts of that similarity differ, and how many of such pairs are to be met.
-DIFFERING, TARGET = 0.073, 0.99
+DIFFERING, TARGET = 0.073, 0.97
 #: Hashes that a text's shingles are compared by: all of a text of up to so many, else the smallest.
 SKETCH = 256
 REPRESENTATIVES = 4
@@ -149,7 +149,7 @@ BROADCAST_IDS = 1_000_000
 
 def segments_for(n: int) -> tuple[int, int]:
     """Bits of a segment, which grow with the logarithm of the number of texts, and how many segments meet the target."""
-    bits = min(60, max(20, math.ceil(math.log2(max(2, n))) + 6))
+    bits = min(48, max(20, math.ceil(math.log2(max(2, n))) + 6))
     found = (1 - DIFFERING) ** bits + bits * DIFFERING * (1 - DIFFERING) ** (bits - 1)
     return bits, math.ceil(math.log(1 - TARGET) / math.log(1 - found))
 
@@ -194,33 +194,42 @@ def shingle_sketches(texts: DataFrame, words_each: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices_by_bytes(batch, "text", BATCH_BYTES):
-                found = [np.unique(np.array(shingle_hashes(t, words_each), dtype=np.uint64) >> np.uint64(1))[:SKETCH].astype(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "sketch"])
+                found = [np.unique(np.array(shingle_hashes(t, words_each), dtype=np.uint64) >> np.uint64(33))[:SKETCH].astype(np.int32) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(pa.int32()))], names=["id", "sketch"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, sketch array<long>")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, sketch array<int>")
 
 
-def candidate_pairs(classes: DataFrame, bits: int) -> DataFrame:
+def candidate_pairs(classes: DataFrame, bits: int, segments: int) -> DataFrame:
     """(a, b): classes (id, segments) that share a segment up to one bit, each with some of those that it shares a bucket with.
 
     Index entries are whole segments and segments with one bit deleted. A bucket is not paired with itself: each member is
     paired with REPRESENTATIVES of the bucket, drawn anew in each, so a bucket of any size gives rows in proportion to its
-    members, and large groups are linked by way of many buckets.
+    members, and large groups are linked by way of many buckets. Pairs whose fingerprints differ in far more bits than those
+    of near copies do are dropped.
     """
-    at = F.sequence(F.lit(0), F.lit(bits))
 
     def variants(segment: Column, which: Column) -> Column:
         one = F.lit(1).cast("long")
-        return F.transform(at, lambda p: F.xxhash64(which, p, F.when(p == bits, segment).otherwise(segment.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", one, p))))))
+
+        def entry(p: Column) -> Column:
+            rest = F.when(p == bits, segment).otherwise(segment.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", one, p))))
+            return F.shiftleft(rest, 12).bitwiseOR(F.shiftleft(which.cast("long"), 6)).bitwiseOR(p.cast("long"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(bits)), entry)
 
     keys = F.flatten(F.transform("segments", variants))
-    index = classes.select("id", F.explode(keys).alias("key")).repartition("key")
-    draws = [F.min(F.xxhash64("id", "key", F.lit(r))).alias(f"r{r}") for r in range(REPRESENTATIVES)]
-    buckets = index.groupBy("key").agg(F.count("*").alias("n"), *draws).where("n > 1").drop("n")
-    shared = checkpoint(index.join(buckets, "key"))
-    chosen = shared.where(" or ".join(f"xxhash64(id, key, {r}) = r{r}" for r in range(REPRESENTATIVES))).select("key", F.col("id").alias("b"))
-    met = shared.select("key", F.col("id").alias("a")).join(chosen, "key").where("a <> b")
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # One row becomes hundreds: dealt out first, so that few small partitions don't make few large tasks.
+    dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    index = dealt.select("id", F.explode(keys).alias("key")).repartition("key")
+    drawn = [F.min_by("id", F.xxhash64("id", "key", F.lit(r))).alias(f"b{r}") for r in range(REPRESENTATIVES)]
+    buckets = index.groupBy("key").agg(F.count("*").alias("n"), *drawn).where("n > 1")
+    met = index.join(buckets, "key").select(F.col("id").alias("x"), F.explode(F.array_distinct(F.array(*[f"b{r}" for r in range(REPRESENTATIVES)]))).alias("y")).where("x <> y")
+    pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("segments").alias("p")), "a").join(classes.select(F.col("id").alias("b"), F.col("segments").alias("q")), "b")
+    expected = bits * segments * DIFFERING
+    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda m, x: m + x)
+    return both.where(apart <= int(expected + 6 * expected**0.5)).select("a", "b")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
@@ -235,13 +244,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits, segments = segments_for(docs.count())
     found = checkpoint(copy_profiles(docs, bits, segments, id_col, text_col))
     classes = checkpoint(found.where("id is not null").groupBy("exact").agg(F.min("id").alias("id"), F.first("segments").alias("segments")))
-    pairs = checkpoint(candidate_pairs(classes.select("id", "segments"), bits))
+    pairs = checkpoint(candidate_pairs(classes.select("id", "segments"), bits, segments))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = checkpoint(wanted)
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(wanted, "id", "left_semi")
-    sketches = checkpoint(shingle_sketches(texts, words_each).groupBy("id").agg(F.first("sketch").alias("sketch")))
+    sketches = checkpoint(shingle_sketches(texts, words_each))
     both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
     union = F.array_sort(F.array_union("x", "y"))
     least = F.when((F.size("x") < SKETCH) & (F.size("y") < SKETCH), union).otherwise(F.slice(union, 1, SKETCH))
