@@ -114,7 +114,8 @@ def signatures(found: DataFrame) -> DataFrame:
 
 def near_links(found: DataFrame) -> DataFrame:
     """All pairs (u > v) of distinct fingerprints in `found` (fp, each once) that differ in one or two bits."""
-    index = signatures(found)
+    # One row becomes a hundred: dealt out first, so that few small partitions don't make few large tasks.
+    index = signatures(found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     left = index.where("side = 0").select("key", F.col("fp").alias("a"))
     right = index.where("side = 1").select("key", F.col("fp").alias("b"))
     close = left.join(right, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
