@@ -91,3 +91,15 @@ def topic_tree(topics: DataFrame, pillars: DataFrame) -> DataFrame:
 
 def topic_search(topics: DataFrame, query: str, most: int = 40) -> DataFrame:
     return topics.where(F.contains(F.lower("name"), F.lit(query.lower()))).orderBy("position").limit(most)
+
+
+def details(articles: DataFrame, actions: DataFrame) -> DataFrame:
+    """articles with engagement, and shown_engagement: what the latest reader was shown, which is the count before that read."""
+    reads = actions.where("action = 'read'").groupBy(F.col("article_id").alias("id")).agg(F.count("*").alias("engagement"))
+    joined = articles.join(reads, "id", "left").withColumn("engagement", F.coalesce("engagement", F.lit(0)).cast("long"))
+    return joined.withColumn("shown_engagement", F.greatest(F.col("engagement") - 1, F.lit(0)).cast("long"))
+
+
+def recents(articles: DataFrame, offset: int, most: int) -> DataFrame:
+    """The newest articles from a place on."""
+    return articles.orderBy(*newest()).offset(offset).limit(most)

@@ -239,6 +239,16 @@ def topic_search(spark, d):
     return browse.topic_search(A.DEMO.topic_table(spark), "ER").select("name", "pillar_id", "slug")
 
 
+@query(S.with_(PLAIN, ACTIONS) + ", r AS (SELECT article_id AS id, count(*) AS n FROM actions WHERE action = 'read' GROUP BY 1) SELECT id, headline, coalesce(n, 0)::BIGINT AS engagement, greatest(coalesce(n, 0) - 1, 0)::BIGINT AS shown_engagement FROM articles LEFT JOIN r USING (id)")
+def article_details(spark, d):
+    return browse.details(A.articles(spark, d, classified=False), A.interactions(spark, d)).select("id", "headline", "engagement", "shown_engagement")
+
+
+@query(S.with_(PLAIN) + "SELECT id, headline FROM articles ORDER BY published_at DESC, id DESC LIMIT 25 OFFSET 40")
+def recents_offset(spark, d):
+    return browse.recents(A.articles(spark, d, classified=False), 40, 25).select("id", "headline")
+
+
 # Activity
 
 
