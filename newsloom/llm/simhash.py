@@ -205,8 +205,8 @@ def candidate_pairs(classes: DataFrame, bits: int, segments: int) -> DataFrame:
     """(a, b): classes (id, segments) that share a segment up to one bit, each with some of those that it shares a bucket with.
 
     Index entries are whole segments and segments with one bit deleted. A bucket is not paired with itself: each member is
-    paired with REPRESENTATIVES of the bucket, drawn anew in each, so a bucket of any size gives rows in proportion to its
-    members, and large groups are linked by way of many buckets. Pairs whose fingerprints differ in far more bits than those
+    paired with REPRESENTATIVES of the bucket, those of the smallest hashes, so a bucket of any size gives rows in proportion to
+    its members, and buckets of one large group mostly have the same few representatives. Pairs whose fingerprints differ in far more bits than those
     of near copies do are dropped.
     """
 
@@ -223,7 +223,7 @@ def candidate_pairs(classes: DataFrame, bits: int, segments: int) -> DataFrame:
     # One row becomes hundreds: dealt out first, so that few small partitions don't make few large tasks.
     dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     index = dealt.select("id", F.explode(keys).alias("key")).repartition("key")
-    drawn = [F.min_by("id", F.xxhash64("id", "key", F.lit(r))).alias(f"b{r}") for r in range(REPRESENTATIVES)]
+    drawn = [F.min_by("id", F.xxhash64("id", F.lit(r))).alias(f"b{r}") for r in range(REPRESENTATIVES)]
     buckets = index.groupBy("key").agg(F.count("*").alias("n"), *drawn).where("n > 1")
     met = index.join(buckets, "key").select(F.col("id").alias("x"), F.explode(F.array_distinct(F.array(*[f"b{r}" for r in range(REPRESENTATIVES)]))).alias("y")).where("x <> y")
     pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
