@@ -142,8 +142,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: Share of bits in which the word fingerprints of two texts of that similarity differ, and how many of such pairs are to be met.
 DIFFERING, TARGET = 0.073, 0.97
-#: Hashes that a text's shingles are compared by: all of a text of up to so many, else the smallest.
-SKETCH = 256
 REPRESENTATIVES = 4
 BROADCAST_IDS = 1_000_000
 
@@ -189,16 +187,16 @@ def copy_profiles(docs: DataFrame, bits: int, segments: int, id_col: str, text_c
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, exact long, segments array<long>")
 
 
-def shingle_sketches(texts: DataFrame, words_each: int) -> DataFrame:
-    """id and the smallest SKETCH distinct shingle hashes, of (id, text)."""
+def shingle_sets(texts: DataFrame, words_each: int) -> DataFrame:
+    """id and all distinct shingle hashes, of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices_by_bytes(batch, "text", BATCH_BYTES):
-                found = [np.unique(np.array(shingle_hashes(t, words_each), dtype=np.uint64) >> np.uint64(33))[:SKETCH].astype(np.int32) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(pa.int32()))], names=["id", "sketch"])
+                found = [np.unique(np.array(shingle_hashes(t, words_each), dtype=np.uint64)).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, sketch array<int>")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
 def candidate_pairs(classes: DataFrame, bits: int, segments: int) -> DataFrame:
@@ -236,8 +234,7 @@ def candidate_pairs(classes: DataFrame, bits: int, segments: int) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """id and component (the smallest id reachable over links, its own included) of every row.
 
-    Two texts link if the Jaccard similarity of their word shingles is as high as asked: exact for texts of up to SKETCH
-    distinct shingles, else estimated from the smallest SKETCH hashes of both. Texts of the same words in a row (without
+    Two texts link if the Jaccard similarity of their word shingles, counted over all of them, is as high as asked. Texts of the same words in a row (without
     regard to case and white space) are one class from the start. Candidates come from SimHash segments that differ in one bit at
     most. Null and empty texts are one class. Rows without an id are in no component but their own.
     """
@@ -251,11 +248,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(wanted, "id", "left_semi")
-    sketches = checkpoint(shingle_sketches(texts, words_each))
-    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    union = F.array_sort(F.array_union("x", "y"))
-    least = F.when((F.size("x") < SKETCH) & (F.size("y") < SKETCH), union).otherwise(F.slice(union, 1, SKETCH))
-    links = both.where(F.size(F.array_intersect(F.array_intersect("x", "y"), least)) >= F.size(least) * similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    sets = checkpoint(shingle_sets(texts, words_each))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    links = both.where(shared >= (F.size("x") + F.size("y") - shared) * similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = connected_components(links).withColumnRenamed("u", "id")
     named = classes.select("exact", "id").join(roots, "id", "left").select("exact", F.coalesce("root", "id").alias("component"))
     return found.join(named, "exact", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))

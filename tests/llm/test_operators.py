@@ -373,3 +373,13 @@ def test_near_copies_equal_brute_force(spark):
     near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     expected = groups(near, sets)
     assert np.mean([got[i] == expected[i] for i in sets]) > 0.95
+
+
+def test_near_copies_count_all_shingles_of_long_texts(spark):
+    rng = random.Random(10)
+    rows = []
+    for g in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(604)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[: 486 if g % 2 else 482]))]  # 482 or 478 of 600 shingles
+    got = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [g for g in range(60) if (got[2 * g] == got[2 * g + 1]) != bool(g % 2)] == []
