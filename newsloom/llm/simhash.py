@@ -137,54 +137,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-# Near copies by similarity: wide fingerprints find candidates, shingles decide.
+# Near copies by similarity: MinHash keys of the shingles find candidates, shingles decide.
 
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
-#: Share of bits in which the word fingerprints of two texts of that similarity differ, and how many of such pairs are to be met.
-DIFFERING, TARGET = 0.073, 0.97
+#: Smallest hashes that one key is made of, and how many of the pairs at the very similarity asked for are to share a key.
+KEY_HASHES, TARGET = 5, 0.9995
 REPRESENTATIVES = 4
 BROADCAST_IDS = 1_000_000
 
 
-def segments_for(n: int) -> tuple[int, int]:
-    """Bits of a segment, which grow with the logarithm of the number of texts, and how many segments meet the target."""
-    bits = min(48, max(20, math.ceil(math.log2(max(2, n))) + 6))
-    found = (1 - DIFFERING) ** bits + bits * DIFFERING * (1 - DIFFERING) ** (bits - 1)
-    return bits, math.ceil(math.log(1 - TARGET) / math.log(1 - found))
+def keys_for(similarity: float) -> int:
+    """How many keys meet the target: two texts share one with the similarity to the power of KEY_HASHES, whatever the kind of edit."""
+    found = min(1 - 1e-9, max(0.05, similarity) ** KEY_HASHES)
+    return math.ceil(math.log(1 - TARGET) / math.log(1 - found))
 
 
-def copy_profiles(docs: DataFrame, bits: int, segments: int, id_col: str, text_col: str) -> DataFrame:
-    """id, exact (a hash of the words), segments array<long> (a SimHash over the distinct words), of every row."""
+def distinct_shingles(text: str, words_each: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words_each), dtype=np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-        n_bits = bits * segments
-        n_bytes = -(-n_bits // 128) * 16
-        known: dict[bytes, np.ndarray] = {}
+def copy_profiles(docs: DataFrame, n_keys: int, words_each: int, id_col: str, text_col: str) -> DataFrame:
+    """id, exact (a hash of the words), size (distinct shingles), keys array<long> (none without words), of every row."""
 
-        def spread(word: bytes) -> np.ndarray:
-            if (row := known.get(word)) is None:
-                if len(known) > 100_000:
-                    known.clear()
-                row = known[word] = np.unpackbits(np.frombuffer(b"".join(xxh3_128_digest(word, i) for i in range(n_bytes // 16)), dtype=np.uint8))[:n_bits]
-            return row
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
 
-        weights = 1 << np.arange(bits, dtype=np.int64)
+        rng = np.random.default_rng(SEED)
+        n = n_keys * KEY_HASHES
+        flips, factors, mixed, marks = (rng.integers(0, 1 << 64, size=k, dtype=np.uint64) for k in (n, n, n, n_keys))
+        factors, mixed = factors | np.uint64(1), mixed | np.uint64(1)
         for batch in batches:
             for part in slices_by_bytes(batch, "text", BATCH_BYTES):
-                exact, found = [], []
+                exact, size, found = [], [], []
                 for text in part.column("text").to_pylist():
-                    words = text.encode("utf-8", "replace").lower().split()
-                    exact.append(xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
-                    counts, own = np.zeros(n_bits, dtype=np.int64), list(set(words))
+                    exact.append(xxh3_64_intdigest(b" ".join(text.encode("utf-8", "replace").lower().split())) - (1 << 63))
+                    own = distinct_shingles(text, words_each)
+                    size.append(len(own))
+                    if not len(own):
+                        found.append([])
+                        continue
+                    least = np.full(n, (1 << 64) - 1, dtype=np.uint64)
                     for i in range(0, len(own), 4096):
-                        counts += np.array([spread(w) for w in own[i : i + 4096]]).sum(axis=0, dtype=np.int64)
-                    found.append(((counts * 2 > len(own)).reshape(segments, bits) * weights).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(exact, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "exact", "segments"])
+                        np.minimum(least, ((own[i : i + 4096, None] ^ flips) * factors).min(axis=0), out=least)
+                    least = (least ^ (least >> np.uint64(32))) * mixed
+                    found.append(((least ^ (least >> np.uint64(29))).reshape(n_keys, KEY_HASHES).sum(axis=1, dtype=np.uint64) ^ marks).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(exact, pa.int64()), pa.array(size, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "exact", "size", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, exact long, segments array<long>")
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, exact long, size int, keys array<long>")
 
 
 def shingle_sets(texts: DataFrame, words_each: int) -> DataFrame:
@@ -193,56 +193,36 @@ def shingle_sets(texts: DataFrame, words_each: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices_by_bytes(batch, "text", BATCH_BYTES):
-                found = [np.unique(np.array(shingle_hashes(t, words_each), dtype=np.uint64)).view(np.int64) for t in part.column("text").to_pylist()]
+                found = [distinct_shingles(t, words_each).view(np.int64) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
-def candidate_pairs(classes: DataFrame, bits: int, segments: int) -> DataFrame:
-    """(a, b): classes (id, segments) that share a segment up to one bit, each with some of those that it shares a bucket with.
+def candidate_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): classes (id, keys) that share a key, each with some of those that it shares a bucket with.
 
-    Index entries are whole segments and segments with one bit deleted. A bucket is not paired with itself: each member is
-    paired with REPRESENTATIVES of the bucket, those of the smallest hashes, so a bucket of any size gives rows in proportion to
-    its members, and buckets of one large group mostly have the same few representatives. Pairs whose fingerprints differ in far more bits than those
-    of near copies do are dropped.
+    A bucket is not paired with itself: each member is paired with REPRESENTATIVES of the bucket, those of the smallest hashes.
     """
-
-    def variants(segment: Column, which: Column) -> Column:
-        one = F.lit(1).cast("long")
-
-        def entry(p: Column) -> Column:
-            rest = F.when(p == bits, segment).otherwise(segment.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", one, p))))
-            return F.shiftleft(rest, 12).bitwiseOR(F.shiftleft(which.cast("long"), 6)).bitwiseOR(p.cast("long"))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(bits)), entry)
-
-    keys = F.flatten(F.transform("segments", variants))
-    # One row becomes hundreds: dealt out first, so that few small partitions don't make few large tasks.
     dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    index = dealt.select("id", F.explode(keys).alias("key")).repartition("key")
+    index = dealt.select("id", F.explode("keys").alias("key")).repartition("key")
     drawn = [F.min_by("id", F.xxhash64("id", F.lit(r))).alias(f"b{r}") for r in range(REPRESENTATIVES)]
     buckets = index.groupBy("key").agg(F.count("*").alias("n"), *drawn).where("n > 1")
     met = index.join(buckets, "key").select(F.col("id").alias("x"), F.explode(F.array_distinct(F.array(*[f"b{r}" for r in range(REPRESENTATIVES)]))).alias("y")).where("x <> y")
-    pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("segments").alias("p")), "a").join(classes.select(F.col("id").alias("b"), F.col("segments").alias("q")), "b")
-    expected = bits * segments * DIFFERING
-    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda m, x: m + x)
-    return both.where(apart <= int(expected + 6 * expected**0.5)).select("a", "b")
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """id and component (the smallest id reachable over links, its own included) of every row.
 
     Two texts link if the Jaccard similarity of their word shingles, counted over all of them, is as high as asked. Texts of the same words in a row (without
-    regard to case and white space) are one class from the start. Candidates come from SimHash segments that differ in one bit at
-    most. Null and empty texts are one class. Rows without an id are in no component but their own.
+    regard to case and white space) are one class from the start. Candidates share a MinHash key of their
+    shingles. Null and empty texts are one class. Rows without an id are in no component but their own.
     """
     ship_package(docs.sparkSession)
-    bits, segments = segments_for(docs.count())
-    found = checkpoint(copy_profiles(docs, bits, segments, id_col, text_col))
-    classes = checkpoint(found.where("id is not null").groupBy("exact").agg(F.min("id").alias("id"), F.first("segments").alias("segments")))
-    pairs = checkpoint(candidate_pairs(classes.select("id", "segments"), bits, segments))
+    found = checkpoint(copy_profiles(docs, keys_for(similarity), words_each, id_col, text_col))
+    classes = checkpoint(found.where("id is not null").groupBy("exact").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    pairs = checkpoint(candidate_pairs(classes.select("id", "keys")))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = checkpoint(wanted)
     if wanted.count() <= BROADCAST_IDS:

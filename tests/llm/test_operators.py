@@ -383,3 +383,23 @@ def test_near_copies_count_all_shingles_of_long_texts(spark):
         rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[: 486 if g % 2 else 482]))]  # 482 or 478 of 600 shingles
     got = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [g for g in range(60) if (got[2 * g] == got[2 * g + 1]) != bool(g % 2)] == []
+
+
+def copies_by_edit(rng, n, edit):
+    """Pairs of 300 words that keep 0.8 to 0.9 of their five-word shingles."""
+    rows = []
+    for g in range(n):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        added = [f"x{rng.randrange(10**6)}" for _ in range(60)]
+        at = rng.randrange(40, 200)
+        other = {"appended": words + added, "truncated": words[:250], "replaced": words[:at] + added[:20] + words[at + 20 :]}[edit]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    return rows
+
+
+def test_near_copies_of_each_kind_of_edit(spark):
+    rng = random.Random(9)
+    for edit in ("appended", "truncated", "replaced"):
+        rows = copies_by_edit(rng, 150, edit)
+        got = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [i for i, _ in rows if got[i] != i // 2 * 2] == [], edit
