@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, ship_package, slices_by_bytes, text_of
 from .components import connected_components
+from .embedding_dedup import _forest
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -142,7 +143,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: Smallest hashes that one key is made of, and how many of the pairs at the very similarity asked for are to share a key.
 KEY_HASHES, TARGET = 5, 0.9995
-REPRESENTATIVES = 4
+#: Members of a bucket up to which all its pairs become rows. Of a larger one each member first meets so many of the others.
+PAIRED, REPRESENTATIVES = 16, 2
+#: Members and shingles of a block; what a larger bucket has not linked is compared block by block.
+BLOCK_ROWS, BLOCK_SHINGLES, BLOCK_CODES = 512, 1 << 19, 4096
 BROADCAST_IDS = 1_000_000
 
 
@@ -199,17 +203,90 @@ def shingle_sets(texts: DataFrame, words_each: int) -> DataFrame:
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): classes (id, keys) that share a key, each with some of those that it shares a bucket with.
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(key, id, size, n, b0, ...): each class (id, size, keys) with each key that others have too, how many have it, and its representatives."""
+    dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    index = dealt.select("id", "size", F.explode("keys").alias("key")).repartition("key")
+    drawn = [F.min_by(F.struct("id", "size"), F.xxhash64("id", F.lit(r))).alias(f"b{r}") for r in range(REPRESENTATIVES)]
+    return index.join(index.groupBy("key").agg(F.count("*").alias("n"), *drawn).where("n > 1"), "key")
+
+
+def candidate_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of small buckets, and members of large ones with their representatives, if sizes allow the similarity.
 
-    A bucket is not paired with itself: each member is paired with REPRESENTATIVES of the bucket, those of the smallest hashes.
+    The rows are in proportion to the members of buckets of any size. The other pairs of large buckets are for cross_links.
     """
-    dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    index = dealt.select("id", F.explode("keys").alias("key")).repartition("key")
-    drawn = [F.min_by("id", F.xxhash64("id", F.lit(r))).alias(f"b{r}") for r in range(REPRESENTATIVES)]
-    buckets = index.groupBy("key").agg(F.count("*").alias("n"), *drawn).where("n > 1")
-    met = index.join(buckets, "key").select(F.col("id").alias("x"), F.explode(F.array_distinct(F.array(*[f"b{r}" for r in range(REPRESENTATIVES)]))).alias("y")).where("x <> y")
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    small = met.where(F.col("n") <= PAIRED).select("key", "id", "size")
+    pairs = small.select("key", F.struct("id", "size").alias("x")).join(small.select("key", F.struct("id", "size").alias("y")), "key").where("x.id > y.id").select("x", "y")
+    drawn = F.explode(F.array_distinct(F.array(*[f"b{r}" for r in range(REPRESENTATIVES)])))
+    stars = met.where(F.col("n") > PAIRED).select(F.struct("id", "size").alias("x"), drawn.alias("y")).where("x.id <> y.id")
+    fits = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity
+    return pairs.union(stars).where(fits).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the left sets shares with each of the right ones."""
+    flat = [np.concatenate(x) for x in (left, right)]
+    rows = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)))
+    if not len(both):
+        return out
+    parts = []
+    for values, row in zip(flat, rows):
+        code = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        own = both[code] == values
+        order = np.argsort(code[own], kind="stable")
+        parts.append((code[own][order], row[own][order]))
+    for start in range(0, len(both), BLOCK_CODES):
+        tables = []
+        for (code, row), n in zip(parts, out.shape):
+            i, j = np.searchsorted(code, (start, start + BLOCK_CODES))
+            table = np.zeros((n, BLOCK_CODES), dtype=np.float32)
+            table[row[i:j], code[i:j] - start] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def cross_links(met: DataFrame, rooted: DataFrame, keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links that connect what the pairs of large buckets link whose ends are in different components so far.
+
+    Buckets within one component have nothing to add. The others are cut into blocks, and every block meets every block of its
+    bucket in a group of its own. A pair is compared in the first bucket that it shares. Of a group's links a forest is returned.
+    """
+    large = met.where(F.col("n") > PAIRED).select("key", "id", "size").join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    whole = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("total")).where("lo <> hi")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    dealt = large.join(whole.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root").join(keys, "id").join(sets, "id")
+    kind = met.schema["id"].dataType.simpleString()
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        block, own = table.column("block").to_numpy(), np.array(table.column("keys").to_pylist(), dtype=np.int64)
+        i, j, key = (table.column(c)[0].as_py() for c in ("i", "j", "key"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        listed = table.column("shingles").combine_chunks()
+        ends, values = listed.offsets.to_numpy(), listed.values.to_numpy()
+        size = np.diff(ends)
+        todo = root[left][:, None] != root[right][None, :]
+        todo &= np.minimum(size[left][:, None], size[right]) >= np.maximum(size[left][:, None], size[right]) * similarity
+        for k in range(int(np.flatnonzero(own[0] == key)[0])):
+            todo &= own[left, k][:, None] != own[right, k]
+        todo = todo[np.ix_(x := todo.any(axis=1), y := todo.any(axis=0))]
+        left, right = left[x], right[y]
+        a = b = np.zeros(0, dtype=np.int64)
+        if len(left):
+            shared = common_counts(*([values[ends[k] : ends[k + 1]] for k in side] for side in (left, right)))
+            p, q = np.nonzero(todo & (shared >= (size[left][:, None] + size[right] - shared) * similarity))
+            a, b = _forest(left[p], right[q]).T
+        ids = table.column("id").combine_chunks()
+        return pa.table({"u": ids.take(pa.array(a, pa.int64())), "v": ids.take(pa.array(b, pa.int64()))})
+
+    return placed.groupBy("key", "i", "j").applyInArrow(compare, f"u {kind}, v {kind}")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
@@ -222,9 +299,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship_package(docs.sparkSession)
     found = checkpoint(copy_profiles(docs, keys_for(similarity), words_each, id_col, text_col))
     classes = checkpoint(found.where("id is not null").groupBy("exact").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    pairs = checkpoint(candidate_pairs(classes.select("id", "keys")))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = checkpoint(wanted)
+    met = checkpoint(shared_buckets(classes.select("id", "size", "keys")))
+    pairs = candidate_pairs(met, similarity)
+    wanted = checkpoint(met.select("id").distinct())
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(wanted, "id", "left_semi")
@@ -233,6 +310,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = F.size(F.array_intersect("x", "y"))
     links = both.where(shared >= (F.size("x") + F.size("y") - shared) * similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = connected_components(links).withColumnRenamed("u", "id")
+    more = checkpoint(cross_links(met, roots, classes.select("id", "keys"), sets, similarity))
+    if not more.isEmpty():
+        roots = connected_components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).union(more)).withColumnRenamed("u", "id")
     named = classes.select("exact", "id").join(roots, "id", "left").select("exact", F.coalesce("root", "id").alias("component"))
     return found.join(named, "exact", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 

@@ -403,3 +403,16 @@ def test_near_copies_of_each_kind_of_edit(spark):
         rows = copies_by_edit(rng, 150, edit)
         got = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert [i for i, _ in rows if got[i] != i // 2 * 2] == [], edit
+
+
+def test_near_copies_of_one_seed_in_a_large_group(spark):
+    rng = random.Random(11)
+    seed = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(0, " ".join(seed))]
+    for i in range(1, 2500):
+        own = list(seed)
+        for at in (rng.randrange(4, 60), rng.randrange(64, 116)):
+            own[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(own)))
+    got = [r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert len(got) == 2500 and set(got) == {0}
