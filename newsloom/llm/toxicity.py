@@ -32,13 +32,20 @@ STRONGEST = 8
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "*": "aeiou", "#": "aeiou", "(": "c", "<": "c"}
 STREWN = set(" .-_*'~,")
 STAND_COST, MASK_COST, STREWN_COST, REPEAT_COST = 1.0, 3.0, 0.4, 0.2
-LONGEST_WORD = 48
-
-#: A text without any of these marks is not restored: nothing in it can be obfuscated.
-MARKS = re.compile(r"[^\W\d_][0-9@$!|+*€#(<]+[^\W\d_]|([^\W\d_])\1\1|(?<![^\W_])[^\W\d_](?:[ .\-_*~][^\W\d_]){3}(?![^\W_])|(?<!\S)[$@013457][^\W\d_]{2}")
-SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*~]{1,2}[0-9@$!|+*€]?[^\W\d_]){3,}(?![^\W_])")
-INSIDE = re.compile(r"\S+")
-LEET = re.compile(r"[^\W\d_][0-9@$!|+*€#(<.\-_~]+[^\W\d_]|^[$@0134578][^\W\d_]{2}|([^\W\d_])\1\1")
+#: Observed words of up to so many characters are kept with what they stand for; longer ones are decoded in windows.
+LONGEST_WORD, WINDOW = 48, 1024
+#: Spaced letters of more than so many may be several words.
+ONE_WORD, WORD_END_COST = 12, 1.0
+
+SYMBOLS, SEPARATORS = r"0-9@$!|+*€#(<", r".\-_~"
+SPACED = re.compile(rf"(?<![^\W_])[^\W\d_](?:[ *{SEPARATORS}]{{1,2}}(?:[0-9@$!|+*€]?[^\W\d_]|[0-9@$!|+€])){{3,}}(?![^\W_])")
+REPLACED = rf"[^\W\d_][{SYMBOLS}{SEPARATORS}]*[{SYMBOLS}][{SYMBOLS}{SEPARATORS}]*[^\W\d_]|(?P<c>[^\W\d_])(?P=c)(?P=c)"
+LEET = re.compile(rf"{REPLACED}|^[$@0134578][^\W\d_]{{2}}")
+#: Plain words look like this as well (well-known, mp3), so what these may stand for is added to them.
+MAYBE = re.compile(rf"[^\W\d_][{SEPARATORS}]+[^\W\d_]|[^\W\d_][{SYMBOLS}]+$")
+#: Words, with all that stands around them, in which one of the above can be found.
+MARKED = re.compile(rf"(?<!\S)\S*?(?:{REPLACED}|[$@0134578][^\W\d_]{{2}}|[^\W\d_][{SEPARATORS}]+[^\W\d_]|[^\W\d_][{SYMBOLS}])\S*")
+WORD = re.compile(r"[^\W\d_]+")
 AROUND = ".,;:!?\"'()[]{}|&%#*=<>~-_"
 
 LETTERS = 64
@@ -82,58 +89,92 @@ class LanguageModel:
         return LanguageModel(-np.log(p3))
 
 
-def decode(observed: str, model: LanguageModel) -> str:
+def decode(observed: str, model: LanguageModel, several: bool = False) -> str:
     """The likeliest word behind the observed characters: Viterbi over the lattice of what each may stand for.
 
-    A state is the last two letters. A character is itself, another one that it stands for, strewn in (dropped), or the
-    repetition of the letter before it (dropped).
+    A state is the last two letters, with the way to it as nested pairs. A character is itself, another one that it stands
+    for, strewn in (dropped), or the repetition of the letter before it (dropped); with several, a space may end a word. After
+    each WINDOW characters only the likeliest state goes on.
     """
     costs = model.costs
-    states: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
-    before = ""
-    for c in observed.lower()[:LONGEST_WORD]:
+    states: dict[tuple[str, str], tuple[float, tuple | None]] = {("", ""): (0.0, None)}
+    before, done = "", []
+
+    def letters(way: tuple | None) -> str:
+        out = []
+        while way:
+            way, x = way
+            out.append(x)
+        return "".join(reversed(out))
+
+    for at, c in enumerate(observed.lower(), 1):
         options = [(c, 0.0)] if c.isalpha() else [(x, MASK_COST if c in "*#" else STAND_COST) for x in STANDS_FOR.get(c, "")]
+        if several and c == " ":
+            options = [(c, WORD_END_COST)]
         drop = STREWN_COST if c in STREWN else 2 * STAND_COST if c in STANDS_FOR else 2.0
-        new: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (cost, word) in states.items():
+        new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, way) in states.items():
             if not c.isalpha():
                 if (known := new.get((a, b))) is None or cost + drop < known[0]:
-                    new[a, b] = cost + drop, word
+                    new[a, b] = cost + drop, way
             elif c == b and c == before:
                 if (known := new.get((a, b))) is None or cost + REPEAT_COST < known[0]:
-                    new[a, b] = cost + REPEAT_COST, word
+                    new[a, b] = cost + REPEAT_COST, way
             row = costs[letter(a) if a else 0, letter(b) if b else 0]
             for x, extra in options:
                 total = cost + extra + row[letter(x)]
                 if (known := new.get((b, x))) is None or total < known[0]:
-                    new[b, x] = total, word + x
+                    new[b, x] = total, (way, x)
         states, before = new or states, c
-    return min((cost + costs[letter(a) if a else 0, letter(b) if b else 0, 0], word) for (a, b), (cost, word) in states.items())[1]
+        if at % WINDOW == 0:
+            state = min(states, key=lambda k: states[k][0])
+            done.append(letters(states[state][1]))
+            states = {state: (0.0, None)}
+    ends = [(cost + costs[letter(a) if a else 0, letter(b) if b else 0, 0], way) for (a, b), (cost, way) in states.items()]
+    least = min(cost for cost, _ in ends)
+    return "".join([*done, min(letters(way) for cost, way in ends if cost == least)])
 
 
 def restore(text: str, model: LanguageModel, known: dict[str, str]) -> str:
-    """The text with obfuscated words replaced by what they stand for; other words stay as they are."""
-    if not MARKS.search(text):
-        return text
+    """The text with obfuscated words replaced by what they stand for; other words stay as they are.
 
-    def decoded(observed: str) -> str:
+    Words that plain text has as well (split by . - _ ~ alone, or with digits or symbols at the end) stay and are followed
+    by what they may stand for.
+    """
+
+    def decoded(observed: str, several: bool = False) -> str:
         word = known.get(observed)
         if word is None:
-            if len(known) > 200_000:
-                known.clear()
-            word = known[observed] = decode(observed, model)
+            word = decode(observed, model, several)
+            if len(observed) <= LONGEST_WORD:
+                if len(known) > 200_000:
+                    known.clear()
+                known[observed] = word
         return word
 
+    def spaced(m: re.Match) -> str:
+        """Wider gaps are between words if there are narrow ones as well."""
+        run = m[0]
+        if sum(map(str.isalpha, run)) < 3:
+            return run
+        narrow = re.search(r"[^ ] [^ ]", run)
+        return " ".join(decoded(x, sum(c not in STREWN for c in x) > ONE_WORD) for x in (run.split("  ") if narrow else [re.sub(" +", " ", run)]))
+
     def one(m: re.Match) -> str:
         token = m[0]
         core = token.strip(AROUND)
         if token[0] in "$@" and token[1:2].isalpha():
             core = token[0] + core.lstrip("$@")
-        if not 3 <= len(core) <= LONGEST_WORD or not LEET.search(core) or "://" in core or re.search(r"@[\w-]+\.", core) or sum(map(str.isalpha, core)) < 2:
+        if len(core) < 3 or "://" in core or re.search(r"@[\w-]+\.", core):
             return token
-        return token.replace(core, decoded(core), 1)
+        n = sum(map(str.isalpha, core))
+        if n >= 2 and LEET.search(core):
+            return token.replace(core, decoded(core), 1)
+        if MAYBE.search(core) and (n >= 2 or re.search(r"[@$!|+€]$", core)):
+            return f"{token} {decoded(core)}"
+        return token
 
-    return INSIDE.sub(one, SPACED.sub(lambda m: decoded(m[0]), text))
+    return MARKED.sub(one, SPACED.sub(spaced, text))
 
 
 def features_of(word: str) -> list[str]:
@@ -239,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for part in slices_by_bytes(batch, "text", BATCH_BYTES):
                 sketch, listed = [], []
                 for text in part.column("text").to_pylist():
-                    words = re.findall(r"[^\W\d_]+", restore(text, shared.value, cache).lower())
+                    words = WORD.findall(restore(text, shared.value, cache).lower())
                     sketch.append(min((hash5(words[i : i + 5]) for i in range(max(1, len(words) - 4))), default=0))
                     listed.append(sorted(set(words)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "label", "fold")), pa.array(sketch, pa.int64()), pa.array(listed, pa.list_(pa.string()))], names=["id", "label", "fold", "sketch", "words"])

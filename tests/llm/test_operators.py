@@ -416,3 +416,15 @@ def test_near_copies_of_one_seed_in_a_large_group(spark):
         rows.append((i, " ".join(own)))
     got = [r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
     assert len(got) == 2500 and set(got) == {0}
+
+
+def test_restoration_of_whole_runs(spark):
+    texts = ["such a stupid idiot in this house", "you are all stupid and a loser", "the shit of an ass", "they are clowns and morons", "the others are the worst idiots of the house"] * 50
+    model = toxicity.language_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    cases = {"y o u  a r e  a l l  i n  t h i s  h o u s e  s u c h  i d i o t s": "idiots", "i  d  i  o  t": "idiot", "an i d 1 o t": "idiot", "sh!+": "shit", "a$$": "ass", "idio7": "idiot", "st-upid": "stupid"}
+    restored = {c: toxicity.restore(c, model, {}) for c in cases}
+    assert {c: r for c, r in restored.items() if cases[c] not in r.split()} == {}
+    long = " ".join("the house of the others and such a stupid idiot".replace(" ", ""))
+    assert toxicity.restore(long, model, {}).replace(" ", "") == long.replace(" ", "")
+    word = "id.iot" * 20 + "moron"
+    assert toxicity.restore(word, model, {}).endswith("moron")
