@@ -10,11 +10,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import cut
 from .common import checkpoint, ship_package, slices_by_bytes, text_of
 
 BATCH_BYTES = 8 << 20
@@ -196,28 +194,19 @@ class Scorer:
 
     def evidence(self, texts: list[str], known: dict[str, str], cache: dict[str, float]) -> np.ndarray:
         """For each text, over its distinct words: the sum of the strongest weights, the strongest, and the number of words with one."""
-        restored = pa.array([restore(t, self.language, known) for t in texts], pa.string())
-        words, bounds = cut(pc.utf8_lower(restored), spaces_lead=False)
         out = np.zeros((len(texts), 3))
-        if not len(words):
-            return out
-        coded = words.dictionary_encode()
-        names = coded.dictionary.to_pylist()
         if len(cache) > 400_000:
             cache.clear()
-        for w in names:
-            if w not in cache:
-                cache[w] = self.word_weight(w)
-        weights = np.array([cache[w] for w in names])
-        codes = np.asarray(coded.indices)
-        at = np.flatnonzero(weights[codes] > 0)
-        rows = np.searchsorted(bounds, at, side="right") - 1
-        own: dict[int, set[int]] = {}
-        for r, c in zip(rows.tolist(), codes[at].tolist()):
-            own.setdefault(r, set()).add(c)
-        for r, found in own.items():
-            w = sorted((weights[c] for c in found), reverse=True)
-            out[r] = sum(w[:STRONGEST]), w[0], math.log1p(len(w))
+        for r, text in enumerate(texts):
+            found = []
+            for word in set(WORD.findall(restore(text, self.language, known).lower())):
+                if (weight := cache.get(word)) is None:
+                    weight = cache[word] = self.word_weight(word)
+                if weight > 0:
+                    found.append(weight)
+            if found:
+                found.sort(reverse=True)
+                out[r] = sum(found[:STRONGEST]), found[0], math.log1p(len(found))
         return out
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:

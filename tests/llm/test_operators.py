@@ -428,3 +428,9 @@ def test_restoration_of_whole_runs(spark):
     assert toxicity.restore(long, model, {}).replace(" ", "") == long.replace(" ", "")
     word = "id.iot" * 20 + "moron"
     assert toxicity.restore(word, model, {}).endswith("moron")
+
+
+def test_scoring_splits_words_as_training_does():
+    scorer = toxicity.Scorer(toxicity.LanguageModel(np.ones((64, 64, 64))), {"=idiot": 3.0, "=scum": 3.0, "=ass": 3.0})
+    texts = ["isn't ¡idiot!", "isn't „Idiot“", "it’s \"idiot\"", "it's (idiot)", "don't scum/other", "don't\u00a0scum", "it's ass, no", "isn't fine"]
+    assert (scorer.evidence(texts, {}, {})[:, 1] > 0).tolist() == [True] * 7 + [False]
