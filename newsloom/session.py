@@ -23,7 +23,19 @@ def build_session(name: str = "newsloom", master: str | None = None, **more: str
     return builder.config(map=SETTINGS | more).getOrCreate()
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors see.
+
+    Where it is unset, a temporary folder will do for a local master, whose executors are on this machine; on a cluster that is
+    an error.
+    """
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    return tempfile.mkdtemp(prefix="newsloom-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one in spark.checkpoint.dir, which all executors see; under a temporary one where it is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-")
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
