@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,11 +43,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="newsloom-checkpoints-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def free_name(base: str, taken: list[str]) -> str:
+    """base, or base with underscores where a column has that name already (names that differ in case only are one to Spark)."""
+    known = {c.lower() for c in taken}
+    while base.lower() in known:
+        base += "_"
+    return base
+
+
 def text_of(name: str = "text"):
     """A null text counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -73,9 +83,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 def stage_folder(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder, for tables that stages hand on."""
-    import uuid
-
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-checkpoints-"))
+        sc.setCheckpointDir(checkpoint_folder(spark))
     return f"{sc.getCheckpointDir()}/stages-{uuid.uuid4().hex}"

@@ -7,19 +7,33 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Links that make a vertex a hub, and hubs at most: with more links the bar rises, so the table of hubs has a proven bound.
+HUB_LINKS, MOST_HUBS = 500, 100_000
 
-def _stars(links: DataFrame, small: bool) -> DataFrame:
+
+def _with_least(seen: DataFrame, n_links: int) -> DataFrame:
+    """seen (u, v) with m, the smallest of u and its neighbours.
+
+    The smallest neighbour comes from an aggregation. Links of hubs meet it by a broadcast of at most MOST_HUBS rows and stay
+    where they are, the others by an equality join, so no vertex is a group that one task must hold.
+    """
+    least = seen.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    bar = max(HUB_LINKS, 2 * n_links // MOST_HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > bar).select("u", "m"))
+    of_hubs = seen.join(hubs, "u")
+    others = seen.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= bar).select("u", "m"), "u")
+    return of_hubs.unionByName(others)
+
+
+def _stars(links: DataFrame, small: bool, n_links: int) -> DataFrame:
     """One star contraction of links (u > v): each u's neighbours are linked to the smallest of them.
 
-    The large star looks at all neighbours and moves the larger ones, the small star only at the smaller ones. The smallest
-    neighbour comes from an aggregation and meets the links again by an equality join, so a vertex of many links is no group
-    that one task must hold.
+    The large star looks at all neighbours and moves the larger ones, the small star only at the smaller ones.
     """
     seen = links if small else links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    met = seen.join(least, "u")
+    met = _with_least(seen, n_links)
     if small:
-        moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v")))
     else:
         moved = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").distinct()
@@ -39,6 +53,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     was, is_now = None, state(now)
     while was != is_now and is_now[0]:
-        now = checkpoint(_stars(_stars(now, small=False), small=True))
+        large = checkpoint(_stars(now, small=False, n_links=is_now[0]))
+        now = checkpoint(_stars(large, small=True, n_links=is_now[0]))
         was, is_now = is_now, state(now)
     return now.select("u", F.col("v").alias("root"))

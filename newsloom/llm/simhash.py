@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship_package, slices_by_bytes, text_of
+from .common import checkpoint, free_name, ship_package, slices_by_bytes, text_of
 from .components import connected_components
 from .embedding_dedup import _forest
 
@@ -115,8 +115,9 @@ def signatures(found: DataFrame) -> DataFrame:
 
 def near_links(found: DataFrame) -> DataFrame:
     """All pairs (u > v) of distinct fingerprints in `found` (fp, each once) that differ in one or two bits."""
-    # One row becomes a hundred: dealt out first, so that few small partitions don't make few large tasks.
-    index = signatures(found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
+    # One row becomes a hundred: dealt out first, so that few small partitions don't make few large tasks. Another hash than the
+    # aggregation's is needed for that, or the planner takes the rows to lie right already.
+    index = signatures(found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp", F.lit(SEED))))
     left = index.where("side = 0").select("key", F.col("fp").alias("a"))
     right = index.where("side = 1").select("key", F.col("fp").alias("b"))
     close = left.join(right, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
@@ -161,10 +162,10 @@ def distinct_shingles(text: str, words_each: int) -> np.ndarray:
 
 
 def copy_profiles(docs: DataFrame, n_keys: int, words_each: int, id_col: str, text_col: str) -> DataFrame:
-    """id, exact (a hash of the words), size (distinct shingles), keys array<long> (none without words), of every row."""
+    """id, text_hash, exact (128 bits of hash of the words), size (distinct shingles), keys array<long> (none without words), of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_digest
 
         rng = np.random.default_rng(SEED)
         n = n_keys * KEY_HASHES
@@ -174,7 +175,7 @@ def copy_profiles(docs: DataFrame, n_keys: int, words_each: int, id_col: str, te
             for part in slices_by_bytes(batch, "text", BATCH_BYTES):
                 exact, size, found = [], [], []
                 for text in part.column("text").to_pylist():
-                    exact.append(xxh3_64_intdigest(b" ".join(text.encode("utf-8", "replace").lower().split())) - (1 << 63))
+                    exact.append(xxh3_128_digest(b" ".join(text.encode("utf-8", "replace").lower().split())))
                     own = distinct_shingles(text, words_each)
                     size.append(len(own))
                     if not len(own):
@@ -185,10 +186,11 @@ def copy_profiles(docs: DataFrame, n_keys: int, words_each: int, id_col: str, te
                         np.minimum(least, ((own[i : i + 4096, None] ^ flips) * factors).min(axis=0), out=least)
                     least = (least ^ (least >> np.uint64(32))) * mixed
                     found.append(((least ^ (least >> np.uint64(29))).reshape(n_keys, KEY_HASHES).sum(axis=1, dtype=np.uint64) ^ marks).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(exact, pa.int64()), pa.array(size, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "exact", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(exact, pa.binary()), pa.array(size, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "text_hash", "exact", "size", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, exact long, size int, keys array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, exact binary, size int, keys array<long>")
 
 
 def shingle_sets(texts: DataFrame, words_each: int) -> DataFrame:
@@ -289,38 +291,66 @@ def cross_links(met: DataFrame, rooted: DataFrame, keys: DataFrame, sets: DataFr
     return placed.groupBy("key", "i", "j").applyInArrow(compare, f"u {kind}, v {kind}")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """id and component (the smallest id reachable over links, its own included) of every row.
+def kept_of_each(docs: DataFrame, id_col: str, text_col: str, words_each: int, similarity: float) -> DataFrame:
+    """id, text_hash and kept (no_id, id, text_hash) of every row: kept is the first row, by id, of all that links reach.
 
-    Two texts link if the Jaccard similarity of their word shingles, counted over all of them, is as high as asked. Texts of the same words in a row (without
-    regard to case and white space) are one class from the start. Candidates share a MinHash key of their
-    shingles. Null and empty texts are one class. Rows without an id are in no component but their own.
+    Rows without an id come after all others. Rows of one id are told apart by their texts.
     """
     ship_package(docs.sparkSession)
     found = checkpoint(copy_profiles(docs, keys_for(similarity), words_each, id_col, text_col))
-    classes = checkpoint(found.where("id is not null").groupBy("exact").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    met = checkpoint(shared_buckets(classes.select("id", "size", "keys")))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
+    classes = checkpoint(found.groupBy("exact").agg(first.alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")).withColumn("class", F.monotonically_increasing_id()))
+    met = checkpoint(shared_buckets(classes.select(F.col("class").alias("id"), "size", "keys")))
     pairs = candidate_pairs(met, similarity)
-    wanted = checkpoint(met.select("id").distinct())
+    wanted = checkpoint(met.select(F.col("id").alias("class")).distinct().join(classes.select("class", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "class"))
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(wanted, "id", "left_semi")
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).select(F.col("class").alias("id"), "text")
+    n, distinct = found.agg(F.count("*"), F.count_distinct(F.struct("id", "text_hash"))).first()
+    if n != distinct:  # repeated rows: one of each
+        texts = texts.dropDuplicates(["id"])
     sets = checkpoint(shingle_sets(texts, words_each))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     links = both.where(shared >= (F.size("x") + F.size("y") - shared) * similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = connected_components(links).withColumnRenamed("u", "id")
-    more = checkpoint(cross_links(met, roots, classes.select("id", "keys"), sets, similarity))
+    more = checkpoint(cross_links(met, roots, classes.select(F.col("class").alias("id"), "keys"), sets, similarity))
     if not more.isEmpty():
         roots = connected_components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).union(more)).withColumnRenamed("u", "id")
-    named = classes.select("exact", "id").join(roots, "id", "left").select("exact", F.coalesce("root", "id").alias("component"))
-    return found.join(named, "exact", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    rooted = classes.select("exact", "class", "first").join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("kept")), "root").select("exact", "kept")
+    return found.select("id", "text_hash", "exact").join(named, "exact").select("id", "text_hash", "kept")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """id and component (the smallest id reachable over links, its own included) of every row.
+
+    Two texts link if the Jaccard similarity of their word shingles, counted over all of them, is as high as asked. Texts of
+    the same words in a row (without regard to case and white space) are one class from the start. Candidates share a MinHash
+    key of their shingles. Null and empty texts are one class. Rows of one id are compared each. A component is null where no
+    row in it has an id. No documents give no rows.
+    """
+    return kept_of_each(docs, id_col, text_col, words_each, similarity).select(F.col("id").alias(id_col), F.col("kept.id").alias("component"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """docs without those that have a near copy of a smaller id; of rows with one id one stays, and all rows without an id."""
-    found = checkpoint(near_copies(docs, id_col, text_col, words_each, similarity))
-    dropped = found.where(F.col(id_col) != F.col("component")).select(id_col).distinct()
-    kept = docs.join(dropped, id_col, "left_anti")
-    n, distinct = found.agg(F.count(id_col), F.count_distinct(id_col)).first()
-    return kept if n == distinct else kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
+    """docs with one row of each group of near copies: that of the smallest id, rows without an id last.
+
+    Rows go one by one and not by their id: of rows of one id with different texts each stays or goes by its own text, and of
+    rows with the same id and text one stays. Null and empty texts are copies of each other.
+    """
+    found = checkpoint(kept_of_each(docs, id_col, text_col, words_each, similarity))
+    first = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    own = free_name("text_hash", docs.columns)
+    hashed = docs.withColumn(own, F.xxhash64(text_of(text_col)))
+
+    def beside(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        others = others.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+        return rows.join(others, rows[id_col].eqNullSafe(others["__id"]) & (rows[own] == others["__hash"]), how)
+
+    kept = beside(hashed, found.where(~first).select("id", "text_hash").distinct(), "left_anti")
+    repeated = checkpoint(found.where(first).groupBy("id", "text_hash").count().where("count > 1"))
+    if not repeated.isEmpty():
+        kept = beside(kept, repeated, "left_anti").union(beside(kept, repeated, "left_semi").dropDuplicates([id_col, own]))
+    return kept.drop(own)

@@ -434,3 +434,44 @@ def test_scoring_splits_words_as_training_does():
     scorer = toxicity.Scorer(toxicity.LanguageModel(np.ones((64, 64, 64))), {"=idiot": 3.0, "=scum": 3.0, "=ass": 3.0})
     texts = ["isn't ¡idiot!", "isn't „Idiot“", "it’s \"idiot\"", "it's (idiot)", "don't scum/other", "don't\u00a0scum", "it's ass, no", "isn't fine"]
     assert (scorer.evidence(texts, {}, {})[:, 1] > 0).tolist() == [True] * 7 + [False]
+
+
+def test_rows_of_one_id_stay_or_go_by_their_texts(spark):
+    rows = [(1, "a text that two rows have"), (5, "A text  that two rows have"), (5, "another text of its own"), (None, "a text that two rows have"), (None, "only here"), (None, "only here"), (7, "x y"), (7, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.lit("clash"))
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "only here"), (1, "a text that two rows have"), (5, "another text of its own"), (7, "x y")]
+
+
+def test_simhash_query_equals_brute_force(spark, tmp_path):
+    from xxhash import xxh64
+
+    from newsloom.llm.queries import op10_simhash_dedup
+
+    rng = random.Random(12)
+    texts = [prose(rng, rng.choice([1, 2, 3, 40, 90])) for _ in range(120)]
+    texts += [t.replace(" ", "  ").upper() for t in texts[:20]] + [" ".join([*t.split()[:-1], "end"]) for t in texts[20:90]] + [None, "", "  x"]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def fingerprint_of(text):
+        words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+    prints = {i: fingerprint_of(t) for i, t in docs}
+    component = groups([(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 2], prints)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op10_simhash_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (f"{f:016x}", component[i]) for i, f in prints.items()}
+    assert len(set(component.values())) < len(docs) - 20
+
+
+def test_components_with_a_hub(spark):
+    from newsloom.llm import components
+
+    pairs = [(0, i) for i in range(1, 900)] + [(899, 5000), (6000, 6001)]
+    found = {r["u"]: r["root"] for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert components.HUB_LINKS < 899
+    assert found == {i: 0 for i in [*range(1, 900), 5000]} | {6001: 6000}
