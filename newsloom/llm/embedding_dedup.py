@@ -21,6 +21,8 @@ CELL_ROWS = 256
 CODEWORDS = 256
 THRESHOLD = 0.93
 TARGET_RECALL = 0.995
+#: Vectors of a length in the sample that its codebooks need.
+LEAST_SAMPLE = 16
 #: Vectors of one cell that are compared at once.
 BLOCK = 2048
 SEED = 7
@@ -132,8 +134,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     Vectors of equal labels link at a cosine of the threshold or more. Rows whose vector is null, empty, zero or holds a null
     or a number that is not finite, or whose label or id is null, link with nothing; nor do vectors of different lengths.
     Equal vectors of a label are one class: a group of copies is one point of the index, and counts once per row in n_links.
-    The codebooks come from SAMPLE vectors at most, chosen by a hash; vectors whose length is not the most common one in the
-    sample are compared within their length, in blocks.
+    Numbers of one dimension only have a sign, so those are two classes. Rows of one id are vectors of their own, which may link
+    with each other; a component's name is the smallest id in it. The codebooks come from SAMPLE vectors at most, chosen by a
+    hash, a pair of them for each length that is among these; vectors of a length too rare to be are compared in blocks.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -143,19 +146,21 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         F.col(vector_col).isNotNull() & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & (square > 0) & (square < float("inf"))
     )
-    rows = vectors.select(F.col(id_col).alias("id"), F.when(fine, F.col(label_col)).alias("label"), F.when(fine, values).alias("v"))
-    classes = checkpoint(rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    told = F.when(F.size(values) == 1, F.transform(values, F.signum)).otherwise(values)
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(fine, F.col(label_col)).alias("label"), F.when(fine, told).alias("v"))
+    # rep names the class, also where ids are repeated.
+    classes = checkpoint(rows.where("v is not null").groupBy("label", "v").agg(F.min("id").cast("long").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     n, n_labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    words = int(min(CODEWORDS, max(2, round((n / max(1, n_labels) / cell_rows) ** 0.5))))
     per_million = min(1_000_000, -(-SAMPLE * 1_000_000 // max(1, n)))
     drawn = classes.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < per_million).select("v").limit(2 * SAMPLE).toPandas()["v"]
     sizes = drawn.map(len)
-    usual = int(sizes.mode()[0]) if len(sizes) else 0
-    if usual >= 2:
-        index = fit(_unit(np.stack(drawn[sizes == usual].to_list()).astype(float)), words, threshold, target)
-    else:
-        index = MultiIndex(np.zeros((1, 1)), np.zeros((1, 1)), 0.0)
-    shared = spark.sparkContext.broadcast(index)
+    indexes = {}
+    for size, members in sizes.value_counts().items():
+        if size >= 2 and members >= LEAST_SAMPLE:
+            expected = n * members / len(drawn) / max(1, n_labels)
+            words = int(min(CODEWORDS, max(2, round((expected / cell_rows) ** 0.5))))
+            indexes[int(size)] = fit(_unit(np.stack(drawn[sizes == size].to_list()).astype(float)), words, threshold, target)
+    shared = spark.sparkContext.broadcast(indexes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each class once as a row of its cell, and once as a query of each cell that it visits."""
@@ -163,35 +168,36 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             values = batch.column("v").to_pylist()
             at, cell, query = [], [], []
             lengths = np.array([len(v) for v in values])
-            for size in np.unique(lengths):
+            for size in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == size)
-                if size != usual or usual < 2:
+                index = shared.value.get(size)
+                if index is None:
                     for q in (False, True):
                         at += own.tolist()
-                        cell += [-int(size)] * len(own)
+                        cell += [-1] * len(own)
                         query += [q] * len(own)
                     continue
-                first, second = shared.value.distances(_unit(np.array([values[i] for i in own], dtype=float)))
+                first, second = index.distances(_unit(np.array([values[i] for i in own], dtype=float)))
                 for k, i in enumerate(own.tolist()):
-                    visited = shared.value.visits(first[k], second[k])
+                    visited = index.visits(first[k], second[k])
                     at += [i] * (1 + len(visited))
                     cell += [visited[0], *visited]
                     query += [False] + [True] * len(visited)
             taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(c) for c in ("label", "rep", "copies", "v")] + [pa.array(cell, pa.int32()), pa.array(query)], names=["label", "rep", "copies", "v", "cell", "query"])
+            yield pa.RecordBatch.from_arrays([taken.column(c) for c in ("label", "rep", "copies", "v")] + [pa.array(lengths[at] if at else [], pa.int32()), pa.array(cell, pa.int32()), pa.array(query)], names=["label", "rep", "copies", "v", "dims", "cell", "query"])
 
-    label_kind, id_kind = classes.schema["label"].dataType.simpleString(), "long"
-    placed = classes.withColumn("rep", F.col("rep").cast("long")).mapInArrow(place, f"label {label_kind}, rep {id_kind}, copies long, v array<double>, cell int, query boolean")
+    label_kind = classes.schema["label"].dataType.simpleString()
+    placed = classes.mapInArrow(place, f"label {label_kind}, rep long, copies long, v array<double>, dims int, cell int, query boolean")
     # A cell of many vectors is compared in blocks of rows against blocks of queries.
-    counts = placed.groupBy("label", "cell").agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("r")).where("r > 0 and q > 0")
-    counts = counts.select("label", "cell", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(f"n{c}") for c in "qr"))
-    dealt = placed.join(counts, ["label", "cell"])
+    counts = placed.groupBy("label", "dims", "cell").agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("r")).where("r > 0 and q > 0")
+    counts = counts.select("label", "dims", "cell", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(f"n{c}") for c in "qr"))
+    dealt = placed.join(counts, ["label", "dims", "cell"])
     salted = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("query"), F.col("nq")).otherwise(F.col("nr"))).cast("int"))
     spread = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("nr")).otherwise(F.col("nq")) - 1)))
     keyed = spread.select(
-        "label", "cell", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("rb"), "query", "rep", "copies", "v"
+        "label", "dims", "cell", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("rb"), "query", "rep", "copies", "v"
     )
-    keys = ["label", "cell", "qb", "rb"]
+    keys = ["label", "dims", "cell", "qb", "rb"]
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         """Links of a block: counts for either end, and pairs enough to connect what it links.
@@ -206,11 +212,12 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         i, j = np.nonzero(_links_in_block(a, b, threshold) & (q_ids[:, None] != r_ids[None, :]))
         one_way = np.zeros(len(i), dtype=bool)
         if frame["cell"].iloc[0] >= 0 and len(i):
+            index = shared.value[a.shape[1]]
             ids, where = np.unique(i, return_inverse=True)
-            cells = shared.value.cells(a[ids])[where]
-            first, second = shared.value.distances(b)
-            words = len(shared.value.second)
-            one_way = first[j, cells // words] + second[j, cells % words] > shared.value.reach
+            cells = index.cells(a[ids])[where]
+            first, second = index.distances(b)
+            words = len(index.second)
+            one_way = first[j, cells // words] + second[j, cells % words] > index.reach
         n_q = np.bincount(i, weights=r["copies"].to_numpy()[j], minlength=len(q)).astype("int64")
         n_r = np.bincount(j[one_way], weights=q["copies"].to_numpy()[i[one_way]], minlength=len(r)).astype("int64")
         joined = _forest(q_ids[i], r_ids[j])
@@ -219,11 +226,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     found = checkpoint(keyed.groupBy(*keys).applyInPandas(verify, "rep long, n long, other long"))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))
-    named = (
-        classes.join(links, "rep", "left")
-        .join(roots.withColumnRenamed("u", "rep"), "rep", "left")
-        .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    )
+    rooted = classes.join(links, "rep", "left").join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(least, "root").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.join(named, ["label", "v"], "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").cast("long").alias("component_id")
     )

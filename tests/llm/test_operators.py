@@ -475,3 +475,40 @@ def test_components_with_a_hub(spark):
     found = {r["u"]: r["root"] for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert components.HUB_LINKS < 899
     assert found == {i: 0 for i in [*range(1, 900), 5000]} | {6001: 6000}
+
+
+def test_embedding_rows_of_one_id(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (3, [0.01, 1.0], 1), (4, [-0.5], 1), (5, [2.0], 1), (6, [-9.0], 1)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicate_vectors(vectors(spark, rows)).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 0, 5, True), (6, 1, 4, False)]
+
+
+def test_embedding_recall_at_production_parameters(spark):
+    """Pairs planted at the threshold itself among vectors like those of the tables, of two lengths and more than a block in one cell."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for dims, n in ((64, 2500), (32, 600)):
+        for _ in range(n):
+            x = rng.normal(size=dims)
+            x /= np.linalg.norm(x)
+            rows.append((len(rows), x, 0))
+            if rng.random() < 0.3:
+                y = rng.normal(size=dims)
+                y -= (y @ x) * x
+                c = rng.uniform(0.9301, 0.97)
+                rows.append((len(rows), c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y), 0))
+    hub = rng.normal(size=64)
+    rows += [(len(rows) + k, hub + 0.001 * rng.normal(size=64), 1) for k in range(embedding_dedup.BLOCK + 200)]
+    kept = [(i, [float(z) for z in x], label) for i, x, label in rows]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicate_vectors(vectors(spark, kept, "vec_id long, embedding array<double>, label int, id int, v int, n int")).collect()}
+    found = expected = 0
+    for label, dims in ((0, 64), (0, 32), (1, 64)):
+        own = [(i, np.array(x)) for i, x, y in kept if y == label and len(x) == dims]
+        x = np.stack([v / np.linalg.norm(v) for _, v in own])
+        linked = (x @ x.T >= 0.93).sum(1) - 1
+        assert all(got[i] <= k for (i, _), k in zip(own, linked))
+        if label == 0:
+            found, expected = found + sum(got[i] for i, _ in own), expected + int(linked.sum())
+        else:
+            assert [got[i] for i, _ in own] == linked.tolist()
+    assert expected > 1500 and found >= 0.97 * expected
