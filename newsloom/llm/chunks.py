@@ -65,7 +65,7 @@ def library_encoder(path: str, lower: bool) -> Callable[[list[str]], list[bytes]
 
     def plain(chunk: str) -> bool:
         word = chunk[1:] if chunk[:1] == " " else chunk
-        return word.isalpha() and (word.isascii() or not lower or (word == word.lower() and unicodedata.is_normalized("NFC", word)))
+        return word.isalpha() and (not lower or (word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word))))
 
     def encode(chunks: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(chunks)

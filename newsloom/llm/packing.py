@@ -33,8 +33,12 @@ def cache_for(path: str) -> Cache:
 
 
 def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids of the texts (no nulls in them), and the number of ids of each. The tokenizer drops case and white space."""
-    chunks, bounds = cut(pc.ascii_lower(texts), spaces_lead=False)
+    """Flat ids of the texts (no nulls in them), and the number of ids of each. The tokenizer drops case and white space.
+
+    Its special strings are told from others by their case, so texts that may have one keep theirs.
+    """
+    lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    chunks, bounds = cut(lowered, spaces_lead=False)
     if not len(chunks):
         return np.zeros(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
     flat, starts, lengths = ids_of_chunks(chunks, cache_for(path))
