@@ -317,8 +317,8 @@ def hash5(words: list[str]) -> int:
     return xxh64_intdigest(" ".join(words).encode("utf-8", "replace")) >> 1
 
 
-def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id and score (0 to 1) of every row; with keep, all columns and __score.
+def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """id and score (0 to 1) of every row; or, where keep names a column that docs don't have, all columns and the score under that name.
 
     Whole texts are restored and read. Null and empty texts have no evidence and so the smallest score. Rows of one text have
     one score.
@@ -335,11 +335,11 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
                 texts = [t or "" for t in part.column(text_col if keep else "text").to_pylist()]
                 scores = pa.array(model.value.scores(model.value.evidence(texts, known, cache)), pa.float64())
                 if keep:
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], scores], names=[*names, "__score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], scores], names=[*names, keep])
                 else:
                     yield pa.RecordBatch.from_arrays([part.column("id"), scores], names=["id", "score"])
 
     if keep:
-        return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double")
+        return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{keep}` double")
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)

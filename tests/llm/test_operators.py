@@ -125,7 +125,7 @@ def test_token_chunks_equal_library(seed):
     from tokenizers import Tokenizer
 
     rng = random.Random(seed)
-    texts = ["".join(rng.choice(["a", "B", "1", " ", "  ", ".", "'s", "'", "\n", "\t", "é", "e\u0301", "…", "_", "²", "\u00a0", "<|endoftext|>", "the ", "!!", "İ", "ΑΣ"]) for _ in range(rng.randrange(14))) for _ in range(1500)]
+    texts = ["".join(rng.choice(["a", "B", "1", " ", "  ", ".", "'s", "'", "\n", "\t", "é", "e\u0301", "…", "_", "²", "\u00a0", "<|endoftext|>", "the ", "!!", "İ", "ΑΣ", "<|ENDOFTEXT|>", "<|"]) for _ in range(rng.randrange(14))) for _ in range(1500)]
     byte, word = (Tokenizer.from_file(tokenizer_path(f)) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
     assert token_counts.counts(pa.array(texts), tokenizer_path("byte_bpe_50k.json")).tolist() == [len(byte.encode(t, add_special_tokens=False).ids) for t in texts]
     flat, counts = packing.encoded(pa.array(texts), tokenizer_path("word_bpe_49k.json"))
@@ -133,6 +133,16 @@ def test_token_chunks_equal_library(seed):
     assert flat.tolist() == [i for t in texts for i in word.encode(t, add_special_tokens=False).ids]
 
 
+def test_special_strings_are_told_by_their_case():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    word = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = ["a <|ENDOFTEXT|> b", "HELLO <|endoftext|> World", "<|StartOfText|>x", "A<|startoftext|>B É Σ", "HELLO Wörld ÄÖ"]
+    flat, counts = packing.encoded(pa.array(texts), tokenizer_path("word_bpe_49k.json"))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [word.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_counts_odd_rows(odd_docs, no_docs):
     from tokenizers import Tokenizer
 
@@ -251,7 +261,7 @@ def test_toxicity_held_out(spark, odd_docs, no_docs):
     assert np.mean([(got[i] >= 0.5) == (i % 5 == 0) for i in held]) > 0.97
     odd = toxicity.score(odd_docs, scorer).collect()
     assert len(odd) == odd_docs.count() and all(0 <= r["score"] < 0.5 for r in odd)
-    assert toxicity.score(odd_docs, scorer, keep=True).columns == [*odd_docs.columns, "__score"]
+    assert toxicity.score(odd_docs, scorer, keep="score_").columns == [*odd_docs.columns, "score_"]
     assert toxicity.score(no_docs, toxicity.train(no_docs, labelled.limit(0))).count() == 0
 
 
