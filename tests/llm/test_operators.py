@@ -306,7 +306,8 @@ def test_entropy(spark):
 
 
 def test_fingerprints(spark, odd_docs, no_docs):
-    rows = sorted(((-(2**63) if i is None else i, t or "") for i, t in odd_docs.select("doc_id", "text").collect()), key=lambda x: (-x[0], x[1]))
+    hashed = odd_docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    rows = [(i, t) for i, _, t in sorted(((-(2**63) if i is None else i, h, t) for i, t, h in hashed), key=lambda x: (-x[0], x[1]))]
     expected = Counter()
     for k, (i, t) in enumerate(rows):
         following, third = rows[(k + 1) % len(rows)][1], len(t) // 3
@@ -323,16 +324,43 @@ def test_fingerprints(spark, odd_docs, no_docs):
 
 
 def test_fingerprint_blocks(spark):
-    saved = fingerprint.BLOCK_ROWS, fingerprint.BROADCAST_BLOCKS
     rng = random.Random(1)
-    ids = sorted({rng.randrange(10**9) for _ in range(300)} | {10**15 + i for i in range(200)}, reverse=True)
-    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    ids = {rng.randrange(10**9) for _ in range(300)} | {10**15 + i for i in range(200)} | {(s << 40) + i for s in range(200) for i in range(10)}
+    rows = [(i, f"text {i}") for i in ids] + [(None, f"none {k}") for k in range(900)] + [(7, "alike")] * 30
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    keyed = docs.select(F.bitwise_not(F.coalesce("id", F.lit(-(2**63)))).alias("k"), F.xxhash64("text").alias("h"))
+    hashes = {(r["id"], r["text"]): r["h"] for r in docs.withColumn("h", F.xxhash64("text")).distinct().collect()}
+    ordered = sorted(rows, key=lambda r: (-(-(2**63) if r[0] is None else r[0]), hashes[r]))
+    saved = fingerprint.BLOCK_ROWS
     try:
-        for fingerprint.BLOCK_ROWS, fingerprint.BROADCAST_BLOCKS in ((10, 10**6), (10, 0)):
-            got = {r["id"]: r["next_text"] for r in fingerprint.with_next_text(docs.withColumnRenamed("doc_id", "id")).collect()}
-            assert got == {i: f"text {ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
+        for fingerprint.BLOCK_ROWS in (10, 500, 10**6):
+            got = Counter((r["id"], r["text"], r["next_text"]) for r in fingerprint.with_next_text(docs).collect())
+            assert got == Counter((*r, ordered[(k + 1) % len(ordered)][1]) for k, r in enumerate(ordered))
+        fingerprint.BLOCK_ROWS = 100
+        bounds, first, _ = fingerprint.blocks_by_rank(keyed, len(rows))
+        dealt = keyed.crossJoin(first).withColumn("coarse", fingerprint._place(F.col("all_coarse"))).join(bounds, "coarse").withColumn("block", fingerprint._place(F.col("bounds")))
+        sizes = [r["count"] for r in dealt.groupBy("coarse", "block").count().collect()]
+        assert sum(sizes) == len(rows) and max(sizes) < 2 * len(rows) / len(sizes)
     finally:
-        fingerprint.BLOCK_ROWS, fingerprint.BROADCAST_BLOCKS = saved
+        fingerprint.BLOCK_ROWS = saved
+
+
+def test_fingerprint_folds_case_in_full(spark):
+    pairs = [("Straße", "STRASSE"), ("ΟΔΟΣ", "οδος"), ("ﬃ x", "FFI\u00a0X"), ("İ", "i\u0307"), ("\u0345α", "ια")]
+    found = spark.createDataFrame(pairs, "a string, b string").select(fingerprint.canonical(F.col("a")).alias("a"), fingerprint.canonical(F.col("b")).alias("b"), fingerprint.canonical(fingerprint.canonical(F.col("a"))).alias("c")).collect()
+    assert [r["a"] == r["b"] and r["a"] == r["c"] for r in found[:4]] == [True] * 4
+    assert all(r["a"] == r["c"] for r in found)
+
+
+def test_fingerprints_of_forced_collisions(spark, monkeypatch):
+    """Lanes that only see the first character: texts of one bucket are told apart by their bytes, equal ones stay equal."""
+    monkeypatch.setattr(fingerprint, "hash_lanes", lambda c: (F.ascii(F.substring(c, 1, 1)).cast("long"),) * 2)
+    rows = [(i, t) for i, t in enumerate(["abc one two", "ABC  one two", "abd", "abd ", "xyz", "a", "", None] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for fingerprint.BROADCAST_BUCKETS in (1_000_000, 0, 1_000_000):
+        got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(docs).collect()}
+        same = {i: " ".join((t or "").lower().split()) for i, t in rows}
+        assert all((got[i] == got[j]) == (same[i] == same[j]) for i in got for j in got)
 
 
 # 10
