@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: URLs that the trees are fitted on at most, chosen by a hash among those that a rule labels.
 TRAINING_URLS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: How many URLs' worth of the overall share a suffix's own share of blocked URLs is drawn by.
 PRIOR = 20.0
+#: Folds that the training rows' own shares come from the others of.
+FOLDS = 5
+KEYS = ("suffix", "domain", "segment")
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "letter_ratio", "other_ratio", "entropy", "parameters", "has_query", "has_fragment", "secure", "suffix_share", "domain_share", "segment_share")
 
 
@@ -79,47 +84,76 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _shares(labelled: DataFrame, key: str, overall: float) -> DataFrame:
-    """For each value of the key: the share of blocked URLs among the labelled ones, drawn towards the overall share."""
-    return labelled.groupBy(key).agg(((F.sum("label") + overall * PRIOR) / (F.count("*") + PRIOR)).alias(f"{key}_share"))
+def _shares(counts: DataFrame, key: str, overall: float, fold: bool) -> DataFrame:
+    """For each value of the key: the share of blocked URLs among the sampled ones, drawn towards the overall share.
+
+    With fold, the share that rows of each fold see, which is that of the other folds: no row's own label is in its features.
+    """
+    whole = counts.groupBy(key).agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n"))
+    if fold:
+        own = counts.groupBy(key, "fold").agg(F.sum("blocked").alias("own_blocked"), F.sum("n").alias("own_n"))
+        whole = own.join(F.broadcast(whole), key).select(key, "fold", (F.col("blocked") - F.col("own_blocked")).alias("blocked"), (F.col("n") - F.col("own_n")).alias("n"))
+    share = (F.col("blocked") + overall * PRIOR) / (F.col("n") + PRIOR)
+    return whole.select(key, *["fold"] * fold, share.alias(f"{key}_share"))
+
+
+@dataclass(frozen=True)
+class Trees:
+    """Boosted trees and the shares of suffixes, domains and first path segments, which the sample's size bounds."""
+
+    model: GBTClassificationModel
+    counts: DataFrame
+    overall: float
+
+    def features(self, keyed: DataFrame, fold: bool = False) -> DataFrame:
+        for key in KEYS:
+            keyed = keyed.join(F.broadcast(_shares(self.counts, key, self.overall, fold)), [key, *["fold"] * fold], "left")
+        filled = keyed.withColumns({f"{key}_share": F.coalesce(f"{key}_share", F.lit(self.overall)) for key in KEYS})
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(filled)
+
+    def score(self, keyed: DataFrame) -> DataFrame:
+        return self.model.transform(self.features(keyed)).withColumn("score", vector_to_array("probability")[1])
+
+
+def with_keys(parsed: DataFrame) -> DataFrame:
+    """parsed (url, host, path, ...) with what the trees look at, but for the shares."""
+    keys = {"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "segment": F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit(""))}
+    return parsed.withColumns(keys).withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
+
+
+def fit(sample: DataFrame) -> Trees | None:
+    """Trees from a checkpointed sample (url, host, path, label 0.0 or 1.0) of distinct URLs; None where it has one label only."""
+    keyed = checkpoint(with_keys(sample).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(FOLDS)), F.lit(FOLDS))))
+    n, blocked = keyed.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    if not 0 < blocked < n:
+        return None
+    counts = checkpoint(keyed.groupBy(*KEYS, "fold").agg(F.sum("label").alias("blocked"), F.count("*").alias("n")))
+    trees = Trees(None, counts, blocked / n)
+    known = checkpoint(trees.features(keyed, fold=True).select("features", "label"))
+    return Trees(GBTClassifier(labelCol="label", maxIter=12, maxDepth=4, seed=7, minInfoGain=1e-6).fit(known), counts, blocked / n)
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", training_urls: int = TRAINING_URLS) -> DataFrame:
     """id, host, path, rule, verdict (allow or block), score of every row.
 
     The verdict is that of the longest fitting rule. The other rows go by gradient-boosted trees on lexical features, fitted
-    on a bounded sample of the URLs that rules label (allow 0, block 1): block where score, the trees' probability, is 0.5
-    or more. Where the labelled URLs have one verdict only, that is the verdict of the others; without any it is allow. Null
-    URLs, and those without ://, have empty host and path, fit no rule and are scored like any other. Repeated rows are
-    judged alike. Numbers of suffixes come from the sample too, so their table is bounded by it.
+    on a bounded sample of the URLs that rules label (allow 0, block 1), each distinct URL once: block where score, the trees'
+    probability, is 0.5 or more. Where the labelled URLs have one verdict only, that is the verdict of the others; without any
+    it is allow. Null URLs, and those without ://, have empty host and path, fit no rule and are scored like any other. Very
+    long URLs are scored whole; repeated rows are judged alike. The pages are read three times.
     """
     host, path = parse_url(F.col("url"))
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
     name, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": name, "ruled": verdict})
-    keyed = ruled.withColumns({
-        "suffix": F.substring_index("host", ".", -1),
-        "domain": F.substring_index("host", ".", -2),
-        "segment": F.get(F.split("path", "/"), F.lit(1)),
-    }).withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
-    labelled = keyed.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
+    labelled = ruled.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
     n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    if not 0 < blocked < n:
-        other = "block" if n and blocked else "allow"
+    # A hash of the URL draws all copies of one or none, and copies come down to one before they are shuffled.
+    drawn = F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < min(1_000_000, -(-training_urls * 1_000_000 // max(1, n)))
+    trees = fit(checkpoint(labelled.where(drawn).select("url", "host", "path", "label").distinct())) if 0 < blocked < n else None
+    if trees is None:
+        other = "block" if n and 2 * blocked > n else "allow"
         return ruled.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.lit(other)).alias("verdict"), F.lit(float(other == "block")).alias("score"))
-    per_million = min(1_000_000, -(-training_urls * 1_000_000 // n))
-    sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < per_million).limit(2 * training_urls)
-    overall = blocked / n
-
-    def with_shares(df: DataFrame) -> DataFrame:
-        for key in ("suffix", "domain", "segment"):
-            df = df.join(_shares(sample, key, overall), key, "left").withColumn(f"{key}_share", F.coalesce(f"{key}_share", F.lit(overall)))
-        return df
-
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    trees = GBTClassifier(labelCol="label", maxIter=12, maxDepth=4, seed=7, minInfoGain=1e-6)
-    model = trees.fit(assembler.transform(with_shares(sample)).select("features", "label"))
-    scored = model.transform(assembler.transform(with_shares(keyed))).withColumn("score", vector_to_array("probability")[1])
-    return scored.select(
+    return trees.score(with_keys(ruled)).select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score"
     )

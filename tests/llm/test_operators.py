@@ -550,3 +550,31 @@ def test_embedding_recall_at_production_parameters(spark):
         else:
             assert [got[i] for i, _ in own] == linked.tolist()
     assert expected > 1500 and found >= 0.97 * expected
+
+
+def test_url_trees_on_held_out_urls(spark):
+    """URLs whose label follows from lexical features with some noise: trees fitted on one half judge the other; no leak from own labels."""
+    rng = random.Random(21)
+
+    def url(bad):
+        host = "".join(rng.choice("abcdefgh0123456789" if bad else "abcdefghijklmnop") for _ in range(rng.randrange(14, 24) if bad else rng.randrange(5, 12)))
+        params = "&".join(f"{rng.choice('abcdef')}={rng.randrange(10**6)}" for _ in range(rng.randrange(2, 6) if bad else rng.randrange(2)))
+        return f"http://{host}.{rng.choice(['com', 'net', 'info', 'top'] if bad else ['com', 'net', 'org'])}/{'x/' * rng.randrange(4)}{rng.randrange(10**4)}?{params}"
+
+    rows = [(url(bad), float(bad if rng.random() > 0.02 else not bad), k % 2, float(bad)) for k in range(4000) for bad in [k % 3 == 0]]
+    host, path = url_filter.parse_url(F.col("url"))
+    known = spark.createDataFrame(rows, "url string, label double, half int, truth double").withColumns({"host": host, "path": path})
+    trees = url_filter.fit(known.where("half = 0").select("url", "host", "path", "label"))
+    right = trees.score(url_filter.with_keys(known.where("half = 1"))).select((F.col("score") >= 0.5) == (F.col("truth") == 1)).collect()
+    assert np.mean([r[0] for r in right]) > 0.95
+    noise = known.select("url", "host", "path", (F.pmod(F.xxhash64("url", F.lit(99)), F.lit(2))).cast("double").alias("label"))
+    blind = url_filter.fit(noise)
+    seen = blind.features(url_filter.with_keys(noise).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(url_filter.FOLDS)), F.lit(url_filter.FOLDS))), fold=True)
+    assert abs(seen.select(F.corr("domain_share", "label")).first()[0]) < 0.1  # labels by chance cannot be told from their own shares
+
+
+def test_urls_that_are_hot_and_long(spark):
+    rows = [(i, f"http://h{i % 7}.example.org/{'es' if i % 2 else 'fr'}/{i}") for i in range(300)] + [(1000 + i, "http://hot.org/x") for i in range(3000)] + [(9999, "http://x.net/" + "a1/" * 40_000)] + [(9998, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, URL_RULES, training_urls=100).collect()}
+    assert len(got) == len(rows) and got[1000]["verdict"] == "allow" and got[9999]["rule"] is None and 0 <= got[9999]["score"] <= 1
