@@ -38,7 +38,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymise(table(spark, sf_dir, "documents"), kinds_col="kinds")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pseudonymise(docs, kinds_col="kinds")
     return found.select("doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("kinds")), " ").alias("kinds"))
 
 

@@ -196,34 +196,112 @@ def test_pack_histogram_is_whole_and_tight():
 # 3
 
 
-def test_pii_keeps_types_and_identity(spark, odd_docs, no_docs):
-    rows = [(1, "Mr Peter Novak <p.novak@corp.org> 4111 1111 1111 1111 and 4111-1111-1111-1111"), (2, "MR PETER NOVAK, P.NOVAK@corp.org; Mrs Anna Novak; +1 (136) 555-7479"), (3, "192.168.1.7 and 8.8.8.8, token = \"0cab398dc11d1a2a11dc6572c8df8bd228c864f3\""), (4, "version 2.0 of 2024, no data")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs).collect()}
-    assert got[4] == rows[3][1]
-    for part in ("p.novak", "Novak", "4111 1111", "555-7479", "8.8.8.8", "0cab398d"):
-        assert part.lower() not in " ".join(got.values()).lower()
-    a, b = pii.mentions(got[1]), pii.mentions(got[2])
-    assert [m.kind for m in a] == ["name:m", "email", "card", "card"] and a[2].canon == a[3].canon
-    card = a[2].canon
-    assert card[0] == "4" and pii._luhn(card[:-1]) == int(card[-1])
-    assert a[1].canon == b[1].canon if b[0].kind.startswith("name") else b[0].canon
-    ips = [m.canon for m in pii.mentions(got[3]) if m.kind == "ip"]
-    assert pii._ip_class(ips[0]) == pii._ip_class("192.168.1.7") and pii._ip_class(ips[1]) == pii._ip_class("8.8.8.8")
+def planted_person(rng, n):
+    """Entities of a document by kind, as written, and how the document writes them a second time."""
+    given, surname, greek = rng.choice(["Karl", "Zoe", "Tim", "Ida"]) + "abcdefghij"[n % 10], f"Quill{'abcdefghij'[n % 10]}{'klmnopqrst'[n // 10 % 10]}", f"Πέτρ{'αβγδεζηθικ'[n % 10]}ς"
+    digits = "".join(str(rng.randrange(10)) for _ in range(40))
+    card = "4" + digits[:14]
+    card += str(pii._luhn(card))
+    return {
+        "name": [f"{given} {surname}", surname], "email": [f"{surname}.{n}@Corp{n % 7}.org", f"{surname.upper()}.{n}@CORP{n % 7}.ORG"], "card": [" ".join(card[i : i + 4] for i in range(0, 16, 4)), card],
+        "phone": [f"+1 ({digits[:3]}) 555-{digits[3:7]}", f"+1 {digits[:3]}.555.{digits[3:7]}"], "ssn": [f"{digits[7:10]}-{digits[10:12]}-{digits[12:16]}"] * 2, "ip": [f"8.{n % 250}.{rng.randrange(256)}.{rng.randrange(255)}"] * 2,
+        "v6": [f"2a00:1450:{n + 1:x}::{n + 7:x}"] * 2, "secret": [hashlib.sha1(str(n).encode()).hexdigest(), hashlib.sha1(str(n).encode()).hexdigest().upper()], "greek": [greek, greek],
+    }
+
+
+def test_pii_query_equals_brute_force(spark, tmp_path):
+    """Outside of entities texts stay as they are; each entity has one surrogate in all texts, of its own form, and no two have the same."""
+    import re
+
+    from newsloom.llm.queries import op3_pii_surrogates
+
+    rng, docs, expected = random.Random(8), [], []
+    for n in range(120):
+        x = planted_person(rng, n)
+        order = [("Mr ", "name", 0), ("; ", "email", 0), (" card ", "card", 0), (", ", "phone", 0), (" or ", "ssn", 0), (" at ", "ip", 0), (" and ", "v6", 0), (" key=", "secret", 0), (". Κύριος ", "greek", 0), (". Later, ", "name", 1), (" wrote: Dr. ", "name", 1), ("'s ", "email", 1), (" / ", "card", 1), (" & ", "phone", 1), ("; ", "secret", 1), (" ΚΎΡΙΟΣ ", "greek", 1)]
+        docs.append((n, "".join(a + x[k][i] for a, k, i in order) + " the end", 1, "k"))
+        expected.append((order, x))
+    docs += [(500, docs[3][1], 1, "k"), (None, docs[4][1], 1, "k"), (None, "version 2.0 of 2024 at 12:30:45, no data", 1, "k"), (501, None, 1, "k")]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long, kinds string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op3_pii_surrogates(spark, str(tmp_path)).collect()
+    got, seen, back = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}, {}, {}
+    assert len(rows) == len(docs) and got[501]["text"] is None and {r["text"] for r in rows if r["doc_id"] is None} == {got[4]["text"], docs[-2][1]}
+    assert got[500]["text"] == got[3]["text"] and got[3]["kinds"] == "card email ip name phone secret ssn"
+    every = " ".join(r["text"] or "" for r in rows).lower()
+    for n, (order, x) in enumerate(expected):
+        parts = re.fullmatch("".join(re.escape(a) + "(.+?)" for a, _, _ in order) + " the end", got[n]["text"])
+        assert parts, got[n]["text"]
+        for (_, kind, i), new in zip(order, parts.groups()):
+            old = x[kind][i]
+            assert re.sub(r"[0-9a-fA-F]" if kind == "secret" else r"\w" if kind != "name" else r"\w+", "x", old) == re.sub(r"[0-9a-fA-F]" if kind == "secret" else r"\w" if kind != "name" else r"\w+", "x", new) or kind in ("ip", "v6", "greek"), (old, new)
+            form = (str.lower if kind in ("email", "secret", "greek") else str) if kind not in ("card", "phone") else lambda s: re.sub(r"\D", "", s)
+            for a, b in zip(*((s.split(" ") if kind == "name" else [s]) for s in (old, new))):
+                assert seen.setdefault((kind, form(a)), form(b)) == form(b) and back.setdefault((kind, form(b)), form(a)) == form(a)
+                assert kind == "name" and a[:3] in ("Kar", "Zoe", "Tim", "Ida") or a.lower() not in every, a
+            if kind == "card":
+                digits = form(new)
+                assert digits[0] == "4" and pii._luhn(digits[:-1]) == int(digits[-1])
+    assert not {b for _, b in back} & {a for _, a in seen}
+
+
+def test_pii_of_persons():
+    text = "In `Mr. John Smith met Frau Überall. Later Smith left, and Dr. Smith and MR SMITH stayed. John Smith's. Herr Dr. von Braun-Müller; my name is Ana Lee; Prof. Maria de la Cruz, Госпожа Петрова, Иван Петров, Frau überall, J. Smith"
+    new, kinds = pii.replace_text(text, "k", {}, {})
+    for old in ("John", "Smith", "SMITH", "Überall", "Braun", "Müller", "Ana", "Lee", "Maria", "Cruz", "Петров", "Иван"):
+        assert old not in new
+    assert "Frau überall" in new and " de la " in new and "Herr Dr. von " in new and len(kinds) == 18
+    a = new.split()
+    surname = a[3].rstrip(".,")
+    assert [w.strip(".,") for w in a].count(surname) == 4 and f"MR {surname.upper()} stayed" in new and f"{a[2]} {surname}'s" in new and f"J. {surname}" in new
+    assert new.split("Госпожа ")[1].split(",")[0] == new.split("Госпожа ")[1].split(" ")[2].rstrip(",") + "а"
+    assert pii.script_of(new.split("Госпожа ")[1].split(",")[0]) == "cyrillic"
+    assert [pii.replace_text(t, "k", {}, {})[0] for t in ("well-known words. Nothing here", "", "Smith alone")] == ["well-known words. Nothing here", "", "Smith alone"]
+    assert pii.surrogate("name:given", "john", "k", 0, "m").capitalize() in pii.GIVEN["latin", "m"] and pii.surrogate("name:given", "mary", "k", 1, "f").capitalize() in pii.GIVEN["latin", "f"]
+
+
+def test_pii_of_addresses():
+    import ipaddress
+
+    local = "a" * 200
+    new, kinds = pii.replace_text(f"{local}@example.org and {'b.c' * 70}@mail.corp.co.uk", "k", {}, {})
+    assert kinds == ["email", "email"] and "aaaa" not in new and "b.cb.c" not in new and new.count("@") == 2 and new.endswith(".uk")
+    for old in ("8.8.8.8", "10.1.2.3", "169.254.3.4", "192.168.1.7", "172.20.1.1", "203.0.113.9", "224.0.0.5"):
+        for attempt in (0, 3):
+            address = ipaddress.IPv4Address(pii.surrogate("ip", old, "k", attempt))
+            own = [n for n in pii.NETWORKS if ipaddress.IPv4Address(old) in n]
+            assert own == [n for n in pii.NETWORKS if address in n]
+    assert pii.replace_text("0.0.0.0 127.0.0.1 255.255.255.255 ::1 12:30:45 std::vector 999.1.1.1", "k", {}, {})[1] == []
+    new = pii.replace_text("fe80::1ff:fe23:4567:890a 2001:0DB8:85A3:0000:0000:8A2E:0370:7334", "k", {}, {})[0].split()
+    assert new[0].startswith("fe80::") and new[1].startswith("2001:0DB8:") and len(new[1]) == 39 and "85A3" not in new[1]
+
+
+def test_pii_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert pii.pseudonymise(odd_docs).columns == odd_docs.columns
-    odd = pii.pseudonymise(odd_docs, kinds_col="kinds_found").collect()
+    clash = pii.pseudonymise(odd_docs, kinds_col="kinds")
+    assert sorted(clash.columns) == sorted(odd_docs.columns)
+    odd = clash.collect()
     assert len(odd) == odd_docs.count() and sum(r["text"] is None for r in odd) == 1
     assert all(r["n_chars"] == len(r["text"]) for r in odd if r["text"] is not None)
+    assert [r["kinds"] for r in odd if r["doc_id"] == 9] == [["email", "phone", "card", "ip"]] * 2
     assert pii.pseudonymise(no_docs).count() == 0
-
-
-def test_surrogates_are_distinct(spark):
-    found = spark.createDataFrame([(1, "name:m", f"peter {a}{b}", 1) for a in "abcdefgh" for b in "klmnopqrst"] + [(1, "ssn", f"{n:09d}", 1) for n in range(300)] + [(1, "email", f"{a}{b}@m.example.com", 1) for a in "abcdefghij" for b in "0123456789"], "id long, kind string, canon string, n long")
-    attempts = {(r["kind"], r["canon"]): r["attempt"] for r in pii.exceptions(found).collect()}
-    rows = [(r["kind"], r["canon"]) for r in found.collect()]
-    new = [(k, pii.surrogate(k, c, pii.DEFAULT_KEY, attempts.get((k, c), 0))) for k, c in rows]
+    # The same without a broadcast of what drew again.
+    docs = spark.createDataFrame([(i % 3 or None, f"Herr Karl{c} Roth{d} at 192.0.2.{i}") for i, (c, d) in enumerate((c, d) for c in "abcdefghij" for d in "klmnopqrst")], "doc_id long, text string")
+    at_once = sorted(r["text"] for r in pii.pseudonymise(docs).collect())
+    monkeypatch.setattr(pii, "BROADCAST_ENTITIES", 0)
+    assert sorted(r["text"] for r in pii.pseudonymise(docs).collect()) == at_once
+    assert len({t.split(" at ")[1] for t in at_once}) == 100 and len({t.split()[2] for t in at_once}) == 10
+
+
+def test_surrogates_are_distinct(spark, monkeypatch):
+    rows = [("name:given", f"peter{a}{b}") for a in "abcdefgh" for b in "klmnopqrst"] + [("ssn", f"{n:09d}") for n in range(300)] + [("email", f"{a}{b}@m.example.com") for a in "abcdefghij" for b in "0123456789"] + [("ip", f"192.0.2.{i}") for i in range(256)]
+    found = spark.createDataFrame([(1, k, c, "m" if c[5:6] < "e" else "n") for k, c in rows], "text_hash long, kind string, canon string, gender string")
+    special = {(r["kind"], r["canon"]): (r["attempt"], r["gender"]) for r in pii.exceptions(found).collect()}
+    new = [(k, pii.surrogate(k, c, pii.DEFAULT_KEY, *special.get((k, c), (0, "n")))) for k, c in rows]
     assert len(set(new)) == len(rows) and not set(new) & set(rows)
-    assert attempts  # some had to draw again
+    assert {a for a, _ in special.values()} >= {0, 1, 8}  # some had to draw again, and addresses of a full range from a wider one
+    monkeypatch.setattr(pii, "MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="no distinct surrogates"):
+        pii.exceptions(found)
 
 
 def test_permutation_is_one_to_one():
