@@ -346,15 +346,73 @@ def test_toxicity_held_out(spark, odd_docs, no_docs):
 # 6 and 7
 
 
+MIT = """Copyright (c) 2024 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD + "\n3. Neither the name of Foo & Sons, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."
+FULL = [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD_3, "BSD-3-Clause"), (GPL, "GPL-3.0-or-later"), (LGPL, "LGPL-2.1-or-later"), (APACHE, "Apache-2.0"), (ZLIB, "Zlib"), (MPL, "MPL-2.0")]
+
+
+def layouts(text):
+    """The text as it stands in files: on one line, in paragraphs, wrapped, in comments, below a heading."""
+    import textwrap
+
+    paragraphs = text.split("\n")
+    wrapped = {w: "\n".join(line for p in paragraphs for line in (textwrap.wrap(p, w) or [""])) for w in (40, 65, 78)}
+    yield " ".join(text.split())
+    yield text
+    yield from wrapped.values()
+    for mark in (" * ", "// ", "# ", "-- ", "> "):
+        yield "/*\n" + "\n".join(mark + x for x in wrapped[65].split("\n")) + "\n */\nint main();"
+    yield "A heading without an end\n" + wrapped[78] + "\r\nand more"
+    yield wrapped[78].replace("\n", "\r\n")
+
+
+def test_licenses_in_all_layouts(spark):
+    cases = [(layout, licence) for text, licence in FULL for layout in layouts(text)]
+    docs = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.recognise(docs).collect()}
+    assert [(i, got[i], x) for i, (x, licence) in enumerate(cases) if got[i] != licence] == []
+
+
 def test_licenses(spark, odd_docs, no_docs):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nother\nThe software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."
-    texts = [mit, "x\nLicensed under CC BY-NC 4.0.\ny. Released under the MIT license", "As is", "LICENSED### under&&& the Apache License, Version 2.0."]
+    texts = ["x\nLicensed under CC BY-NC 4.0.\ny. Released under the MIT license", "As is", "LICENSED### under&&& the Apache License, Version 2.0.", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "not licensed under the MIT License at all", MIT + "\n\n" + APACHE, " ".join(APACHE.split()[:10])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["licenses"], r["n_licenses"]) for r in license_scan.recognise(docs).collect()}
-    assert got == {0: ("MIT", 1), 1: ("MIT CC-BY-NC-4.0", 2), 2: ("", 0), 3: ("Apache-2.0", 1)}
+    assert got == {0: ("MIT CC-BY-NC-4.0", 2), 1: ("", 0), 2: ("Apache-2.0", 1), 3: ("GPL-2.0-or-later", 1), 4: ("", 0), 5: ("Apache-2.0 MIT", 2), 6: ("Apache-2.0", 1)}
+    order = license_scan.recognise(docs.where("doc_id = 5")).first()["sentence_ids"].split()
+    assert order == ["mit-grant", "mit-condition", "mit-as-is", "apache-grant", "apache-grant-2", "apache-copy", "apache-as-is", "apache-see"]
     odd = {r["doc_id"]: r["licenses"] for r in license_scan.recognise(odd_docs).collect()}
     assert odd[-5] == "MIT" and odd[3] == ""
     assert license_scan.recognise(no_docs).count() == 0
+    many = spark.createDataFrame([(1, "Permission is hereby granted\n" * 20_000)], "doc_id long, text string")
+    assert license_scan.recognise(many).first()["licenses"] == ""
 
 
 def test_urls(spark):
