@@ -56,7 +56,27 @@ def merged_tags(new: Column, old: Column, most: int = 10) -> Column:
 
 
 def cleaned_tags(tags: Column, most: int = 5) -> Column:
-    return F.slice(F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != ""), 1, most)
+    """Tags that are not null or empty, trimmed, the first ones."""
+    return F.slice(F.transform(F.filter(tags, lambda t: t != ""), lambda t: F.trim(t)), 1, most)
+
+
+def ascii_json(tags: Column) -> Column:
+    """A JSON array of strings in which every character beyond ASCII is written as an escape of its UTF-16 units."""
+
+    def unit(n: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def escaped(c: Column) -> Column:
+        point = F.ascii(c)
+        pair = F.concat(unit(F.shiftright(point - 0x10000, 10) + 0xD800), unit(((point - 0x10000) % 0x400) + 0xDC00))
+        return F.when(point < 128, c).when(point < 0x10000, unit(point)).otherwise(pair)
+
+    def quoted(tag: Column) -> Column:
+        listed = F.to_json(F.array(tag))
+        return F.substring(listed, F.lit(2), F.char_length(listed) - 2)
+
+    whole = F.concat(F.lit("["), F.array_join(F.transform(tags, quoted), ", "), F.lit("]"))
+    return F.array_join(F.transform(F.regexp_extract_all(whole, F.lit("(?s)."), F.lit(0)), escaped), "")
 
 
 def salted_hash(text: Column) -> Column:

@@ -108,10 +108,15 @@ def sentences(text: Column) -> Column:
     return F.split(strip(_or_empty(text)), r"(?<=[.!?])\s+")
 
 
+def joined_sentences(cut: Column, n: int = 2) -> Column:
+    """The first n of these sentences that have more than ten characters."""
+    kept = F.filter(F.transform(cut, strip), lambda s: F.char_length(s) > 10)
+    return F.array_join(F.slice(kept, 1, n), " ")
+
+
 def first_sentences(text: Column, n: int = 2) -> Column:
     """The first n sentences of more than ten characters."""
-    kept = F.filter(F.transform(sentences(text), strip), lambda s: F.char_length(s) > 10)
-    return F.array_join(F.slice(kept, 1, n), " ")
+    return joined_sentences(sentences(text), n)
 
 
 def restates_title(summary: Column, title: Column, threshold: float = 0.75) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Seconds of an active day for streaks and for averages, days that the longest streak looks at, scroll of a finished read.
-STREAK_SECONDS, ACTIVE_SECONDS, STREAK_DAYS, FINISHED = 60, 60, 180, 80
+from ..functions.scalars import duration_text
+
+# Seconds of an active day for streaks and for averages, days that the longest streak looks at, scroll of a finished read, seconds of a read.
+STREAK_SECONDS, ACTIVE_SECONDS, STREAK_DAYS, FINISHED, READ_SECONDS = 60, 60, 180, 80, 10
 
 
 def daily_activity(beats: DataFrame) -> DataFrame:
@@ -49,11 +51,16 @@ def streaks(daily: DataFrame, as_of: Column) -> DataFrame:
     return daily.select("user_id").distinct().join(found, "user_id", "left").select("user_id", F.coalesce("c", F.lit(0)).cast("long").alias("current_streak"), F.coalesce("l", F.lit(0)).cast("long").alias("longest_streak"))
 
 
+def read_lately(progress: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """Reads of the last days up to as_of."""
+    return progress.where(F.to_date("updated_at") >= F.date_sub(F.to_date(as_of), days - 1))
+
+
 def categories(progress: DataFrame, articles: DataFrame, pillars: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """(user_id, pillar_id, reads, percent, is_top): reads of the last days by pillar, pillars without any included."""
-    recent = progress.where(F.to_date("updated_at") >= F.date_sub(F.to_date(as_of), days - 1)).join(articles.select(F.col("id").alias("article_id"), "pillar_id"), "article_id")
+    recent = read_lately(progress, as_of, days).join(articles.select(F.col("id").alias("article_id"), "pillar_id"), "article_id")
     counts = recent.groupBy("user_id", "pillar_id").agg(F.count("*").alias("reads"))
-    grid = progress.select("user_id").distinct().withColumn("pillar_id", F.explode(F.lit(sorted(r["pillar_id"] for r in pillars.select("pillar_id").collect()))))  # a dimension of a few rows
+    grid = progress.select("user_id").distinct().crossJoin(F.broadcast(pillars.select("pillar_id")))  # a dimension of a few rows
     filled = grid.join(counts, ["user_id", "pillar_id"], "left").withColumn("reads", F.coalesce("reads", F.lit(0)).cast("long"))
     user = Window.partitionBy("user_id")
     total = F.greatest(F.lit(1), F.sum("reads").over(user))
@@ -75,7 +82,40 @@ def unfinished(progress: DataFrame, articles: DataFrame, as_of: Column, low: int
     return latest.join(articles.select(F.col("id").alias("article_id"), "headline"), "article_id").select("user_id", "article_id", "headline", "scroll_pct", F.col("duration_sec").alias("read_sec"), F.col("updated_at").alias("last_read"))
 
 
-def recent_reads(progress: DataFrame, articles: DataFrame, most: int = 10) -> DataFrame:
-    """Each user's latest reads with their articles."""
-    ranked = progress.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("updated_at"), F.desc("article_id")))).where(F.col("n") <= most)
-    return ranked.join(articles.select(F.col("id").alias("article_id"), "headline", "pillar_id"), "article_id").select("user_id", "article_id", "headline", "pillar_id", "scroll_pct", "completed", "updated_at")
+def latest_reads(progress: DataFrame, most: int = 10) -> DataFrame:
+    """Each user's latest reads."""
+    return progress.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("updated_at"), F.desc("article_id")))).where(F.col("n") <= most).drop("n")
+
+
+def recent_reads(latest: DataFrame, articles: DataFrame) -> DataFrame:
+    """The latest reads with their articles."""
+    return latest.join(articles.select(F.col("id").alias("article_id"), "headline", "pillar_id"), "article_id").select("user_id", "article_id", "headline", "pillar_id", "scroll_pct", "completed", "updated_at")
+
+
+def analytics(daily: DataFrame, progress: DataFrame, articles: DataFrame, pillars: DataFrame, as_of: Column) -> DataFrame:
+    """One row per user with all that a profile shows of the reading: time, streaks, articles, the week's days and categories.
+
+    Users are those with any activity. The two nested columns are arrays of structs, in the order of days and of pillars; the top
+    category is the first of the most read ones, also where nothing was read.
+    """
+    today, first = F.to_date(as_of), F.date_sub(F.to_date(as_of), 6)
+    days = week(daily, as_of).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("day", "duration_sec"))).alias("daily_sec"))
+    late = F.col("session_date") >= first
+    times = daily.groupBy("user_id").agg(
+        F.coalesce(F.sum(F.when(F.col("session_date") == today, F.col("duration_sec"))), F.lit(0)).alias("time_today_sec"),
+        F.coalesce(F.sum(F.when(late, F.col("duration_sec"))), F.lit(0)).alias("time_week_sec"),
+        F.count_if(late & (F.col("session_date") <= today) & (F.col("duration_sec") > ACTIVE_SECONDS)).alias("active_days_week"),
+    )
+    read = F.to_date("updated_at")
+    counts = progress.groupBy("user_id").agg(
+        F.count_if((read == today) & (F.col("duration_sec") >= READ_SECONDS)).alias("articles_today"), F.count_if((read >= first) & (F.col("duration_sec") >= READ_SECONDS)).alias("articles_week"), F.count("*").alias("articles_total")
+    )
+    listed = categories(progress, articles, pillars, as_of).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pillar_id", "reads", "percent"))).alias("categories"))
+    most = F.array_max(F.transform("categories", lambda c: c["reads"]))
+    top = F.get(F.filter("categories", lambda c: c["reads"] == most), F.lit(0))["pillar_id"]
+    out = times.join(days, "user_id").join(streaks(daily, as_of), "user_id").join(counts, "user_id", "left").join(listed, "user_id", "left")
+    return out.select(
+        "user_id", "time_today_sec", duration_text(F.col("time_today_sec")).alias("time_today_formatted"), "time_week_sec", duration_text(F.col("time_week_sec")).alias("time_week_formatted"), "current_streak", "longest_streak",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("articles_today", "articles_week", "articles_total")), "daily_sec", "categories", top.alias("top_category"),
+        F.round(F.col("time_week_sec") / F.greatest(F.lit(1), F.col("active_days_week")) / 60, 1).alias("avg_session_minutes"), "active_days_week",
+    )

@@ -72,6 +72,24 @@ def profile(actions: DataFrame, preferences: DataFrame, marks: DataFrame) -> Dat
     return out.select("user_id", "n_read", "n_liked", "n_actions", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_topics", "n_bookmarks")), "top_weight")
 
 
+def profile_page(actions: DataFrame, preferences: DataFrame, marks: DataFrame) -> DataFrame:
+    """(user_id, articles_read, likes, bookmarks, preferences) of each user with actions; preferences from the heaviest down."""
+    done = actions.groupBy("user_id").agg(F.count_if(F.col("action") == "read").alias("articles_read"), F.count_if(F.col("action") == "like").alias("likes"))
+    listed = preferences.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("order"), "topic_name", "pillar_id", F.round("weight", 2).alias("weight")))).alias("p"))
+    listed = listed.select("user_id", F.transform("p", lambda x: x.dropFields("order")).alias("preferences"))
+    saved = marks.groupBy("user_id").agg(F.count("*").alias("bookmarks"))
+    out = done.join(saved, "user_id", "left").join(listed, "user_id", "left")
+    none = F.array().cast("array<struct<topic_name string, pillar_id int, weight double>>")
+    return out.select("user_id", "articles_read", "likes", F.coalesce("bookmarks", F.lit(0)).alias("bookmarks"), F.coalesce("preferences", none).alias("preferences"))
+
+
+def as_json(decorated_articles: DataFrame) -> DataFrame:
+    """(id, body): each article as one nested JSON text."""
+    pillar = F.struct(F.col("pillar_id").alias("id"), F.col("pillar_name").alias("name"), F.col("pillar_slug").alias("slug"))
+    body = F.struct("id", F.col("headline").alias("refined_title"), pillar.alias("pillar"), "micro_tags", F.col("is_trending").alias("isTrending"))
+    return decorated_articles.select("id", F.to_json(body).alias("body"))
+
+
 def pillar_counts(articles: DataFrame, pillars: DataFrame) -> DataFrame:
     counts = articles.groupBy("pillar_id").agg(F.count("*").alias("n"))
     return pillars.join(counts, "pillar_id", "left").select("pillar_id", "name", F.coalesce("n", F.lit(0)).cast("long").alias("n_articles"))

@@ -26,7 +26,7 @@ def similar_titles(articles: DataFrame, threshold: float = 0.8, id_col: str = "i
 
     Titles of one word set are compared once, as a class under their smallest id. Two sets as alike as asked share a word
     among the first of either in the order from rare to frequent words; only those words are joined on, so frequent words
-    make no candidates. Classes that hold several ids are paired with themselves by `title_classes`.
+    make no candidates. Members of a class are in `class_members`.
     """
     classes = title_classes(articles, id_col, title_col).where(F.size("tokens") > 0)
     reps = classes.groupBy("tokens").agg(F.min("id").alias("id"))
@@ -41,6 +41,12 @@ def similar_titles(articles: DataFrame, threshold: float = 0.8, id_col: str = "i
     return found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
+def class_members(articles: DataFrame, id_col: str = "id", title_col: str = "headline") -> DataFrame:
+    """(id, class_id, n): each title with the smallest id of its word set and how many titles have it; titles without words have no class."""
+    members = title_classes(articles, id_col, title_col).where(F.size("tokens") > 0)
+    return members.join(members.groupBy("tokens").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "tokens").select("id", "class_id", "n")
+
+
 def title_classes(articles: DataFrame, id_col: str = "id", title_col: str = "headline") -> DataFrame:
     """(id, tokens): the sorted word set of each title."""
     return articles.select(F.col(id_col).alias("id"), F.array_sort(token_set(F.col(title_col))).alias("tokens"))

@@ -17,14 +17,18 @@ def engagement(actions: DataFrame) -> DataFrame:
     return actions.where("action = 'read'").groupBy(F.col("article_id").alias("id")).agg(F.count("*").alias("engagement"))
 
 
-def scores(articles: DataFrame, preferences: DataFrame, as_of: Column, candidates: int = CANDIDATES, days: int = DAYS) -> DataFrame:
-    """(user_id, article_id, score) over all users with preferences and the newest articles.
+def candidates(articles: DataFrame, as_of: Column, most: int = CANDIDATES, days: int = DAYS) -> DataFrame:
+    """The newest articles of the last days, at most so many. What takes long to work out about articles belongs behind this."""
+    return articles.where(F.col("published_at") > as_of - F.expr(f"INTERVAL {days} DAYS")).orderBy(F.desc("published_at"), F.desc("id")).limit(most)
+
+
+def scores(candidates: DataFrame, preferences: DataFrame, as_of: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, article_id, score) over all users with preferences and the candidates, with those of their columns that are to be kept.
 
     The candidates are limited by number, so every user meets a table of fixed size, which is broadcast. Weights of pillars
     add up; of topics that differ in case only the last one by name counts.
     """
-    newest = articles.where(F.col("published_at") > as_of - F.expr(f"INTERVAL {days} DAYS")).orderBy(F.desc("published_at"), F.desc("id")).limit(candidates)
-    facts = newest.select("id", "pillar_id", F.transform("micro_tags", lambda t: F.lower(t)).alias("tags"), recency(F.col("published_at"), as_of).alias("recency"), engagement_boost(F.col("engagement")).alias("boost"), F.when(F.col("is_trending"), 0.5).otherwise(0.0).alias("trend"))
+    facts = candidates.select("id", *keep, "pillar_id", F.transform("micro_tags", lambda t: F.lower(t)).alias("tags"), recency(F.col("published_at"), as_of).alias("recency"), engagement_boost(F.col("engagement")).alias("boost"), F.when(F.col("is_trending"), 0.5).otherwise(0.0).alias("trend"))
     by_pillar = preferences.groupBy("user_id", "pillar_id").agg(F.sum("weight").alias("w"))
     by_topic = preferences.groupBy("user_id", F.lower("topic_name").alias("topic")).agg(F.max_by("weight", "topic_name").alias("w"))
     users = (
@@ -35,12 +39,15 @@ def scores(articles: DataFrame, preferences: DataFrame, as_of: Column, candidate
     liked = F.coalesce(F.try_element_at("pillars", F.col("pillar_id")), F.lit(0.0))
     tags = F.aggregate(F.transform("tags", lambda t: F.coalesce(F.try_element_at(F.col("topics"), t), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     total = (liked * 2 + tags * 3) * F.col("recency") + F.col("boost") + F.col("trend") + serendipity(F.col("id"), F.col("user_id"))
-    return met.select("user_id", F.col("id").alias("article_id"), F.round(total, 6).alias("score")).where(F.col("score") > LEAST_SCORE)
+    return met.select("user_id", F.col("id").alias("article_id"), F.round(total, 6).alias("score"), *keep).where(F.col("score") > LEAST_SCORE)
 
 
-def page(feed: DataFrame, articles: DataFrame, number: int = 1, size: int = 10, scope: str | None = None, pillar: int | None = None) -> DataFrame:
-    """One page of every user's feed, best first, with has_more; filters that aren't given don't apply."""
-    joined = feed.join(articles.withColumnRenamed("id", "article_id"), "article_id")
+def page(feed: DataFrame, articles: DataFrame | None = None, number: int = 1, size: int = 10, scope: str | None = None, pillar: int | None = None) -> DataFrame:
+    """One page of every user's feed, best first, with has_more; filters that aren't given don't apply.
+
+    What it orders and filters by comes with the feed or else from articles.
+    """
+    joined = feed if articles is None else feed.join(articles.withColumnRenamed("id", "article_id"), "article_id")
     for name, value in (("scope", scope), ("pillar_id", pillar)):
         if value is not None:
             joined = joined.where(F.col(name) == value)
@@ -52,7 +59,6 @@ def page(feed: DataFrame, articles: DataFrame, number: int = 1, size: int = 10,
 
 def page_or_recent(page_rows: DataFrame, recent: DataFrame, least: int = SHORT_PAGE) -> DataFrame:
     """The page, or the recent articles at score 1 where the page has too few rows; both of the same columns."""
-    n = page_rows.agg(F.count("*").alias("n"))  # one row
-    long_enough = page_rows.crossJoin(F.broadcast(n)).where(F.col("n") >= least).drop("n")
-    instead = recent.crossJoin(F.broadcast(n)).where(F.col("n") < least).drop("n")
-    return long_enough.unionByName(instead)
+    both = page_rows.withColumn("__own", F.lit(True)).unionByName(recent.withColumn("__own", F.lit(False)))  # two pages
+    counted = both.withColumn("__n", F.count_if("__own").over(Window.partitionBy()))
+    return counted.where(F.col("__own") == (F.col("__n") >= least)).drop("__own", "__n")

@@ -17,16 +17,26 @@ def quotes(raw: DataFrame) -> DataFrame:
     return raw.select("symbol", F.round(price, 2).alias("price"), F.round(price - before, 2).alias("change"), F.round(F.coalesce(F.try_divide((price - before) * 100, before), F.lit(0.0)), 2).alias("change_pct"))
 
 
-def spark_lines(candles: DataFrame, points: int = POINTS) -> DataFrame:
-    """The last closes that are not null of each symbol, in order: (symbol, pos, close)."""
-    last = candles.where("close is not null").withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("pos")))).where(F.col("n") <= points)
-    return last.select("symbol", "pos", F.round("close", 2).alias("close"))
+def spark_lines(candles: DataFrame, points: int = POINTS, order: tuple[str, ...] = ("at",)) -> DataFrame:
+    """The last closes that are not null of each symbol: (symbol, n, close), n from 1 for the latest. Each task keeps its own last ones only."""
+    latest = Window.partitionBy("symbol").orderBy(*[F.desc(c) for c in order])
+    last = candles.where("close is not null").withColumn("n", F.row_number().over(latest)).where(F.col("n") <= points)
+    return last.select("symbol", F.col("n").cast("long").alias("n"), F.round("close", 2).alias("close"))
 
 
-def close_to_close(candles: DataFrame) -> DataFrame:
-    """The change of each close on the one before."""
-    w = Window.partitionBy("symbol").orderBy("pos")
-    return candles.where("close is not null").select("symbol", "pos", F.round(F.col("close") - F.lag("close").over(w), 2).alias("change"))
+def close_to_close(candles: DataFrame, day: str = "day", order: tuple[str, ...] = ("at",)) -> DataFrame:
+    """candles (symbol, day, order columns, close) with the change of each close on the one before; rows without a close go.
+
+    A symbol's history is ordered day by day, so no task orders all of it; the last close of the day before is carried over by
+    a window over days, of which there are few.
+    """
+    known = candles.where("close is not null")
+    own = Window.partitionBy("symbol", day).orderBy(*order)
+    last = known.groupBy("symbol", day).agg(F.max_by("close", F.struct(*order)).alias("__last"))
+    carried = last.withColumn("__before", F.lag("__last").over(Window.partitionBy("symbol").orderBy(day))).drop("__last")
+    joined = known.withColumn("__lag", F.lag("close").over(own)).join(carried, ["symbol", day])
+    change = F.col("close") - F.coalesce("__lag", "__before")
+    return joined.withColumn("change", F.round(change, 2)).drop("__lag", "__before")
 
 
 def crypto_quotes(raw: DataFrame, labels: DataFrame) -> DataFrame:
@@ -63,6 +73,14 @@ def fresh(snapshots: DataFrame, as_of: Column) -> DataFrame:
     return latest.where(alive & F.col("payload").isNotNull() & ~F.col("payload").isin("", "{}"))
 
 
+def by_class(long: DataFrame, classes: list[str]) -> DataFrame:
+    """(asset_class, quotes): of each class all quotes in the order of their labels; a class without any has an empty array."""
+    every = long.sparkSession.createDataFrame([(c,) for c in classes], "asset_class string")
+    listed = long.groupBy("asset_class").agg(F.array_sort(F.collect_list(F.struct("label", "price", "change", "change_pct"))).alias("quotes"))
+    none = F.array().cast("array<struct<label string, price double, change double, change_pct double>>")
+    return every.join(listed, "asset_class", "left").select("asset_class", F.coalesce("quotes", none).alias("quotes"))
+
+
 def board(**classes: DataFrame) -> DataFrame:
     """One long table (asset_class, label, price, change, change_pct) of all classes that are given."""
     out = None

@@ -37,6 +37,22 @@ def upserted_sum(store: DataFrame, rows: DataFrame, keys: list[str], value: str)
     return store.select(*keys, value).unionByName(rows.select(*keys, value)).groupBy(*keys).agg(F.sum(value).alias(value))
 
 
+def replaced_by_key(store: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """store with a row for each key of `rows`, in place of the one it has: of several with one key the last in the order.
+
+    Rows of one key come down to one in each task before they are shuffled.
+    """
+    values = [c for c in store.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__row")).select(*keys, "__row.*")
+    return without(store, last, keys).unionByName(last)
+
+
+def backfilled(store: DataFrame, column: str, value: Column) -> DataFrame:
+    """store with the value where the column is null or empty."""
+    missing = F.col(column).isNull() | (F.col(column) == "")
+    return store.withColumn(column, F.when(missing, value).otherwise(F.col(column)))
+
+
 def evolved(old: DataFrame, new: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Both tables in one, with defaults in columns that one of them lacks."""
     both = old.unionByName(new, allowMissingColumns=True)

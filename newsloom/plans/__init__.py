@@ -1 +1,4 @@
+"""The named queries: single operators in `queries`, several in one in `composed`."""
 
+from . import composed, queries  # noqa: F401  they register what they define
+from .registry import QUERIES, SQL  # noqa: F401

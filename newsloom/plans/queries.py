@@ -2,42 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars, text
 from ..functions.taxonomy import matched_topics, pillar_of, scope_of
 from ..operators import activity, browse, dedup, enrichment, feed, markets, mutations, preferences
 from ..sources import adapters as A
 from . import sql as S
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+from .registry import query
 
 
 def moment(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
+def read_articles(spark: SparkSession, d: str, reads: DataFrame) -> DataFrame:
+    """The articles of these reads (article_id), classified: the others need no class."""
+    return A.with_classes(A.articles(spark, d, classified=False).join(reads.select(F.col("article_id").alias("id")).distinct(), "id", "left_semi"))
+
+
 def prefs(spark: SparkSession, d: str) -> DataFrame:
-    return preferences.learned_weights(A.interactions(spark, d), A.articles(spark, d))
+    acts = A.interactions(spark, d)
+    return preferences.learned_weights(acts, read_articles(spark, d, acts))
 
 
-def engaged(spark: SparkSession, d: str) -> DataFrame:
-    return A.articles(spark, d).join(feed.engagement(A.interactions(spark, d)), "id", "left").withColumn("engagement", F.coalesce("engagement", F.lit(0)))
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The articles that feeds choose from, classified once there are few."""
+    newest = A.with_classes(feed.candidates(A.articles(spark, d, classified=False), A.as_of()))
+    return newest.join(feed.engagement(A.interactions(spark, d)), "id", "left").withColumn("engagement", F.coalesce("engagement", F.lit(0)))
 
 
 ARTICLES, PLAIN, ACTIONS, BEATS, DAILY, PROGRESS, PREFS, FEED = S.articles(), S.plain_articles(), S.actions(), S.beats(), S.daily(), S.progress(), S.preferences(), S.feed()
@@ -132,31 +125,32 @@ def pref_weights(spark, d):
 
 @query(S.with_(ARTICLES, ACTIONS, PREFS, FEED) + "SELECT user_id, article_id, score FROM feed")
 def feed_scores(spark, d):
-    return feed.scores(engaged(spark, d), prefs(spark, d), A.as_of())
+    return feed.scores(candidates(spark, d), prefs(spark, d), A.as_of())
 
 
 @query(S.with_(ARTICLES, ACTIONS, PREFS, FEED) + """, ranked AS (SELECT f.user_id, f.article_id, f.score, a.headline, a.scope, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, published_at DESC, article_id DESC) AS rank FROM feed f JOIN articles a ON a.id = f.article_id WHERE a.scope = 'local'),
 more AS (SELECT *, max(rank) OVER (PARTITION BY user_id) > 20 AS has_more FROM (SELECT * FROM ranked WHERE rank <= 21))
 SELECT user_id, article_id, score, headline, rank::BIGINT AS rank, has_more FROM more WHERE rank > 10 AND rank <= 20""")
 def feed_page(spark, d):
-    shown = feed.page(feed_scores(spark, d), A.articles(spark, d).select("id", "headline", "scope", "published_at"), number=2, scope="local")
+    scored = feed.scores(candidates(spark, d), prefs(spark, d), A.as_of(), keep=("headline", "scope", "published_at"))
+    shown = feed.page(scored, number=2, scope="local")
     return shown.select("user_id", "article_id", "score", "headline", F.col("rank").cast("long").alias("rank"), "has_more")
 
 
-@query(S.with_(ARTICLES, ACTIONS, PREFS, FEED) + """, page AS (SELECT f.article_id AS id, f.score, a.headline FROM feed f JOIN articles a ON a.id = f.article_id WHERE f.user_id = 7 AND a.scope = 'nowhere' ORDER BY score DESC LIMIT 10),
+@query(S.with_(ARTICLES, ACTIONS, PREFS, FEED) + """, page AS (SELECT f.article_id AS id, f.score, a.headline FROM feed f JOIN articles a ON a.id = f.article_id WHERE f.user_id = 7 AND a.scope = 'nowhere' ORDER BY score DESC, a.published_at DESC, a.id DESC LIMIT 10),
 recent AS (SELECT id, 1.0::DOUBLE AS score, headline FROM articles ORDER BY published_at DESC, id DESC LIMIT 10)
 SELECT * FROM page WHERE (SELECT count(*) FROM page) >= 5 UNION ALL SELECT * FROM recent WHERE (SELECT count(*) FROM page) < 5""")
 def feed_page_fallback(spark, d):
-    arts = A.articles(spark, d)
-    one = feed_scores(spark, d).where("user_id = 7").join(arts.withColumnRenamed("id", "article_id"), "article_id").where("scope = 'nowhere'")
-    page = one.orderBy(F.desc("score")).limit(10).select(F.col("article_id").alias("id"), "score", "headline")
-    recent = arts.orderBy(*browse.newest()).limit(10).select("id", F.lit(1.0).alias("score"), "headline")
+    mine = prefs(spark, d).where("user_id = 7")
+    scored = feed.scores(candidates(spark, d), mine, A.as_of(), keep=("headline", "scope", "published_at")).where("scope = 'nowhere'")
+    page = scored.orderBy(F.desc("score"), F.desc("published_at"), F.desc("article_id")).limit(10).select(F.col("article_id").alias("id"), "score", "headline")
+    recent = A.articles(spark, d, classified=False).orderBy(*browse.newest()).limit(10).select("id", F.lit(1.0).alias("score"), "headline")
     return feed.page_or_recent(page, recent)
 
 
-@query(f"SELECT doc_id, round(1 / (1 + ln(1 + date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00' + to_hours((doc_id % 720)::INTEGER), {S.NOW}) / 3.6e9 / 4)), 6) AS recency, round(ln(1 + n_chars::DOUBLE) * 0.1, 6) AS boost, (('0x' || substr(md5(doc_id::VARCHAR || ':' || source), 1, 8))::BIGINT % 100) / 1000.0::DOUBLE AS bucket FROM documents")
+@query(f"SELECT doc_id, round(1 / (1 + ln(1 + date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00' + to_hours((doc_id * 337 % 720)::INTEGER), {S.NOW}) / 3.6e9 / 4)), 6) AS recency, round(ln(1 + n_chars::DOUBLE) * 0.1, 6) AS boost, (('0x' || substr(md5(doc_id::VARCHAR || ':' || source), 1, 8))::BIGINT % 100) / 1000.0::DOUBLE AS bucket FROM documents")
 def score_parts(spark, d):
-    a = A.table(spark, d, "documents").withColumn("p", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("doc_id") % 720).cast("int")))
+    a = A.table(spark, d, "documents").withColumn("p", A.published_at(F.col("doc_id")))
     return a.select("doc_id", F.round(scalars.recency(F.col("p"), A.as_of()), 6).alias("recency"), F.round(scalars.engagement_boost(F.col("n_chars")), 6).alias("boost"), scalars.serendipity(F.col("doc_id"), F.col("source")).alias("bucket"))
 
 
@@ -278,7 +272,8 @@ def progress_completion(spark, d):
 filled AS (SELECT u.user_id, p.pillar_id, coalesce(reads, 0) AS reads FROM (SELECT DISTINCT user_id FROM progress) u CROSS JOIN (SELECT unnest(range(1, 10))::INTEGER AS pillar_id) p LEFT JOIN counts c ON c.user_id = u.user_id AND c.pillar_id = p.pillar_id)
 SELECT user_id, pillar_id, reads, round_even(reads * 100.0 / greatest(1, sum(reads) OVER (PARTITION BY user_id)), 0)::BIGINT AS percent, (row_number() OVER (PARTITION BY user_id ORDER BY reads DESC, pillar_id) = 1 AND reads > 0) AS is_top FROM filled""")
 def category_breakdown(spark, d):
-    return activity.categories(activity.reading_progress(A.heartbeats(spark, d)), A.articles(spark, d), A.DEMO.pillar_table(spark), A.as_of())
+    progress = activity.reading_progress(A.heartbeats(spark, d))
+    return activity.categories(progress, read_articles(spark, d, activity.read_lately(progress, A.as_of())), A.DEMO.pillar_table(spark), A.as_of())
 
 
 @query(S.with_(BEATS, DAILY) + f"SELECT user_id, sum(duration_sec)::BIGINT AS time_week, count(*) FILTER (duration_sec > 60) AS active_days, round(sum(duration_sec)::BIGINT / greatest(1, count(*) FILTER (duration_sec > 60))::DOUBLE / 60, 1) AS avg_minutes FROM daily WHERE session_date >= {S.NOW}::DATE - 6 GROUP BY 1")
@@ -296,7 +291,8 @@ def continue_reading(spark, d):
 @query(S.with_(ARTICLES, BEATS, PROGRESS) + f"""SELECT user_id, article_id, headline, pillar_id, scroll_pct, completed, {S.moment('updated_at')} AS updated_at FROM
 (SELECT * FROM progress QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, article_id DESC) <= 10) JOIN articles ON articles.id = article_id""")
 def recent_activity(spark, d):
-    found = activity.recent_reads(activity.reading_progress(A.heartbeats(spark, d)), A.articles(spark, d))
+    progress = activity.latest_reads(activity.reading_progress(A.heartbeats(spark, d)))
+    found = activity.recent_reads(progress, read_articles(spark, d, progress))
     return found.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -309,23 +305,23 @@ def duration_format(spark, d):
 
 # Markets: series of prices from order lines
 
-CANDLES = "candles AS (SELECT l_partkey % 40 AS symbol, row_number() OVER (PARTITION BY l_partkey % 40 ORDER BY l_shipdate, l_orderkey, l_linenumber) AS pos, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS close FROM lineitem)"
+CANDLES = "candles AS (SELECT l_partkey % 40 AS symbol, l_shipdate AS day, l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS close FROM lineitem)"
+ORDER = ("day", "l_orderkey", "l_linenumber")
 
 
 def candles(spark: SparkSession, d: str) -> DataFrame:
-    symbol = F.col("l_partkey") % 40
-    w = Window.partitionBy(symbol).orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    return A.table(spark, d, "lineitem").select(symbol.alias("symbol"), F.row_number().over(w).cast("long").alias("pos"), F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).alias("close"))
+    line = A.table(spark, d, "lineitem")
+    return line.select((F.col("l_partkey") % 40).alias("symbol"), F.col("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).alias("close"))
 
 
-@query(S.with_(CANDLES) + "SELECT symbol, pos, round(close, 2) AS close FROM candles WHERE close IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY pos DESC) <= 20")
+@query(S.with_(CANDLES) + "SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY day DESC, l_orderkey DESC, l_linenumber DESC) AS n, round(close, 2) AS close FROM candles WHERE close IS NOT NULL QUALIFY n <= 20")
 def price_tail(spark, d):
-    return markets.spark_lines(candles(spark, d))
+    return markets.spark_lines(candles(spark, d), order=ORDER)
 
 
-@query(S.with_(CANDLES) + "SELECT symbol, pos, round(close - lag(close) OVER (PARTITION BY symbol ORDER BY pos), 2) AS change FROM candles WHERE close IS NOT NULL")
+@query(S.with_(CANDLES) + "SELECT symbol, l_orderkey, l_linenumber, round(close - lag(close) OVER (PARTITION BY symbol ORDER BY day, l_orderkey, l_linenumber), 2) AS change FROM candles WHERE close IS NOT NULL")
 def close_to_close(spark, d):
-    return markets.close_to_close(candles(spark, d))
+    return markets.close_to_close(candles(spark, d), order=ORDER[1:]).select("symbol", "l_orderkey", "l_linenumber", "change")
 
 
 QUOTES = "SELECT p_partkey AS symbol, p_retailprice AS price, CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_size % 10 = 1 THEN 0 ELSE p_retailprice - p_size END AS prev_close FROM part"
@@ -361,8 +357,8 @@ def ttl_snapshot(spark, d):
     e = A.table(spark, d, "events")
     kinds = F.element_at(F.lit(["stocks", "crypto", "metals", "forex", "commodities"]), (F.col("user_id") % 5 + 1).cast("int"))
     snaps = e.select(kinds.alias("asset_class"), F.col("ts").alias("fetched_at"), F.when(F.col("event_type") == "error", "{}").otherwise(F.col("props")).alias("payload"))
-    now = e.agg(F.max("ts")).first()[0]
-    return markets.fresh(snaps, F.lit(now)).select("asset_class", "payload")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    return markets.fresh(snaps.crossJoin(F.broadcast(now)), F.col("now")).select("asset_class", "payload")
 
 
 # Changes to tables
@@ -404,40 +400,3 @@ CASE WHEN {S.truncate_words('clean', 180)} = '' THEN title ELSE {S.truncate_word
 def enrich_by_rules(spark, d):
     e = enrichment.by_rules(F.col("headline"), F.col("text"), F.lit("tech"))
     return headlines(spark, d).select("doc_id", e.alias("e")).select("doc_id", "e.refined_title", "e.summary", "e.full_body")
-
-
-def _repaired_sql() -> str:
-    later = S.strip(f"coalesce(array_to_string(({S.sentences('clean')})[2:3], ' '), '')")
-    return f"""WITH b AS (SELECT doc_id, headline AS title, {S.clean_markup('text')} AS clean FROM ({HEADLINE})),
-s0 AS (SELECT *, {S.first_sentences('clean')} AS opening, {later} AS later FROM b),
-s1 AS (SELECT *, CASE WHEN opening = '' THEN title ELSE opening END AS summary1 FROM s0),
-s2 AS (SELECT *, CASE WHEN {S.restates('summary1', 'title')} AND {S.word_count('later')} >= 15 AND NOT {S.restates('later', 'title')} THEN later ELSE summary1 END AS summary2 FROM s1),
-s3 AS (SELECT *, CASE WHEN {S.word_count('summary2')} > 65 THEN {S.truncate_words('summary2', 55)} ELSE summary2 END AS summary FROM s2)
-SELECT doc_id, summary, CASE WHEN {S.truncate_words('clean', 180)} = '' THEN summary ELSE {S.truncate_words('clean', 180)} END AS full_body, 'tech' AS category, 'a|b' AS tags FROM s3"""
-
-
-@query(_repaired_sql())
-def validate_enrichment(spark, d):
-    """Answers with an empty summary and body, an unknown category and untidy tags."""
-    raw = F.struct(
-        F.col("headline").alias("refined_title"), F.lit("").alias("summary"), F.lit("too short").alias("full_body"), F.lit("weather").alias("category"), F.lit([" a", "", "b "]).alias("topic_tags"),
-        F.lit(True).alias("is_trending"), F.lit("neutral").alias("sentiment"), F.lit("").alias("when_info"), F.lit("").alias("where_info"),
-    )
-    rows = headlines(spark, d).select("doc_id", F.col("headline").alias("title"), F.col("text").alias("body"), F.lit("tech").alias("category_default"), raw.alias("raw"))
-    e = enrichment.repaired(rows)
-    return e.select("doc_id", F.col("enriched.summary").alias("summary"), F.col("enriched.full_body").alias("full_body"), F.col("enriched.category").alias("category"), F.array_join("enriched.topic_tags", "|").alias("tags"))
-
-
-# Streaming
-
-
-@query(S.with_(BEATS) + "SELECT user_id, ts::DATE::VARCHAR AS session_date, sum(duration_sec)::BIGINT AS duration_sec FROM beats GROUP BY ALL")
-def stream_daily_activity(spark, d):
-    from ..session import shared_folder
-    from ..streaming import activity as stream
-
-    schema = A.table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    beats = raw.select("ts", "user_id", scalars.clamp(F.floor("value"), 0, 60).cast("long").alias("duration_sec"))
-    out = stream.run_available(stream.daily_activity(beats, lateness=None), shared_folder(spark, "daily"))
-    return out.withColumn("session_date", F.col("session_date").cast("string"))

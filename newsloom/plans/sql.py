@@ -115,7 +115,7 @@ def articles(tax: Taxonomy = DEMO) -> str:
     """CTEs up to `articles`."""
     return f"""
 base AS (SELECT doc_id AS id, substr(({sentences('text')})[1], 1, 80) AS headline, text AS full_body, source AS source_name,
-  TIMESTAMP '2024-01-01 00:00:00' + to_hours((doc_id % 720)::INTEGER) AS published_at FROM documents),
+  TIMESTAMP '2024-01-01 00:00:00' + to_hours((doc_id * 337 % 720)::INTEGER) AS published_at FROM documents),
 articles AS (SELECT b.*, {pillar_of('headline', 'full_body', tax)} AS pillar_id, {scope_of('headline', 'full_body', tax)} AS scope, {topics_in('full_body', tax)} AS micro_tags,
   coalesce(l.quality = 1 AND l.toxic = 0, false) AS is_trending, CASE WHEN l.toxic = 1 THEN 'negative' ELSE 'neutral' END AS sentiment
   FROM base b LEFT JOIN labels l ON b.id = l.doc_id)"""
@@ -125,7 +125,7 @@ def plain_articles() -> str:
     """CTEs up to `articles`, without what needs the taxonomy."""
     return f"""
 articles AS (SELECT doc_id AS id, substr(({sentences('d.text')})[1], 1, 80) AS headline, d.text AS full_body, source AS source_name,
-  TIMESTAMP '2024-01-01 00:00:00' + to_hours((doc_id % 720)::INTEGER) AS published_at,
+  TIMESTAMP '2024-01-01 00:00:00' + to_hours((doc_id * 337 % 720)::INTEGER) AS published_at,
   coalesce(l.quality = 1 AND l.toxic = 0, false) AS is_trending, CASE WHEN l.toxic = 1 THEN 'negative' ELSE 'neutral' END AS sentiment
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,6 +23,15 @@ def build_session(name: str = "newsloom", master: str | None = None, **more: str
     return builder.config(map=SETTINGS | more).getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores where its files give fewer than half as many, as one large row group does.
+
+    Only for tables whose rows take long to work on: a large input has splits enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors see.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..functions.taxonomy import Taxonomy, matched_topics, pillar_of, scope_of
+from ..session import spread
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -35,8 +36,18 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
+#: Tables of long texts.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
+
+
+def published_at(doc_id: Column) -> Column:
+    """Hours of January 2024, each as often as any other."""
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=(doc_id * 337 % 720).cast("int"))
 
 
 def articles(spark: SparkSession, sf_dir: str, taxonomy: Taxonomy = DEMO, classified: bool = True) -> DataFrame:
@@ -47,14 +58,10 @@ def articles(spark: SparkSession, sf_dir: str, taxonomy: Taxonomy = DEMO, classi
         F.substring(F.get(text.sentences(F.col("text")), F.lit(0)), 1, 80).alias("headline"),
         F.col("text").alias("full_body"),
         F.col("source").alias("source_name"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("doc_id") % 720).cast("int"))).alias("published_at"),
+        published_at(F.col("doc_id")).alias("published_at"),
     )
     if classified:
-        base = base.withColumns({
-            "pillar_id": pillar_of(F.col("headline"), F.col("full_body"), taxonomy),
-            "scope": scope_of(F.col("headline"), F.col("full_body"), taxonomy),
-            "micro_tags": matched_topics(F.col("full_body"), list(taxonomy.topics)),
-        })
+        base = with_classes(base, taxonomy)
     marked = labels.select(F.col("doc_id").alias("id"), "quality", "toxic")
     return base.join(marked, "id", "left").withColumns({
         "is_trending": F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False)),
@@ -62,6 +69,15 @@ def articles(spark: SparkSession, sf_dir: str, taxonomy: Taxonomy = DEMO, classi
     }).drop("quality", "toxic")
 
 
+def with_classes(articles: DataFrame, taxonomy: Taxonomy = DEMO) -> DataFrame:
+    """articles with pillar_id, scope and micro_tags; best put behind whatever leaves fewer of them."""
+    return articles.withColumns({
+        "pillar_id": pillar_of(F.col("headline"), F.col("full_body"), taxonomy),
+        "scope": scope_of(F.col("headline"), F.col("full_body"), taxonomy),
+        "micro_tags": matched_topics(F.col("full_body"), list(taxonomy.topics)),
+    })
+
+
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as actions on articles, an append-only log."""
     n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs"))  # one row

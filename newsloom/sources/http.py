@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .feeds import RSS_ITEM
+from .feeds import ATOM_ENTRY, RSS_ITEM, atom_entry, rss_item
 
 #: Feeds that one task pulls, and seconds that it waits for each.
 FEEDS_PER_TASK, TIMEOUT = 10, 15
@@ -60,6 +60,7 @@ def pulled(spark: SparkSession, urls: list[str]) -> DataFrame:
 
 
 def items_of(bodies: DataFrame, body: Column | None = None) -> DataFrame:
-    """The items of RSS bodies with their position, in the shape that `feeds.capped` takes."""
-    parsed = F.from_xml(F.col("body") if body is None else body, F.lit(f"channel struct<item: array<struct<{RSS_ITEM}>>>"))
-    return bodies.select("feed", F.posexplode(parsed["channel"]["item"]).alias("pos", "i")).select("feed", (F.col("pos") + 1).alias("pos"), "i.*")
+    """The items of RSS and Atom bodies with their position, in the shape that `feeds.capped` takes."""
+    parsed = F.from_xml(F.col("body") if body is None else body, F.lit(f"channel struct<item: array<struct<{RSS_ITEM}>>>, entry array<struct<{ATOM_ENTRY}>>"))
+    each = F.coalesce(F.transform(parsed["channel"]["item"], rss_item), F.transform(parsed["entry"], atom_entry))
+    return bodies.select("feed", F.posexplode(each).alias("pos", "i")).select("feed", (F.col("pos") + 1).alias("pos"), "i.*")
