@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ from .chunks import Cache, ids_of_chunks, per_text
 from .common import gather, ship_package, slices_by_bytes, text_of
 
 BATCH_BYTES = 16 << 20
+#: Characters that the streaming search takes in at once, and those from which on pairs to merge are kept in a queue.
+STEP, QUEUED = 256, 64
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 
@@ -49,7 +52,9 @@ class PieceModel:
         self.bytes = np.frombuffer(b"".join(of_id), dtype=np.uint8)
 
     def merged(self, text: str) -> list[str]:
-        """Pieces of a short text by merging: the best pair first, of equal ones the leftmost."""
+        """Pieces of a text by merging: the best pair first, of equal ones the leftmost. Long texts keep their pairs in a queue."""
+        if len(text) > QUEUED:
+            return self._merged_by_queue(text)
         parts, scores = list(text), self.scores
         while len(parts) > 1:
             best, at = None, -1
@@ -62,6 +67,30 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _merged_by_queue(self, text: str) -> list[str]:
+        parts: list[str | None] = list(text)
+        left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
+        queue: list[tuple[float, int, str, str]] = []
+
+        def offer(i: int) -> None:
+            j = right[i] if i >= 0 else -1
+            if j >= 0 and (score := self.scores.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(queue, (-score, i, parts[i], parts[j]))
+
+        for i in range(len(parts)):
+            offer(i)
+        while queue:
+            _, i, a, b = heapq.heappop(queue)
+            j = right[i]
+            if parts[i] != a or j < 0 or parts[j] != b:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], right[i] = a + b, None, right[j]
+            if right[j] >= 0:
+                left[right[j]] = i
+            offer(left[i])
+            offer(i)
+        return [p for p in parts if p is not None]
+
     def follows(self, before: str, piece: str) -> bool:
         """Whether the two pieces stand side by side in the encoding of their concatenation."""
         known = self.fits.get((before, piece))
@@ -163,15 +192,10 @@ def model_for(path: str) -> tuple[PieceModel, Cache]:
         def encode(chunks: list[str]) -> list[bytes]:
             out = []
             for chunk in chunks:
-                stream = StreamingViterbi(model)
-                text = chunk.replace(" ", SPACE)
-                ids = []
+                stream, text, ids = StreamingViterbi(model), chunk.replace(" ", SPACE), []
                 try:
-                    for at in range(0, len(text), 4096):
-                        if len(text) > 4096:
-                            ids += stream.push(text[at : at + 4096])
-                        else:
-                            stream.text = text
+                    for at in range(0, len(text), STEP):
+                        ids += stream.push(text[at : at + STEP])
                     ids += stream.finish()
                 except ValueError:
                     ids = [i for p in model.merged(text) for i in model.id_list(p)]
@@ -185,7 +209,9 @@ def model_for(path: str) -> tuple[PieceModel, Cache]:
 def cut_at_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The texts behind their dummy prefix, in chunks that no piece spans: they start at a stretch of spaces or at a newline.
 
-    Within a piece of the vocabulary a space stands in front only, and a newline is in no piece.
+    Within a piece of the vocabulary a space stands in front only, and a newline is in no piece. So these are boundaries in which
+    all paths meet whatever stands around them, where the streaming search would commit: it starts anew at each, and what it
+    gave for a chunk holds wherever the chunk stands.
     """
     texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, "")).cast(pa.string())
     _, offset_buffer, data_buffer = texts.buffers()

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,25 @@ def test_streaming_commits_early():
     assert widest < 4 * model.longest
 
 
+def test_long_chunks_equal_library():
+    """Chunks without a space in them, with ties among their merges and characters that the vocabulary lacks."""
+    import sentencepiece
+
+    path, rng = tokenizer_path("piece_bpe_32k.model"), random.Random(5)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "aA", "abcdeé日🙂", "0123456789", "=-", "abcdefghijklmnopqrstuvwxyz") for n in (63, 64, 65, 300, 5000)] + ["a" * 10_000, "ab" * 4000]
+    got, counts = sentence_pieces.encoded(pa.array(texts), path)
+    ends = np.cumsum(counts)
+    assert [got[a:b].tolist() for a, b in zip(ends - counts, ends)] == library.encode(texts)
+    model = sentence_pieces.model_for(path)[0]
+    for t in texts[:12]:
+        if len(t) < 400:
+            quick, sentence_pieces.QUEUED = sentence_pieces.QUEUED, 10**9
+            slow = model.merged(t)
+            sentence_pieces.QUEUED = quick
+            assert model._merged_by_queue(t) == slow
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_token_chunks_equal_library(seed):
     import pyarrow as pa
