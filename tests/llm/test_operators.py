@@ -199,6 +199,17 @@ def test_packing(odd_docs, no_docs):
     assert packing.pack(no_docs, path).count() == 0
 
 
+def test_ranks_of_hot_lengths(spark, monkeypatch):
+    """Ranks within a length are gapless and each once, also where a length is dealt over many groups."""
+    monkeypatch.setattr(packing, "RANK_ROWS", 7)
+    rows = [(i % 50 or None, i % 3, 5 if i % 2 else i % 9, i) for i in range(900)]
+    ranked = packing.ranked_within_length(spark.createDataFrame(rows, "id long, start long, length long, ids_crc32 long"), 500).collect()
+    by_length: dict = {}
+    for r in ranked:
+        by_length.setdefault(r["length"], []).append(r["rank"])
+    assert len(ranked) == 900 and all(sorted(x) == list(range(len(x))) for x in by_length.values())
+
+
 def test_pack_histogram_is_whole_and_tight():
     rng = random.Random(5)
     histogram = Counter(min(4096, int(rng.expovariate(1 / 500)) + 1) for _ in range(20_000))
@@ -612,6 +623,17 @@ def test_near_copies_of_one_seed_in_a_large_group(spark):
     assert len(got) == 2500 and set(got) == {0}
 
 
+def test_near_copies_without_broadcasts_and_small_buckets(spark, monkeypatch):
+    """The ways for large inputs give what those for small ones give."""
+    rng = random.Random(12)
+    rows = [(i, t) for i, (_, t) in enumerate(r for edit in ("appended", "replaced") for r in copies_by_edit(rng, 10, edit))]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    usual = sorted(map(tuple, simhash.near_copies(docs).collect()))
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(simhash, "PAIRED", 1)
+    assert sorted(map(tuple, simhash.near_copies(docs).collect())) == usual
+
+
 def test_restoration_of_whole_runs(spark):
     texts = ["such a stupid idiot in this house", "you are all stupid and a loser", "the shit of an ass", "they are clowns and morons", "the others are the worst idiots of the house"] * 50
     model = toxicity.language_model(spark.createDataFrame([(t,) for t in texts], "text string"))
