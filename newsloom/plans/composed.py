@@ -9,7 +9,7 @@ from ..functions import scalars, text
 from ..operators import activity, browse, dedup, enrichment, markets, mutations
 from ..session import shared_folder
 from ..sources import adapters as A
-from ..sources import feeds
+from ..sources import feeds, http
 from . import sql as S
 from .queries import HEADLINE, headlines, moment, prefs, read_articles
 from .registry import query
@@ -82,6 +82,96 @@ def ingest_counts(spark, d):
     return raw.crossJoin(new)  # one row each
 
 
+# Landed files: the tables written the way providers write, and read again by the sources
+
+
+def escaped(x: Column) -> Column:
+    for character, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;")):
+        x = F.replace(x, F.lit(character), F.lit(entity))
+    return x
+
+
+def landed(spark: SparkSession, lines: Column, rows: DataFrame, name: str) -> str:
+    path = shared_folder(spark, name)
+    rows.select(lines.alias("value")).write.text(path)
+    return path
+
+
+def fed(items: DataFrame, item: Column, opening: str, closing: str) -> DataFrame:
+    """(feed, pos, ITEM) of the items put together into the bodies of feeds, in the order of their ids, and taken apart again."""
+    each = items.select((F.col("doc_id") % 300).cast("string").alias("feed"), F.struct("doc_id", item.alias("x")).alias("i"))
+    listed = each.groupBy("feed").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    return http.items_of(listed.select("feed", F.concat(F.lit(opening), F.array_join(F.slice("items.x", 1, feeds.ENTRIES_PER_FEED), ""), F.lit(closing)).alias("body")))
+
+
+def shown_articles(raw: DataFrame) -> DataFrame:
+    return raw.select("url", "title_hash", "headline", "summary_60", "source_summary", "image_url", "source_name", moment("published_at"))
+
+
+def _landed_sql(title: str, body: str, short: str, url: str, image: str, name: str, published: str, where: str = "true") -> str:
+    return f"""SELECT {url} AS url, {S.fingerprint(title)} AS title_hash, {title} AS headline, {_clip(body, feeds.SUMMARY)} AS summary_60, {_clip(short, feeds.SOURCE_SUMMARY)} AS source_summary, {image} AS image_url, {name} AS source_name,
+  {published} AS published_at FROM (SELECT *, {S.squeeze('headline')} AS title, {S.squeeze('substr(text, 1, 600)')} AS body, row_number() OVER (PARTITION BY doc_id % 300 ORDER BY doc_id) AS pos FROM ({HEADLINE})) WHERE title <> '' AND {where}"""
+
+
+def for_landing(spark: SparkSession, d: str) -> DataFrame:
+    return headlines(spark, d).select("doc_id", text.squeeze(F.col("headline")).alias("title"), text.squeeze(F.substring("text", 1, 600)).alias("body"))
+
+
+NAMESPACES = "xmlns:media='http://search.yahoo.com/mrss/' xmlns:content='http://purl.org/rss/1.0/modules/content/'"
+IMAGES = "CASE doc_id % 4 WHEN 0 THEN 'http://m/' || doc_id WHEN 1 THEN 'http://t/' || doc_id WHEN 2 THEN 'http://e/' || doc_id ELSE 'http://i/' || doc_id END"
+CLEANED = S.clean_markup("body || ' '")
+
+
+@query(_landed_sql("title", CLEANED, CLEANED, "'http://x/' || doc_id", IMAGES, "'rss'", "CASE WHEN doc_id % 5 = 0 THEN '2024-01-31 00:00:00' ELSE '2024-01-02 03:04:05' END", f"pos <= {feeds.ENTRIES_PER_FEED}"))
+def rss_feeds(spark, d):
+    """Items of RSS feeds with their images from media, thumbnails, enclosures or the text."""
+    i, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    image = F.when(kind == 0, F.concat(F.lit("<media:content url='http://m/"), i, F.lit("'/>"))).when(kind == 1, F.concat(F.lit("<media:content url='ftp://m'/><media:thumbnail url='http://t/"), i, F.lit("'/>"))).when(
+        kind == 2, F.concat(F.lit("<enclosure type='audio/x' url='http://a'/><enclosure type='image/x' url='http://e/"), i, F.lit("'/>"))
+    ).otherwise("")
+    picture = F.when(kind == 3, F.concat(F.lit("<img src='http://i/"), i, F.lit("'>"))).otherwise("")
+    date = F.when(F.col("doc_id") % 5 == 0, "soon").otherwise("Tue, 02 Jan 2024 03:04:05 +0000")
+    item = F.concat(F.lit("<item><title>"), escaped(F.col("title")), F.lit("</title><link>http://x/"), i, F.lit("</link><description>"), escaped(F.concat("body", F.lit(" "), picture)), F.lit("</description><pubDate>"), date, F.lit("</pubDate>"), image, F.lit("</item>"))
+    items = fed(for_landing(spark, d), item, f"<rss {NAMESPACES}><channel>", "</channel></rss>")
+    return shown_articles(feeds.raw_articles(feeds.capped(items), A.DEMO, F.lit(INGESTED).cast("timestamp_ntz"), F.lit("rss")))
+
+
+@query(_landed_sql("title", S.clean_markup("body"), S.clean_markup("body"), "'http://x/' || doc_id", "CASE WHEN doc_id % 2 = 0 THEN 'http://l/' || doc_id ELSE '' END", "'atom'", "'2024-01-03 04:05:06'", f"pos <= {feeds.ENTRIES_PER_FEED}"))
+def atom_feeds(spark, d):
+    """Entries of Atom feeds: the alternate link, a summary or a content, an image among the links."""
+    i, even = F.col("doc_id").cast("string"), F.col("doc_id") % 2 == 0
+    tag = F.when(even, "summary").otherwise("content")
+    links = F.concat(F.lit("<link rel='alternate' href='http://x/"), i, F.lit("'/><link rel='related' type='"), F.when(even, "image/png").otherwise("text/html"), F.lit("' href='http://l/"), i, F.lit("'/>"))
+    entry = F.concat(F.lit("<entry><title>"), escaped(F.col("title")), F.lit("</title>"), links, F.lit("<"), tag, F.lit(">"), escaped(F.col("body")), F.lit("</"), tag, F.lit("><updated>2024-01-03T04:05:06Z</updated></entry>"))
+    items = fed(for_landing(spark, d), entry, f"<feed {NAMESPACES}>", "</feed>")
+    return shown_articles(feeds.raw_articles(feeds.capped(items), A.DEMO, F.lit(INGESTED).cast("timestamp_ntz"), F.lit("atom")))
+
+
+@query(_landed_sql("title", "CASE WHEN doc_id % 3 = 0 THEN 'described' ELSE " + S.clean_markup("body") + " END", "'described'", "'http://x/' || doc_id", "CASE WHEN doc_id % 2 = 0 THEN 'http://i/' || doc_id ELSE '' END", "CASE WHEN doc_id % 7 = 0 THEN 'NewsAPI' ELSE 'n' || (doc_id % 7) END", "'2024-01-04 05:06:07'", "doc_id % 5 <> 0"))
+def json_landed(spark, d):
+    """Articles of JSON answers: an empty content gives way to the description, removed ones are left out, an unnamed source has a name."""
+    i = F.col("doc_id")
+    article = F.struct(
+        F.when(i % 5 == 0, F.concat(F.lit("was [Removed]"), "title")).otherwise(F.col("title")).alias("title"), F.when(i % 3 == 0, "").otherwise(F.col("body")).alias("content"), F.lit("described").alias("description"),
+        F.concat(F.lit(" http://x/"), i.cast("string")).alias("url"), F.when(i % 2 == 0, F.concat(F.lit("http://i/"), i.cast("string"))).alias("urlToImage"), F.lit("2024-01-04T05:06:07Z").alias("publishedAt"),
+        F.struct(F.when(i % 7 != 0, F.concat(F.lit("n"), (i % 7).cast("string"))).alias("name")).alias("source"),
+    )
+    path = landed(spark, F.to_json(F.struct(F.array(article).alias("articles"))), for_landing(spark, d), "json")
+    answers = feeds.json_articles(spark, path, multi_line=False)
+    return shown_articles(feeds.raw_articles(feeds.named(answers), A.DEMO, F.lit(INGESTED).cast("timestamp_ntz"), F.col("source_name")))
+
+
+@query("SELECT 'p' || p_partkey::VARCHAR AS symbol, round(p_retailprice, 2) AS price, round(p_size / 7, 2) AS change, 0.0::DOUBLE AS change_pct, round(p_retailprice + p_size, 2) AS high, 0.0::DOUBLE AS low, CASE WHEN p_size % 2 = 0 THEN 0 ELSE round(p_retailprice / 3, 2) END::DOUBLE AS prev_close, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'USD' END AS currency FROM part")
+def quotes_landed(spark, d):
+    """Quotes from JSON answers; missing numbers are 0."""
+    from ..sources import quotes
+
+    p, size = F.col("p_retailprice"), F.col("p_size")
+    quote = F.struct(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("symbol"), p.alias("regularMarketPrice"), (size / 7).alias("regularMarketChange"), (p + size).alias("regularMarketDayHigh"), F.when(size % 2 != 0, p / 3).alias("regularMarketPreviousClose"), F.when(size % 3 != 0, "USD").alias("currency"))
+    path = landed(spark, F.to_json(F.struct(F.struct(F.array(quote).alias("result")).alias("quoteResponse"))), A.table(spark, d, "part"), "quotes")
+    return quotes.quotes(spark, path, multi_line=False)
+
+
 # Enrichment
 
 
@@ -149,6 +239,28 @@ def validate_enrichment(spark, d):
     )
 
 
+def no_provider(frame):
+    raise ConnectionError
+
+
+def half_provider(frame):
+    """Answers, in a code fence, for titles of an even length; else something that is no answer."""
+    import json
+
+    texts = [f"```json\n{json.dumps({'refined_title': t + '!', 'summary': 'one two three four five six seven eight nine ten', 'category': 'arts', 'topic_tags': [' t']})}\n```" if len(t) % 2 == 0 else "no json" for t in frame["title"]]
+    return frame["title"].map(dict(zip(frame["title"], texts)))
+
+
+@query(S.with_(f"b AS (SELECT doc_id, headline AS title, {S.clean_markup('text')} AS clean, [] AS micro_tags FROM ({HEADLINE}))",
+               "r AS (SELECT *, length(title) % 2 = 0 AS answered, title || '!' AS r_title, 'one two three four five six seven eight nine ten' AS r_summary, '' AS r_body, 'arts' AS r_category, [' t'] AS r_tags, false AS r_trending, 'neutral' AS r_sentiment FROM b)", repaired_sql("r", "'tech'"))
+       + "SELECT doc_id, refined AS refined_title, summary, long_body AS full_body, category, array_to_string(tags, '|') AS tags FROM mended")
+def provider_chain(spark, d):
+    """A first provider that fails, a second one that answers for half of the rows, and the rules for the others."""
+    rows = headlines(spark, d).select("doc_id", F.col("headline").alias("title"), text.clean_markup(F.col("text")).alias("body"), F.lit("tech").alias("category_default"))
+    out, e = enrichment.repaired(enrichment.provided(rows, [no_provider, half_provider])), "enriched"
+    return out.select("doc_id", f"{e}.refined_title", f"{e}.summary", f"{e}.full_body", f"{e}.category", F.array_join(f"{e}.topic_tags", "|").alias("tags"))
+
+
 SLUGS = "slugs(p, slug) AS (VALUES " + ", ".join(f"({i}, {S.quoted(s)})" for i, (_, s) in A.DEMO.pillars.items()) + ")"
 
 
@@ -221,15 +333,17 @@ def article_json(spark, d):
 
 
 @query(f"""WITH t AS (SELECT doc_id, list_concat({S.topics_in('text', A.DEMO)}, [source, '"x\\' || chr(233) || chr(128512)]) AS tags FROM documents),
-j AS (SELECT doc_id, '[' || array_to_string(list_transform(tags, lambda x: to_json(x)::VARCHAR), ', ') || ']' AS whole FROM t)
+j AS (SELECT doc_id, tags, '[' || array_to_string(list_transform(tags, lambda x: to_json(x)::VARCHAR), ', ') || ']' AS whole FROM t)
 SELECT doc_id, array_to_string(list_transform(regexp_extract_all(whole, '(?s).'), lambda c: CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN '\\u' || printf('%04x', unicode(c))
-  ELSE '\\u' || printf('%04x', (unicode(c) - 65536) // 1024 + 55296) || '\\u' || printf('%04x', (unicode(c) - 65536) % 1024 + 56320) END), '') AS tags FROM j""")
+  ELSE '\\u' || printf('%04x', (unicode(c) - 65536) // 1024 + 55296) || '\\u' || printf('%04x', (unicode(c) - 65536) % 1024 + 56320) END), '') AS tags, CASE WHEN doc_id % 5 = 0 THEN '' ELSE array_to_string(tags, '|') END AS read_again FROM j""")
 def tags_json(spark, d):
-    """Tags as a JSON array in ASCII."""
+    """Tags as a JSON array in ASCII, and read again; what is no array is an empty one."""
     from ..functions.taxonomy import matched_topics
 
     tags = F.concat(matched_topics(F.col("text"), list(A.DEMO.topics)), F.array("source", F.lit('"x\\é\U0001f600')))
-    return A.table(spark, d, "documents").select("doc_id", scalars.ascii_json(tags).alias("tags"))
+    written = A.table(spark, d, "documents").select("doc_id", scalars.ascii_json(tags).alias("tags"))
+    read = scalars.parsed_tags(F.when(F.col("doc_id") % 5 == 0, "[bad").otherwise(F.col("tags")))
+    return written.withColumn("read_again", F.array_join(read, "|"))
 
 
 @query(f"""WITH titles AS (SELECT doc_id AS id, list_sort({S.token_set('headline')}) AS tokens FROM ({HEADLINE}))
@@ -305,6 +419,18 @@ def backfill_hashes(spark, d):
     return mutations.backfilled(rows, "title_hash", text.title_fingerprint(F.col("headline"))).select("doc_id", "title_hash")
 
 
+@query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE c_custkey % 7 END AS visits FROM customer WHERE c_custkey % 5 <> 0
+UNION ALL SELECT -c_custkey, 'new', 1 FROM customer WHERE c_custkey % 10 = 0""")
+def table_versions(spark, d):
+    """Two tables of different columns in one, rows deleted by key, new ones appended, each state a version of its own on disk."""
+    c, path = A.table(spark, d, "customer"), shared_folder(spark, "versions")
+    old, new = c.where("c_custkey % 2 = 0").select("c_custkey", "c_name"), c.where("c_custkey % 2 = 1").select("c_custkey", "c_name", (F.col("c_custkey") % 7).alias("visits"))
+    first = spark.read.parquet(mutations.swap(spark, mutations.evolved(old, new, {"visits": 0}), path, 1))
+    kept = mutations.without(first, c.where("c_custkey % 5 = 0").select("c_custkey"), ["c_custkey"])
+    added = c.where("c_custkey % 10 = 0").select((-F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(1).cast("bigint").alias("visits"))
+    return spark.read.parquet(mutations.swap(spark, kept.unionByName(added), path, 2))
+
+
 # Streams
 
 

@@ -58,9 +58,9 @@ def atom_items(spark: SparkSession, path: str) -> DataFrame:
     return _items(spark, path, "entry", ATOM_ENTRY, atom_entry)
 
 
-def json_articles(spark: SparkSession, path: str, unnamed: str = UNNAMED) -> DataFrame:
-    """Articles of landed JSON answers with file, position (from 1) and the name of their source; removed ones are dropped."""
-    each = spark.read.schema(JSON_ARTICLES).option("multiLine", True).json(path).select(F.input_file_name().alias("feed"), F.posexplode("articles").alias("at", "a"))
+def json_articles(spark: SparkSession, path: str, unnamed: str = UNNAMED, multi_line: bool = True) -> DataFrame:
+    """Articles of landed JSON answers (one to a file, or one to a line) with file, position (from 1) and the name of their source; removed ones are dropped."""
+    each = spark.read.schema(JSON_ARTICLES).option("multiLine", multi_line).json(path).select(F.input_file_name().alias("feed"), F.posexplode("articles").alias("at", "a"))
     kept = each.where(~F.contains(F.coalesce("a.title", F.lit("")), F.lit(REMOVED)))
     content = F.when(F.col("a.content") != "", F.col("a.content"))
     return kept.select(

@@ -12,8 +12,9 @@ COINS = "map<string, struct<usd double, inr double, usd_24h_change double, usd_m
 RATES = "rates map<string, double>"
 
 
-def _answers(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def _answers(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Answers, one to a file or one to a line."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def rounded(x: Column) -> Column:
@@ -21,9 +22,9 @@ def rounded(x: Column) -> Column:
     return F.round(F.coalesce(x, F.lit(0.0)), 2)
 
 
-def quotes(spark: SparkSession, path: str) -> DataFrame:
+def quotes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(symbol, price, change, change_pct, high, low, prev_close, currency)."""
-    each = _answers(spark, path, QUOTES).select(F.explode("quoteResponse.result").alias("q"))
+    each = _answers(spark, path, QUOTES, multi_line).select(F.explode("quoteResponse.result").alias("q"))
     numbers = {"price": "Price", "change": "Change", "change_pct": "ChangePercent", "high": "DayHigh", "low": "DayLow", "prev_close": "PreviousClose"}
     return each.select("q.symbol", *(rounded(F.col(f"q.regularMarket{field}")).alias(name) for name, field in numbers.items()), F.coalesce("q.currency", F.lit("")).alias("currency"))
 
