@@ -73,12 +73,14 @@ def fresh(snapshots: DataFrame, as_of: Column) -> DataFrame:
     return latest.where(alive & F.col("payload").isNotNull() & ~F.col("payload").isin("", "{}"))
 
 
-def by_class(long: DataFrame, classes: list[str]) -> DataFrame:
-    """(asset_class, quotes): of each class all quotes in the order of their labels; a class without any has an empty array."""
-    every = long.sparkSession.createDataFrame([(c,) for c in classes], "asset_class string")
-    listed = long.groupBy("asset_class").agg(F.array_sort(F.collect_list(F.struct("label", "price", "change", "change_pct"))).alias("quotes"))
-    none = F.array().cast("array<struct<label string, price double, change double, change_pct double>>")
-    return every.join(listed, "asset_class", "left").select("asset_class", F.coalesce("quotes", none).alias("quotes"))
+def by_class(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """(asset_class, quotes): the quotes of the labels (asset_class, position, label) in their order, of one without any only the label.
+
+    The labels are a dimension, which bounds the arrays; quotes of others are not shown.
+    """
+    met = labels.join(long.join(F.broadcast(labels.select("asset_class", "label")), ["asset_class", "label"], "left_semi"), ["asset_class", "label"], "left")
+    listed = met.groupBy("asset_class").agg(F.array_sort(F.collect_list(F.struct("position", "label", "price", "change", "change_pct"))).alias("quotes"))
+    return listed.withColumn("quotes", F.transform("quotes", lambda q: q.dropFields("position")))
 
 
 def board(**classes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars, text
 from ..operators import activity, browse, dedup, enrichment, markets, mutations
@@ -99,9 +100,10 @@ def landed(spark: SparkSession, lines: Column, rows: DataFrame, name: str) -> st
 
 def fed(items: DataFrame, item: Column, opening: str, closing: str) -> DataFrame:
     """(feed, pos, ITEM) of the items put together into the bodies of feeds, in the order of their ids, and taken apart again."""
-    each = items.select((F.col("doc_id") % 300).cast("string").alias("feed"), F.struct("doc_id", item.alias("x")).alias("i"))
-    listed = each.groupBy("feed").agg(F.array_sort(F.collect_list("i")).alias("items"))
-    return http.items_of(listed.select("feed", F.concat(F.lit(opening), F.array_join(F.slice("items.x", 1, feeds.ENTRIES_PER_FEED), ""), F.lit(closing)).alias("body")))
+    each = items.select((F.col("doc_id") % 300).cast("string").alias("feed"), "doc_id", item.alias("x"))
+    first = each.withColumn("n", F.row_number().over(Window.partitionBy("feed").orderBy("doc_id"))).where(F.col("n") <= feeds.ENTRIES_PER_FEED)
+    listed = first.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("items"))
+    return http.items_of(listed.select("feed", F.concat(F.lit(opening), F.array_join("items.x", ""), F.lit(closing)).alias("body")))
 
 
 def shown_articles(raw: DataFrame) -> DataFrame:
@@ -356,6 +358,10 @@ def title_class_members(spark, d):
 # Markets
 
 
+#: What the board shows of each class, in this order.
+LABELS = [(c, i, x) for c, labels in (("stocks", ["s51", "s1", "s101", "s-none"]), ("forex", ["x2", "x52", "x102"]), ("metals", ["m3", "m2", "m6", "m4", "m9"]), ("crypto", ["C2", "C1", "C10"]), ("commodities", ["OIL", "GAS"])) for i, x in enumerate(labels)]
+
+
 def _board_sql() -> str:
     def quotes(source: str) -> str:
         return f"SELECT label, round(coalesce(price, 0), 2) AS price, round(coalesce(price, 0) - coalesce(prev_close, 0), 2) AS change, CASE WHEN coalesce(prev_close, 0) = 0 THEN 0 ELSE round((price - prev_close) * 100 / prev_close, 2) END::DOUBLE AS change_pct FROM ({source})"
@@ -369,14 +375,14 @@ def _board_sql() -> str:
     return f"""WITH rows AS (SELECT 'stocks' AS asset_class, * FROM ({quotes(part('s', 1))}) UNION ALL SELECT 'forex', * FROM ({quotes(part('x', 2))})
   UNION ALL SELECT 'metals', label, price, change, change_pct FROM ({metals}) WHERE price IS NOT NULL
   UNION ALL SELECT 'crypto', upper('c' || s_suppkey::VARCHAR), round(coalesce(s_acctbal, 0), 2), NULL, round(coalesce(s_nationkey / 7, 0), 2) FROM supplier),
-classes(asset_class) AS (VALUES ('stocks'), ('crypto'), ('metals'), ('forex'), ('commodities')),
+labels(asset_class, position, label) AS (VALUES {", ".join(f"({S.quoted(c)}, {i}, {S.quoted(x)})" for c, i, x in LABELS)}),
 texts AS (SELECT asset_class, label || '=' || round(price * 10000)::BIGINT::VARCHAR || ',' || coalesce(round(change * 100)::BIGINT::VARCHAR, '') || ',' || round(change_pct * 100)::BIGINT::VARCHAR AS t, label FROM rows)
-SELECT asset_class, count(t) AS n_quotes, coalesce(string_agg(t, '|' ORDER BY label), '') AS quotes FROM classes LEFT JOIN texts USING (asset_class) GROUP BY 1"""
+SELECT asset_class, count(t) AS n_quotes, string_agg(coalesce(t, label || '='), '|' ORDER BY position) AS quotes FROM labels LEFT JOIN texts USING (asset_class, label) GROUP BY 1"""
 
 
 @query(_board_sql())
 def market_board(spark, d):
-    """Five classes of assets from their own sources; one without quotes stays, empty."""
+    """Five classes of assets from their own sources, each with the labels that are shown; a label or a class without quotes stays, empty."""
     part, sup = A.table(spark, d, "part"), A.table(spark, d, "supplier")
 
     def listed(name: str, rest: int) -> DataFrame:
@@ -392,9 +398,10 @@ def market_board(spark, d):
     crypto = markets.crypto_quotes(coins, spark.createDataFrame([("c-none", "NONE")], "coin string, label string")).select(F.col("symbol").alias("label"), F.col("price_usd").alias("price"), F.lit(None).cast("double").alias("change"), "change_pct")
     metals = markets.with_fallback(primary, futures).fillna(0.0, ["change", "change_pct"]).where("price is not null")
     long = markets.board(stocks=listed("s", 1), forex=listed("x", 2), metals=metals, crypto=crypto)
-    whole = markets.by_class(long, list(markets.TTL))
-    shown = F.transform("quotes", lambda q: F.concat(q["label"], F.lit("="), F.round(q["price"] * 10000).cast("long").cast("string"), F.lit(","), F.coalesce(F.round(q["change"] * 100).cast("long").cast("string"), F.lit("")), F.lit(","), F.round(q["change_pct"] * 100).cast("long").cast("string")))
-    return whole.select("asset_class", F.size("quotes").cast("long").alias("n_quotes"), F.array_join(shown, "|").alias("quotes"))
+    whole = markets.by_class(long, spark.createDataFrame(LABELS, "asset_class string, position int, label string"))
+    number = F.transform("quotes", lambda q: F.concat(q["label"], F.lit("="), F.round(q["price"] * 10000).cast("long").cast("string"), F.lit(","), F.coalesce(F.round(q["change"] * 100).cast("long").cast("string"), F.lit("")), F.lit(","), F.round(q["change_pct"] * 100).cast("long").cast("string")))
+    shown = F.zip_with(number, F.col("quotes"), lambda n, q: F.coalesce(n, F.concat(q["label"], F.lit("="))))
+    return whole.select("asset_class", F.size(F.filter("quotes", lambda q: q["price"].isNotNull())).cast("long").alias("n_quotes"), F.array_join(shown, "|").alias("quotes"))
 
 
 # Changes to tables
