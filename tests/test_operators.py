@@ -44,11 +44,8 @@ def test_weights_are_clamped_at_every_step(spark):
         w = max(1, min(50, w + preferences.DELTAS[a]))
     whole = preferences.learned_weights(actions, articles).collect()
     assert {r["topic_name"]: r["weight"] for r in whole} == dict.fromkeys("ABC", w / 10)
-    saved, preferences.BLOCK = preferences.BLOCK, 3
-    try:
-        assert preferences.learned_weights(actions, articles).collect()[0]["weight"] == w / 10
-    finally:
-        preferences.BLOCK = saved
+    for seconds in (1, 3, 7):
+        assert preferences.learned_weights(actions, articles, seconds).collect()[0]["weight"] == w / 10
 
 
 def test_pages_are_disjoint_and_cover(spark):
