@@ -215,6 +215,8 @@ def mentions(text: str) -> list[Mention]:
                 canon = s.replace(" ", "")
             else:
                 canon = ("+" if s[0] == "+" else "") + re.sub(r"\D", "", s)
+                if kind == "card" and not is_card(canon):
+                    continue
             found.append(Mention(kind, m.start(), m.end(), canon))
     found += people(text)
     found.sort(key=lambda x: (x.start, -x.end))
@@ -276,6 +278,11 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def is_card(digits: str) -> bool:
+    """Whether digits are a card's number: of a range that cards are issued in, and with a valid check digit. Others are no one's."""
+    return (digits[0] in "3456" or "2221" <= digits[:4] <= "2720") and _luhn(digits[:-1]) == int(digits[-1])
+
+
 def _iban_check(country: str, rest: str) -> str:
     number = "".join(str(int(c, 36)) for c in rest + country + "00")
     return f"{98 - int(number) % 97:02d}"
@@ -363,9 +370,9 @@ def surrogate(kind: str, canon: str, key: str, attempt: int = 0, gender: str = "
         shift = (int(check) - int(_iban_check(country, rest))) % 100
         return country + f"{(int(_iban_check(country, new)) + shift) % 100:02d}" + new
     if kind == "card":
-        body, last = canon[:-1], int(canon[-1])
-        new = body[0] + shuffled_characters(body[1:], key, tweak)
-        return new + str((_luhn(new) + last - _luhn(body)) % 10)
+        kept = 4 if canon[0] == "2" else 1
+        new = canon[:kept] + shuffled_characters(canon[kept:-1], key, tweak)
+        return new + str(_luhn(new))
     if kind == "phone":
         plus = canon[: len(canon) - 10] if canon[0] == "+" and len(canon) > 11 else canon[:2] if canon[0] == "+" else ""
         digits = canon[len(plus) :]
@@ -475,8 +482,9 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
 
     Kinds: e-mail addresses, phone, card, account and social security numbers, IP addresses, access keys, and names (see
     people: Latin, Cyrillic and Greek, each word of a name by itself). Distinct entities get distinct surrogates, none of which
-    is an entity of the corpus. Form is kept: separators, case, script, country code, scheme and validity of check digits,
-    range of an address, gender of a name. Addresses that are no one's (0/8, 127/8, broadcast) stay. Null texts stay null; rows
+    is an entity of the corpus. Form is kept: separators, case, script, country code, scheme and check digits,
+    range of an address, gender of a name. Addresses that are no one's (0/8, 127/8, broadcast) stay, and so do long numbers that
+    are no card's (see is_card). Null texts stay null; rows
     without entities stay as they are; repeated rows and texts are treated alike; ids are not read. n_chars_col, where the
     table has it, is counted anew; kinds_col, if named, is added with the kinds of all mentions, in place of a column of that
     name. No documents give no rows.

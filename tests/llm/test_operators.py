@@ -306,6 +306,16 @@ def test_pii_of_addresses():
     assert new[0].startswith("fe80::") and new[1].startswith("2001:0DB8:") and len(new[1]) == 39 and "85A3" not in new[1]
 
 
+def test_pii_of_cards():
+    text = "4111 1111 1111 1111, 4111-1111-1111-1112, 6844976499621582, 5555555555554444, 378282246310005, 2223003122003222, 9111111111111111"
+    new, kinds = pii.replace_text(text, "k", {}, {})
+    parts = new.split(", ")
+    assert kinds == ["card"] * 4 and [parts[i] for i in (1, 2, 6)] == [text.split(", ")[i] for i in (1, 2, 6)]
+    for old, x in zip(text.split(", "), parts):
+        digits = x.replace(" ", "").replace("-", "")
+        assert len(x) == len(old) and (x == old or pii.is_card(digits) and digits[0] == old[0])
+
+
 def test_pii_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert pii.pseudonymise(odd_docs).columns == odd_docs.columns
     clash = pii.pseudonymise(odd_docs, kinds_col="kinds")
