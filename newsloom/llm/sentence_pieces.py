@@ -39,6 +39,13 @@ class PieceModel:
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.longest = max(map(len, self.ids))
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        # Neighbouring ASCII characters (a space for U+2581) that stand side by side in no piece: no merge joins them.
+        self.apart = np.ones((128, 128), dtype=bool)
+        for p in self.ids:
+            codes = [32 if c == SPACE else ord(c) for c in p]
+            for a, b in zip(codes, codes[1:]):
+                if max(a, b) < 128:
+                    self.apart[a, b] = False
         self.whole: dict[str, bool] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         # What each id decodes to, as one byte array with starts and lengths.
@@ -206,12 +213,12 @@ def model_for(path: str) -> tuple[PieceModel, Cache]:
     return _models[path]
 
 
-def cut_at_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The texts behind their dummy prefix, in chunks that no piece spans: they start at a stretch of spaces or at a newline.
+def cut(texts: pa.Array, apart: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The texts behind their dummy prefix, in chunks that no piece spans.
 
-    Within a piece of the vocabulary a space stands in front only, and a newline is in no piece. So these are boundaries in which
-    all paths meet whatever stands around them, where the streaming search would commit: it starts anew at each, and what it
-    gave for a chunk holds wherever the chunk stands.
+    Chunks start at a stretch of spaces (within a piece a space stands in front only), at a newline (which is in no piece), and
+    between ASCII characters that are `apart`. No merge joins what stands around such a boundary, so all paths meet in it, and
+    the streaming search would commit there: it starts anew at each, and what it gave for a chunk holds wherever the chunk stands.
     """
     texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, "")).cast(pa.string())
     _, offset_buffer, data_buffer = texts.buffers()
@@ -222,6 +229,8 @@ def cut_at_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     offsets -= offsets[0]
     start = np.zeros(len(data) + 1, dtype=bool)
     start[1:-1] = ((data[1:] == 32) & (data[:-1] != 32)) | (data[1:] == 10) | (data[:-1] == 10)
+    ascii_pair = (data[1:] < 128) & (data[:-1] < 128)
+    start[1:-1] |= ascii_pair & apart[data[:-1] & 127, data[1:] & 127]
     start[3:-1] &= ~((data[2:-1] == 0x81) & (data[1:-2] == 0x96) & (data[:-3] == 0xE2))  # U+2581 counts as a space
     start[offsets] = True
     at = np.flatnonzero(start[:-1])
@@ -231,10 +240,11 @@ def cut_at_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of the texts (no nulls in them), and the number of ids of each."""
-    chunks, bounds = cut_at_spaces(texts)
+    model, cache = model_for(path)
+    chunks, bounds = cut(texts, model.apart)
     if not len(chunks):
         return np.zeros(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
-    flat, starts, lengths = ids_of_chunks(chunks, model_for(path)[1])
+    flat, starts, lengths = ids_of_chunks(chunks, cache)
     return gather(flat, starts, lengths), per_text(bounds, lengths)
 
 
