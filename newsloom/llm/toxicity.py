@@ -32,6 +32,8 @@ STREWN = set(" .-_*'~,")
 STAND_COST, MASK_COST, STREWN_COST, REPEAT_COST = 1.0, 3.0, 0.4, 0.2
 #: Observed words of up to so many characters are kept with what they stand for; longer ones are decoded in windows.
 LONGEST_WORD, WINDOW = 48, 1024
+#: Tokens, and obfuscated words, that a task remembers at most; it only saves work.
+CACHED, NOTHING = 100_000, {}
 #: Spaced letters of more than so many may be several words.
 ONE_WORD, WORD_END_COST = 12, 1.0
 
@@ -41,8 +43,9 @@ REPLACED = rf"[^\W\d_][{SYMBOLS}{SEPARATORS}]*[{SYMBOLS}][{SYMBOLS}{SEPARATORS}]
 LEET = re.compile(rf"{REPLACED}|^[$@0134578][^\W\d_]{{2}}")
 #: Plain words look like this as well (well-known, mp3), so what these may stand for is added to them.
 MAYBE = re.compile(rf"[^\W\d_][{SEPARATORS}]+[^\W\d_]|[^\W\d_][{SYMBOLS}]+$")
-#: Words, with all that stands around them, in which one of the above can be found.
-MARKED = re.compile(rf"(?<!\S)\S*?(?:{REPLACED}|[$@0134578][^\W\d_]{{2}}|[^\W\d_][{SEPARATORS}]+[^\W\d_]|[^\W\d_][{SYMBOLS}])\S*")
+#: What stands between two spaces has to match this for one of the above to be found in it.
+MARKED = re.compile(rf"{REPLACED}|[$@0134578][^\W\d_]{{2}}|[^\W\d_][{SEPARATORS}]+[^\W\d_]|[^\W\d_][{SYMBOLS}]")
+TOKEN, REPEATED = re.compile(r"\S+"), re.compile(r"(.)\1\1")
 WORD = re.compile(r"[^\W\d_]+")
 AROUND = ".,;:!?\"'()[]{}|&%#*=<>~-_"
 
@@ -133,46 +136,59 @@ def decode(observed: str, model: LanguageModel, several: bool = False) -> str:
     return "".join([*done, min(letters(way) for cost, way in ends if cost == least)])
 
 
-def restore(text: str, model: LanguageModel, known: dict[str, str]) -> str:
-    """The text with obfuscated words replaced by what they stand for; other words stay as they are.
+def _decoded(observed: str, model: LanguageModel, known: dict[str, str], several: bool = False) -> str:
+    word = known.get(observed)
+    if word is None:
+        word = decode(observed, model, several)
+        if len(observed) <= LONGEST_WORD:
+            if len(known) > CACHED:
+                known.clear()
+            known[observed] = word
+    return word
 
-    Words that plain text has as well (split by . - _ ~ alone, or with digits or symbols at the end) stay and are followed
-    by what they may stand for.
-    """
 
-    def decoded(observed: str, several: bool = False) -> str:
-        word = known.get(observed)
-        if word is None:
-            word = decode(observed, model, several)
-            if len(observed) <= LONGEST_WORD:
-                if len(known) > 200_000:
-                    known.clear()
-                known[observed] = word
-        return word
+def closed_up(text: str, model: LanguageModel, known: dict[str, str]) -> str:
+    """The text with runs of spaced-out letters replaced by the words that they are. Wider gaps are between words if there are narrow ones as well."""
 
     def spaced(m: re.Match) -> str:
-        """Wider gaps are between words if there are narrow ones as well."""
         run = m[0]
         if sum(map(str.isalpha, run)) < 3:
             return run
         narrow = re.search(r"[^ ] [^ ]", run)
-        return " ".join(decoded(x, sum(c not in STREWN for c in x) > ONE_WORD) for x in (run.split("  ") if narrow else [re.sub(" +", " ", run)]))
-
-    def one(m: re.Match) -> str:
-        token = m[0]
-        core = token.strip(AROUND)
-        if token[0] in "$@" and token[1:2].isalpha():
-            core = token[0] + core.lstrip("$@")
-        if len(core) < 3 or "://" in core or re.search(r"@[\w-]+\.", core):
-            return token
-        n = sum(map(str.isalpha, core))
-        if n >= 2 and LEET.search(core):
-            return token.replace(core, decoded(core), 1)
-        if MAYBE.search(core) and (n >= 2 or re.search(r"[@$!|+€]$", core)):
-            return f"{token} {decoded(core)}"
+        return " ".join(_decoded(x, model, known, sum(c not in STREWN for c in x) > ONE_WORD) for x in (run.split("  ") if narrow else [re.sub(" +", " ", run)]))
+
+    return SPACED.sub(spaced, text)
+
+
+def restored(token: str, model: LanguageModel, known: dict[str, str]) -> str:
+    """What stands between two spaces, with an obfuscated word replaced by what it stands for. It depends on nothing around it.
+
+    Words that plain text has as well (split by . - _ ~ alone, or with digits or symbols at the end) stay and are followed
+    by what they may stand for.
+    """
+    if not MARKED.search(token):
+        return token
+    core = token.strip(AROUND)
+    if token[0] in "$@" and token[1:2].isalpha():
+        core = token[0] + core.lstrip("$@")
+    if len(core) < 3 or "://" in core or re.search(r"@[\w-]+\.", core):
         return token
+    n = sum(map(str.isalpha, core))
+    if n >= 2 and LEET.search(core):
+        return token.replace(core, _decoded(core, model, known), 1)
+    if MAYBE.search(core) and (n >= 2 or re.search(r"[@$!|+€]$", core)):
+        return f"{token} {_decoded(core, model, known)}"
+    return token
 
-    return MARKED.sub(one, SPACED.sub(spaced, text))
+
+def restore(text: str, model: LanguageModel, known: dict[str, str]) -> str:
+    """The text with obfuscated words replaced by what they stand for; other words stay as they are."""
+    return TOKEN.sub(lambda m: restored(m[0], model, known), closed_up(text, model, known))
+
+
+def restored_words(token: str, model: LanguageModel, known: dict[str, str]) -> list[str]:
+    """The lower-case words of a restored token."""
+    return WORD.findall((token if token.isalpha() and not REPEATED.search(token) else restored(token, model, known)).lower())
 
 
 def features_of(word: str) -> list[str]:
@@ -192,20 +208,26 @@ class Scorer:
     def word_weight(self, word: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features_of(word)), default=0.0)
 
-    def evidence(self, texts: list[str], known: dict[str, str], cache: dict[str, float]) -> np.ndarray:
-        """For each text, over its distinct words: the sum of the strongest weights, the strongest, and the number of words with one."""
+    def evidence(self, texts: list[str], known: dict[str, str], cache: dict[str, dict[str, float]]) -> np.ndarray:
+        """For each text, over its distinct words: the sum of the strongest weights, the strongest, and the number of words with one.
+
+        The cache has the words with a weight of each token between spaces.
+        """
         out = np.zeros((len(texts), 3))
-        if len(cache) > 400_000:
-            cache.clear()
         for r, text in enumerate(texts):
-            found = []
-            for word in set(WORD.findall(restore(text, self.language, known).lower())):
-                if (weight := cache.get(word)) is None:
-                    weight = cache[word] = self.word_weight(word)
-                if weight > 0:
-                    found.append(weight)
-            if found:
-                found.sort(reverse=True)
+            words: dict[str, float] = {}
+            for token in set(closed_up(text, self.language, known).split()):
+                own = cache.get(token)
+                if own is None:
+                    own = {w: weight for w in restored_words(token, self.language, known) if (weight := self.word_weight(w)) > 0}
+                    if len(token) <= LONGEST_WORD:
+                        if len(cache) > CACHED:
+                            cache.clear()
+                        cache[token] = own or NOTHING
+                if own:
+                    words |= own
+            if words:
+                found = sorted(words.values(), reverse=True)
                 out[r] = sum(found[:STRONGEST]), found[0], math.log1p(len(found))
         return out
 
@@ -264,12 +286,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Restored words of each row, each once, and the sketch that tells near copies."""
-        cache: dict[str, str] = {}
+        known: dict[str, str] = {}
         for batch in batches:
             for part in slices_by_bytes(batch, "text", BATCH_BYTES):
                 sketch, listed = [], []
                 for text in part.column("text").to_pylist():
-                    words = WORD.findall(restore(text, shared.value, cache).lower())
+                    words = [w for t in closed_up(text, shared.value, known).split() for w in restored_words(t, shared.value, known)]
                     sketch.append(min((hash5(words[i : i + 5]) for i in range(max(1, len(words) - 4))), default=0))
                     listed.append(sorted(set(words)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "label", "fold")), pa.array(sketch, pa.int64()), pa.array(listed, pa.list_(pa.string()))], names=["id", "label", "fold", "sketch", "words"])
@@ -329,7 +351,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
-        cache: dict[str, float] = {}
+        cache: dict[str, dict[str, float]] = {}
         for batch in batches:
             for part in slices_by_bytes(batch, text_col if keep else "text", BATCH_BYTES):
                 texts = [t or "" for t in part.column(text_col if keep else "text").to_pylist()]
