@@ -28,7 +28,7 @@ ODD = r"[^\x00-\x7f\p{L}]|\x{130}|'|<\|"
 class Cache:
     """Chunk -> its ids as little-endian uint32 bytes. Emptied when full."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 600_000, longest: int = 48):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 300_000, longest: int = 48):
         self.encode, self.most, self.longest, self.known = encode, most, longest, {}
 
     def ids(self, chunks: list[str]) -> list[bytes]:

@@ -209,7 +209,7 @@ def model_for(path: str) -> tuple[PieceModel, Cache]:
                 out.append(np.array(ids, dtype="<u4").tobytes())
             return out
 
-        _models[path] = model, Cache(encode, most=500_000)
+        _models[path] = model, Cache(encode, most=300_000)
     return _models[path]
 
 
