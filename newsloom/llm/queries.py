@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ball_kmeans import ball_kmeans
+from .ball_kmeans import oracle_sql as kmeans_sql
 from .common import table
 from .embedding_dedup import near_duplicate_vectors
 from .fingerprint import fingerprints
@@ -75,7 +77,11 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = (op1_embedding_dedup, op2_sentencepiece, op3_pii_surrogates, op4_toxicity, op5_packing, op6_license_scan, op7_url_filter, op8_token_counts, op9_fingerprint, op10_simhash_dedup)
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_embedding_dedup, op2_sentencepiece, op3_pii_surrogates, op4_toxicity, op5_packing, op6_license_scan, op7_url_filter, op8_token_counts, op9_fingerprint, op10_simhash_dedup, op12_ball_kmeans)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +95,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_sql()}
+    return {"op6_license_scan": license_sql(), "op12_ball_kmeans": kmeans_sql()}
