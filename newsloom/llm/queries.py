@@ -9,6 +9,8 @@ from .ball_kmeans import ball_kmeans
 from .ball_kmeans import oracle_sql as kmeans_sql
 from .common import table
 from .embedding_dedup import near_duplicate_vectors
+from .fill_middle import fill_in_middle, restored
+from .fill_middle import oracle_sql as fill_middle_sql
 from .fingerprint import fingerprints
 from .license_scan import oracle_sql as license_sql
 from .license_scan import recognise
@@ -81,7 +83,13 @@ def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = (op1_embedding_dedup, op2_sentencepiece, op3_pii_surrogates, op4_toxicity, op5_packing, op6_license_scan, op7_url_filter, op8_token_counts, op9_fingerprint, op10_simhash_dedup, op12_ball_kmeans)
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = (op1_embedding_dedup, op2_sentencepiece, op3_pii_surrogates, op4_toxicity, op5_packing, op6_license_scan, op7_url_filter, op8_token_counts, op9_fingerprint, op10_simhash_dedup, op12_ball_kmeans, op13_fill_middle)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +103,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_sql(), "op12_ball_kmeans": kmeans_sql()}
+    return {"op6_license_scan": license_sql(), "op12_ball_kmeans": kmeans_sql(), "op13_fill_middle": fill_middle_sql()}
