@@ -132,13 +132,14 @@ def ball_kmeans(
         state = spark.read.parquet(f"{folder}/{k}")
         if k == rounds:
             break
-        sums = [F.sum(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(dims)]
+        parts = state.select("cluster", "distance", F.posexplode("x").alias("at", "component")).groupBy("cluster", "at")
+        moved = {(r["cluster"], r["at"]): r for r in parts.agg(F.sum("component").alias("s"), F.count("*").alias("n"), F.max("distance").alias("far")).collect()}
         radii = [0] * len(centres)
-        for r in state.groupBy("cluster").agg(F.count("*").alias("n"), F.max("distance").alias("far"), *sums).collect():
-            i, old = r["cluster"], centres[r["cluster"]]
-            centres[i] = [r[f"s{j}"] // r["n"] for j in range(dims)]
+        for i in {i for i, _ in moved}:
+            old, far = centres[i], moved[i, 0]["far"]
+            centres[i] = [moved[i, at]["s"] // moved[i, at]["n"] for at in range(dims)]
             # Members are no farther from the moved centroid than from the old one and the way between the two.
-            radii[i] = math.isqrt(r["far"]) + math.isqrt(sum((a - b) ** 2 for a, b in zip(old, centres[i]))) + 2
+            radii[i] = math.isqrt(far) + math.isqrt(sum((a - b) ** 2 for a, b in zip(old, centres[i]))) + 2
     inertia = {r["cluster"]: r["s"] for r in state.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
     digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres]
     about = spark.createDataFrame([(i, s, sum(inertia.values()), digests[i]) for i, s in inertia.items()], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
