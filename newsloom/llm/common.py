@@ -95,3 +95,15 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder of this run on whatever file system it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def publish(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write some bytes to the shared folder and let every executor fetch them from there; the name SparkFiles knows them by."""
+    known = f"{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{stage_folder(spark)}/{known}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path)
+    out.write(bytearray(data))
+    out.close()
+    spark.sparkContext.addFile(files.makeQualified(path).toString())
+    return known

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ball_kmeans import ball_kmeans
 from .ball_kmeans import oracle_sql as kmeans_sql
+from .byte_bpe import decode, encode
 from .common import table
 from .embedding_dedup import near_duplicate_vectors
 from .fill_middle import fill_in_middle, restored
@@ -79,6 +80,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    found = encode(table(spark, sf_dir, "documents"), path).withColumn("ids_sha256", F.sha2("ids", 256))
+    return decode(found, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans(table(spark, sf_dir, "embeddings"))
 
@@ -89,7 +96,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = (op1_embedding_dedup, op2_sentencepiece, op3_pii_surrogates, op4_toxicity, op5_packing, op6_license_scan, op7_url_filter, op8_token_counts, op9_fingerprint, op10_simhash_dedup, op12_ball_kmeans, op13_fill_middle)
+QUERIES = (op1_embedding_dedup, op2_sentencepiece, op3_pii_surrogates, op4_toxicity, op5_packing, op6_license_scan, op7_url_filter, op8_token_counts, op9_fingerprint, op10_simhash_dedup, op11_byte_bpe, op12_ball_kmeans, op13_fill_middle)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
