@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from .common import text_of
 
-#: Lines that a sentence of a licence is wrapped over at most.
-MOST_LINES = 24
-
 # Sentences of public licences and their usual notices, as (identifier, text). Texts are cut at their sentence ends like any
 # other; of several parts the first has the identifier itself, the others a number behind it.
 SENTENCES = [
@@ -159,8 +158,18 @@ class Recogniser:
 
     def starts(self) -> list[str]:
         """The first two words of every sentence."""
-        found = {" ".join(s.split()[:2]) for s in self.sentences}
-        return sorted(found | {" ".join(re.findall(r"[a-z]+", re.sub(r"s\?", "", t))[:2]) for _, t in self.templates})
+        return sorted({*self.by_start(), *(" ".join(re.findall(r"[a-z]+", re.sub(r"s\?", "", t))[:2]) for _, t in self.templates)})
+
+    def by_start(self) -> dict[str, list[tuple[str, str]]]:
+        """The sentences that begin with the same two words, with their identifiers, the longest first."""
+        found: dict[str, list[tuple[str, str]]] = {}
+        for s, name in sorted(self.sentences.items(), key=lambda kv: (-len(kv[0]), kv[0])):
+            found.setdefault(" ".join(s.split()[:2]), []).append((s, name))
+        return found
+
+    def most_lines(self) -> int:
+        """A line has a word at least, so a sentence stands on no more lines than it has words; twice that for names in templates."""
+        return max([2, *(len(s.split()) for s in self.sentences), *(2 * len(t.split()) for _, t in self.templates)])
 
 
 def _fits(ids: Column, sequence: list[str], against: list[str]) -> Column:
@@ -177,39 +186,37 @@ def recognise(docs: DataFrame, recogniser: Recogniser | None = None, id_col: str
     sentence_ids has the known sentences in text order, each once, and licenses the licences whose rule fits, in the order of the
     rules: a rule fits if its sentences stand in its order. Both are joined by spaces and empty where nothing is known; null
     and empty texts have nothing. Sentences end at . ; : ! ? before white space. A known one may also stand on lines of its own
-    among others without such ends (a heading above it, a notice on a line), wrapped over at most MOST_LINES lines; marks of
-    comments and lists, and a copyright line that runs on into it, don't count. No rows meet: the work is one pass over each text.
+    among others without such ends (a heading above it, a notice on a line), wrapped however narrow; marks of comments and lists,
+    and a copyright line that runs on into it, don't count. No rows meet: the work is one pass over each text, linear in its lines.
     """
     known = recogniser or Recogniser.standard()
-    names = F.create_map(*[F.lit(x) for kv in known.sentences.items() for x in kv])
-    starts, sentences = known.starts(), list(known.sentences)
-
-    def identifier(candidate: Column) -> Column:
-        out = F.when(candidate.isin(*sentences), names[candidate])
-        for name, pattern in known.templates:
-            out = out.when(candidate.rlike(pattern), F.lit(name))
-        return out
+    starts, most = known.starts(), known.most_lines()
+    grouped = {two: [{"s": s, "name": name} for s, name in those] for two, those in known.by_start().items()}
+    by_start = F.from_json(F.lit(json.dumps(grouped)), "map<string, array<struct<s string, name string>>>")  # a constant
+    # A template may run over lines, and ends with one.
+    templates = [(name, "(?s)" + re.sub(r"\$$", r"(?=\\n|\\z)", pattern).replace(" ", "[ \\n]")) for name, pattern in known.templates]
 
     def lines_of(sentence: Column) -> Column:
         return F.filter(F.transform(F.split(sentence, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
 
-    def from_line(lines: Column, first: Column, at: Column) -> Column:
-        """The longest known sentence that begins with a line and ends with it or a later one, as an array of at most one."""
-        ends = F.sequence(F.lit(1), F.least(F.size(lines) - at, F.lit(MOST_LINES)))
-        joined = F.transform(ends, lambda n: F.concat_ws(" ", F.array(first), F.slice(lines, at + 2, n - 1)))
-        found = F.filter(F.transform(joined, identifier), lambda x: x.isNotNull())
-        return F.slice(F.reverse(found), 1, 1)
+    def from_line(stretch: Column, two: Column) -> Column:
+        """The longest known sentence that the lines of a stretch begin with and that ends with one of them, as an array of at most one."""
+        fits = F.filter(by_start[two], lambda k: stretch["spaced"].startswith(k["s"]) & F.substring(stretch["broken"], F.char_length(k["s"]) + 1, F.lit(1)).isin("\n", ""))
+        name = F.get(fits, F.lit(0))["name"]
+        for template, pattern in templates:
+            name = F.coalesce(name, F.when(stretch["broken"].rlike(pattern), F.lit(template)))
+        return F.array_compact(F.array(name))
+
+    def begun(lines: Column, line: Column, at: Column) -> Column:
+        first = F.regexp_replace(line, before, "")
+        two = F.substring_index(F.concat_ws(" ", first, F.get(lines, at + 1)), " ", 2)
+        ahead = F.slice(lines, at + 2, F.lit(most - 1))
+        stretch = bound(ahead, lambda more: F.struct(F.concat_ws(" ", F.array(first), more).alias("spaced"), F.concat_ws("\n", F.array(first), more).alias("broken")))
+        return F.when(two.isin(*starts), bound(stretch, lambda x: from_line(x, two))).otherwise(F.array().cast("array<string>"))
 
     def hits(sentence: Column) -> Column:
-        lines = lines_of(sentence)
-        none = F.array().cast("array<string>")
-
-        def begun(line: Column, at: Column) -> Column:
-            first = F.regexp_replace(line, before, "")
-            two = F.substring_index(F.concat_ws(" ", first, F.get(lines, at + 1)), " ", 2)
-            return F.when(two.isin(*starts), from_line(lines, first, at)).otherwise(none)
-
-        return F.flatten(F.transform(lines, begun))
+        """The lines are cut once, and each is looked at once with a bounded number of those behind it."""
+        return bound(lines_of(sentence), lambda lines: F.flatten(F.transform(lines, lambda line, at: begun(lines, line, at))))
 
     # Sentence ends become a mark of their own; then all but letters, digits, line ends and marks is space.
     marked = F.regexp_replace(F.lower(F.regexp_replace(text_of(text_col), f"(?i){TAG}:", f"{TAG} ")), ENDS, "\u0001")
