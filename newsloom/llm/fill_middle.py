@@ -46,7 +46,8 @@ def _offsets(cut: DataFrame, seed: int) -> DataFrame:
     cuts.select(*KEYS, "n", "first", "second", lengths.alias("lengths")).dropDuplicates(list(KEYS)).write.parquet(f"{folder}/units")
     kept = spark.read.parquet(f"{folder}/units")
 
-    placed = kept.select(*KEYS, F.posexplode("lengths").alias("ordinal", "length"))
+    # Lengths are dealt by document before they become rows, so the window and the join move no row.
+    placed = kept.select(*KEYS, "lengths").repartition(*KEYS).select(*KEYS, F.posexplode("lengths").alias("ordinal", "length"))
     running = Window.partitionBy(*KEYS).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     ends = placed.select(*KEYS, "ordinal", F.sum("length").over(running).alias("end"))
     requests = kept.select(*[F.col(k).alias(f"of_{k}") for k in KEYS], "n", F.posexplode(F.array("first", "second")).alias("which", "asked"))
