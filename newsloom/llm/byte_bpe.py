@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import re as plain_re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,6 +25,8 @@ BATCH_BYTES = 4 << 20
 LEXICON_WORDS, LEXICON_BYTES = 60_000, 32
 #: Words that are not in the automaton and whose merges a worker remembers, and the bytes of one.
 REMEMBERED, REMEMBERED_BYTES = 100_000, 48
+#: Bytes of a word whose pairs are simply looked at again after each merge.
+SHORT = 48
 # Fixed value: the pattern by which this kind of vocabulary cuts texts before merging.
 WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -37,7 +40,9 @@ class Vocabulary:
         ids, bytes_of = spec["model"]["vocab"], {c: b for b, c in byte_letters().items()}
         self.first = [ids[c] for _, c in sorted(byte_letters().items())]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        made = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
+        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(made)}
+        self.made = [c for *_, c in made]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = plain_re.compile("|".join(f"({plain_re.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.word = regex.compile(WORD)
@@ -50,22 +55,34 @@ class Vocabulary:
     def merged(self, word: bytes) -> list[int]:
         """The ids of one word: of all neighbours the pair of the lowest rank is merged, the leftmost first, until none can be."""
         ids = [self.first[b] for b in word]
-        n, merges = len(ids), self.merges
+        if len(ids) > SHORT:
+            return self._merged_by_queue(ids)
+        rank, none = self.ranks.get, len(self.made)
+        while len(ids) > 1:
+            ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
+            if (least := min(ranks)) == none:
+                break
+            at = ranks.index(least)
+            ids[at : at + 2] = [self.made[least]]
+        return ids
+
+    def _merged_by_queue(self, ids: list) -> list[int]:
+        """The same in n log n steps: pairs wait by rank and place, and one that a merge has changed meanwhile is passed over."""
+        n, rank = len(ids), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [(*m, k) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1])))]
-        waiting = [(rank, k, new) for rank, new, k in waiting]
+        waiting = [(r, k) for k in range(n - 1) if (r := rank((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(waiting)
         while waiting:
-            _, k, new = heapq.heappop(waiting)
-            if ids[k] is None or (right := after[k]) >= n or merges.get((ids[k], ids[right]), (0, None))[1] != new:
+            r, k = heapq.heappop(waiting)
+            if ids[k] is None or (right := after[k]) >= n or rank((ids[k], ids[right])) != r:
                 continue
-            ids[k], ids[right], after[k] = new, None, after[right]
+            ids[k], ids[right], after[k] = self.made[r], None, after[right]
             if after[k] < n:
                 before[after[k]] = k
-                if m := merges.get((new, ids[after[k]])):
-                    heapq.heappush(waiting, (m[0], k, m[1]))
-            if before[k] >= 0 and (m := merges.get((ids[before[k]], new))):
-                heapq.heappush(waiting, (m[0], before[k], m[1]))
+                if (r := rank((ids[k], ids[after[k]]))) is not None:
+                    heapq.heappush(waiting, (r, k))
+            if before[k] >= 0 and (r := rank((ids[before[k]], ids[k]))) is not None:
+                heapq.heappush(waiting, (r, before[k]))
         return [i for i in ids if i is not None]
 
     def encoded(self, chunk: str) -> bytes:
@@ -77,12 +94,16 @@ class Vocabulary:
             elif part:
                 for word in self.word.findall(part):
                     out += self.merged(word.encode())
-        return np.array(out, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
-    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of ids one after another, and how many each has. Ids beyond the vocabulary have none."""
+    def decoded(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids one after another. Ids beyond the vocabulary have none."""
         ids = ids[ids < len(self.lengths)].astype(np.int64)
-        return gather(self.bytes, self.starts[ids], self.lengths[ids]), self.lengths[ids]
+        return gather(self.bytes, self.starts[ids], self.lengths[ids])
+
+    def texts(self, ids: pa.Array) -> pa.Array:
+        """The texts of ids (binary: little-endian uint32): their bytes as UTF-8, what is none becomes U+FFFD; null ids are an empty text."""
+        return pa.array([self.decoded(np.frombuffer(x.as_buffer() or b"", dtype="<u4")).tobytes().decode("utf-8", "replace") for x in ids], pa.string())
 
 
 @cache
@@ -167,13 +188,16 @@ def lexicon(docs: DataFrame, tokenizer_path: str, most: int = LEXICON_WORDS, tex
     return Automaton.compiled((r["word"].encode(), bytes(r["ids"])) for r in found)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, automaton: Automaton | None = None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer_path: str, automaton: Automaton | None = None, decoded: str | None = None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
     """id, n_tokens, ids (binary: little-endian uint32) of every whole text, as the `tokenizers` library gives them without added tokens.
 
     Null and empty texts have no ids; rows of one id and repeated rows are encoded row by row; other columns are not read. Words that
     the automaton holds get their ids from it, all others by merging, so it decides on the work and on no id. Without one it
     is compiled from the texts' own frequent words. It lies in the checkpoint folder, from where each executor, also one that
-    comes in for a lost one, gets its copy to map. tokenizer_path must exist on the executors.
+    comes in for a lost one, gets its copy to map. With `decoded` a column of that name has what decode() makes of the ids, without
+    another worker for it. tokenizer_path must exist on the executors.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -186,10 +210,11 @@ def encode(docs: DataFrame, tokenizer_path: str, automaton: Automaton | None = N
                 flat, n = encoder.encode(part.column("text"))
                 ends = np.concatenate(([0], np.cumsum(n))) * 4
                 ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), ids], names=["id", "n_tokens", "ids"])
+                more = {decoded: encoder.vocabulary.texts(ids)} if decoded else {}
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n_tokens": pa.array(n), "ids": ids} | more)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids binary")
+    found = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids binary" + (f", `{decoded}` string" if decoded else ""))
     return found.withColumnRenamed("id", id_col)
 
 
@@ -207,10 +232,6 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", to: st
         known = vocabulary(tokenizer_path)
         for batch in batches:
             for part in slices_by_bytes(batch, ids_col, batch_bytes):
-                ids = part.column(ids_col)
-                texts = []
-                for x in ids:
-                    texts.append(known.decoded(np.frombuffer(x.as_buffer() or b"", dtype="<u4"))[0].tobytes().decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(texts, pa.string())], names=[*others, to])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), known.texts(part.column(ids_col))], names=[*others, to])
 
     return encoded.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .ball_kmeans import ball_kmeans
 from .ball_kmeans import oracle_sql as kmeans_sql
-from .byte_bpe import decode, encode
+from .byte_bpe import encode
 from .common import table
 from .embedding_dedup import near_duplicate_vectors
 from .fill_middle import fill_in_middle, restored
@@ -81,9 +81,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("byte_bpe_50k.json")
-    found = encode(table(spark, sf_dir, "documents"), path).withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode(found, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    found = encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), decoded="text")
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,8 +66,8 @@ def test_merges_are_the_librarys(library):
     for case in cases:
         ids = np.frombuffer(known.encoded(case), dtype="<u4")
         assert ids.tolist() == library.encode(case, add_special_tokens=False).ids, case[:60]
-        assert known.decoded(ids)[0].tobytes().decode() == case == library.decode(ids.tolist(), skip_special_tokens=False)
-    part = known.decoded(np.frombuffer(known.encoded("日"), dtype="<u4")[:1])[0].tobytes()
+        assert known.decoded(ids).tobytes().decode() == case == library.decode(ids.tolist(), skip_special_tokens=False)
+    part = known.decoded(np.frombuffer(known.encoded("日"), dtype="<u4")[:1]).tobytes()
     assert part and part.decode("utf-8", "replace") == "�"
 
 
@@ -78,12 +78,13 @@ def test_texts_encode_as_the_library_with_any_lexicon(spark, library):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     lexicons = [None, Automaton.compiled([]), byte_bpe.lexicon(docs, BPE, most=5)]
     for lexicon in lexicons:
-        found = byte_bpe.encode(docs, BPE, lexicon, batch_bytes=5_000)
+        found = byte_bpe.encode(docs, BPE, lexicon, decoded="back", batch_bytes=5_000)
         rows = {r["doc_id"]: r for r in found.collect()}
         assert [np.frombuffer(rows[k]["ids"], dtype="<u4").tolist() for k in range(len(texts))] == expected
         assert [rows[k]["n_tokens"] for k in range(len(texts))] == [len(e) for e in expected]
         back = byte_bpe.decode(found, BPE, batch_bytes=5_000)
-        assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts)) and back.columns == ["doc_id", "n_tokens", "text"]
+        assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts)) and back.columns == ["doc_id", "n_tokens", "back", "text"]
+        assert [rows[k]["back"] for k in range(len(texts))] == texts
     encoder = byte_bpe.Encoder(BPE, byte_bpe.lexicon(docs, BPE))
     encoder.encode(pa.array(texts[len(ODD) :]))
     once = {r["word"] for r in byte_bpe.word_counts(docs).where("n = 1").collect()}
