@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars, text
 from ..operators import activity, browse, dedup, enrichment, markets, mutations
+from ..operators.versioned import VersionedTable
 from ..session import shared_folder
 from ..sources import adapters as A
 from ..sources import feeds, http
@@ -429,13 +430,14 @@ def backfill_hashes(spark, d):
 @query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE c_custkey % 7 END AS visits FROM customer WHERE c_custkey % 5 <> 0
 UNION ALL SELECT -c_custkey, 'new', 1 FROM customer WHERE c_custkey % 10 = 0""")
 def table_versions(spark, d):
-    """Two tables of different columns in one, rows deleted by key, new ones appended, each state a version of its own on disk."""
-    c, path = A.table(spark, d, "customer"), shared_folder(spark, "versions")
-    old, new = c.where("c_custkey % 2 = 0").select("c_custkey", "c_name"), c.where("c_custkey % 2 = 1").select("c_custkey", "c_name", (F.col("c_custkey") % 7).alias("visits"))
-    first = spark.read.parquet(mutations.swap(spark, mutations.evolved(old, new, {"visits": 0}), path, 1))
-    kept = mutations.without(first, c.where("c_custkey % 5 = 0").select("c_custkey"), ["c_custkey"])
-    added = c.where("c_custkey % 10 = 0").select((-F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(1).cast("bigint").alias("visits"))
-    return spark.read.parquet(mutations.swap(spark, kept.unionByName(added), path, 2))
+    """Two tables of different columns in one, rows deleted by key, new ones appended, each state a version that is committed."""
+    c = A.table(spark, d, "customer")
+    stored = VersionedTable(spark, shared_folder(spark, "versions"), ["c_custkey"], {"visits": 0})
+    stored.append(c.where("c_custkey % 2 = 0").select("c_custkey", "c_name"))
+    stored.append(c.where("c_custkey % 2 = 1").select("c_custkey", "c_name", (F.col("c_custkey") % 7).alias("visits")))
+    stored.delete(c.where("c_custkey % 5 = 0").select("c_custkey"))
+    stored.append(c.where("c_custkey % 10 = 0").select((-F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(1).cast("bigint").alias("visits")))
+    return stored.read()
 
 
 # Streams
