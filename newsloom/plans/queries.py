@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..functions.taxonomy import matched_topics, pillar_of, scope_of
-from ..operators import activity, browse, dedup, enrichment, feed, markets, mutations, preferences
+from ..operators import activity, browse, dedup, enrichment, feed, markets, mutations, patterns, preferences
 from ..sources import adapters as A
 from . import sql as S
 from .registry import query
@@ -193,11 +193,20 @@ def notifications(spark, d):
     return browse.notifications(prefs(spark, d), A.articles(spark, d)).drop("published_at")
 
 
-@query(_notified("contains(lower(array_to_string(micro_tags, '\",\"')), lower(topic_name))"))
+@query(_notified("contains(lower(array_to_string(micro_tags, '\",\"')), lower(topic_name)) AND regexp_full_match(topic_name, '[ -~]*')"))
 def notifications_loose(spark, d):
     return browse.notifications(prefs(spark, d), A.articles(spark, d), loose=True).drop("published_at")
 
 
+@query(f"""WITH words AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 3)
+SELECT word, count(*) AS n_headlines, min(doc_id) AS first_id FROM words JOIN ({HEADLINE}) ON contains(lower(headline), word) GROUP BY word""")
+def keyword_hits(spark, d):
+    """In how many headlines each word of the benchmark stands, also within other words: some thousand words in one pass."""
+    words = A.table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).where(F.char_length("w") >= 3).select(F.lower("w").alias("word")).distinct()
+    texts = headlines(spark, d).select("doc_id", F.lower("headline").alias("headline"))
+    return patterns.found_in(texts, "headline", words, "word").groupBy("word").agg(F.count("*").alias("n_headlines"), F.min("doc_id").alias("first_id"))
+
+
 @query(S.with_(PLAIN, ACTIONS) + f"SELECT s.user_id, s.article_id, {S.moment('s.saved_at')} AS saved_at, a.headline FROM (SELECT user_id, article_id, max(ts) AS saved_at FROM actions WHERE action = 'save' GROUP BY ALL HAVING count(*) % 2 = 1) s JOIN articles a ON a.id = s.article_id")
 def bookmarks_list(spark, d):
     marks = browse.bookmarks(A.interactions(spark, d))

@@ -1,4 +1,4 @@
-"""Live feeds as a data source: one row per feed that answers."""
+"""Live feeds as a data source: one row per feed, with its body or with what failed."""
 
 from __future__ import annotations
 
@@ -27,16 +27,17 @@ class FeedReader(DataSourceReader):
     def partitions(self) -> list[FeedPartition]:
         return [FeedPartition(self.urls[i : i + FEEDS_PER_TASK]) for i in range(0, len(self.urls), FEEDS_PER_TASK)] or [FeedPartition([])]
 
-    def read(self, partition: FeedPartition) -> Iterator[tuple[str, str]]:
+    def read(self, partition: FeedPartition) -> Iterator[tuple[str, str | None, str | None]]:
         import urllib.request
 
         for url in partition.urls:
             try:
                 with urllib.request.urlopen(url, timeout=TIMEOUT) as answer:  # noqa: S310  the registry names the addresses
-                    if getattr(answer, "status", None) in (None, 200):
-                        yield url, answer.read().decode("utf-8", "replace")
-            except OSError:  # a feed that fails has no rows
-                continue
+                    status = getattr(answer, "status", None)
+                    row = (url, answer.read().decode("utf-8", "replace"), None) if status in (None, 200) else (url, None, f"status {status}")
+            except Exception as e:  # noqa: BLE001  no feed, however it fails, keeps the others from being read
+                row = (url, None, type(e).__name__)
+            yield row
 
 
 class FeedSource(DataSource):
@@ -47,18 +48,23 @@ class FeedSource(DataSource):
         return "newsloom_feeds"
 
     def schema(self) -> str:
-        return "feed string, body string"
+        return "feed string, body string, failure string"
 
     def reader(self, schema) -> FeedReader:
         return FeedReader([u for u in self.options.get("urls", "").split("\n") if u])
 
 
-def pulled(spark: SparkSession, urls: list[str]) -> DataFrame:
-    """(feed, body) of the feeds that answer."""
+def asked_for(spark: SparkSession, urls: list[str]) -> DataFrame:
+    """(feed, body, failure) of every feed: a body, or what kept it from being there (an error's name or a status)."""
     spark.dataSource.register(FeedSource)
     return spark.read.format("newsloom_feeds").option("urls", "\n".join(urls)).load()
 
 
+def pulled(spark: SparkSession, urls: list[str]) -> DataFrame:
+    """(feed, body) of the feeds that answer."""
+    return asked_for(spark, urls).where("body is not null").select("feed", "body")
+
+
 def items_of(bodies: DataFrame, body: Column | None = None) -> DataFrame:
     """The items of RSS and Atom bodies with their position, in the shape that `feeds.capped` takes."""
     parsed = F.from_xml(F.col("body") if body is None else body, F.lit(f"channel struct<item: array<struct<{RSS_ITEM}>>>, entry array<struct<{ATOM_ENTRY}>>"))
