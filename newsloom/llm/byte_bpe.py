@@ -25,7 +25,7 @@ BATCH_BYTES = 4 << 20
 LEXICON_WORDS, LEXICON_BYTES = 60_000, 32
 #: Words that are not in the automaton and whose merges a worker remembers, and the bytes of one.
 REMEMBERED, REMEMBERED_BYTES = 100_000, 48
-#: Bytes of a word whose pairs are simply looked at again after each merge.
+#: Bytes of a word whose lowest pair is simply looked for after each merge.
 SHORT = 48
 # Fixed value: the pattern by which this kind of vocabulary cuts texts before merging.
 WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,12 +58,15 @@ class Vocabulary:
         if len(ids) > SHORT:
             return self._merged_by_queue(ids)
         rank, none = self.ranks.get, len(self.made)
-        while len(ids) > 1:
-            ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
-            if (least := min(ranks)) == none:
-                break
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < none:
             at = ranks.index(least)
-            ids[at : at + 2] = [self.made[least]]
+            ids[at] = self.made[least]
+            del ids[at + 1], ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank((ids[at], ids[at + 1]), none)
+            if at:
+                ranks[at - 1] = rank((ids[at - 1], ids[at]), none)
         return ids
 
     def _merged_by_queue(self, ids: list) -> list[int]:
