@@ -280,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return scorer
-    share = F.when(F.col("label") == 1, F.lit(training_rows * 1_000_000 // sizes[1])).otherwise(F.lit(training_rows * 1_000_000 // sizes[0]))
+    share = F.when(F.col("label") == 1, F.lit(max(1, training_rows * 1_000_000 // sizes[1]))).otherwise(F.lit(max(1, training_rows * 1_000_000 // sizes[0])))
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
     shared = spark.sparkContext.broadcast(scorer.language)
 
@@ -296,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     listed.append(sorted(set(words)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "label", "fold")), pa.array(sketch, pa.int64()), pa.array(listed, pa.list_(pa.string()))], names=["id", "label", "fold", "sketch", "words"])
 
-    # The drawn ids are bounded by the parameter, so they are broadcast.
+    # The drawn ids are bounded by the parameter (beyond 10^10 labelled rows one of a million is drawn), so they are broadcast.
     sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(drawn), "id")
     rows = checkpoint(sample.mapInArrow(read, f"id {docs.schema[id_col].dataType.simpleString()}, label int, fold long, sketch long, words array<string>"))
     rows = rows.join(rows.groupBy("sketch", "label").agg(F.min("id").alias("id")), ["sketch", "label", "id"]).dropDuplicates(["sketch", "label", "id"])
