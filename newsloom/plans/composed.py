@@ -455,7 +455,7 @@ def stream_daily_activity(spark, d):
     """Daily totals of a stream whose state is bounded by a watermark: each batch hands on what it changed."""
     from ..streaming import activity as stream
 
-    out = stream.run_available(stream.daily_activity(beat_stream(spark, d), lateness="60 days"), shared_folder(spark, "daily"), keys=["user_id", "session_date"])
+    out = stream.run_available(stream.daily_activity(beat_stream(spark, d), lateness="2 days"), shared_folder(spark, "daily"), keys=["user_id", "session_date"])
     return out.withColumn("session_date", F.col("session_date").cast("string"))
 
 
