@@ -11,6 +11,9 @@ from ..functions.scalars import engagement_boost, recency, serendipity
 # How many candidates of how many days, the least score, and the page that is too short.
 CANDIDATES, DAYS, LEAST_SCORE, SHORT_PAGE = 500, 7, 0.05, 5
 
+#: The parts of a score that follow from the article and the time.
+TIMED = ("recency", "boost", "trend")
+
 
 def engagement(actions: DataFrame) -> DataFrame:
     """(id, engagement): reads of each article."""
@@ -22,13 +25,13 @@ def candidates(articles: DataFrame, as_of: Column, most: int = CANDIDATES, days:
     return articles.where(F.col("published_at") > as_of - F.expr(f"INTERVAL {days} DAYS")).orderBy(F.desc("published_at"), F.desc("id")).limit(most)
 
 
-def scores(candidates: DataFrame, preferences: DataFrame, as_of: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(user_id, article_id, score) over all users with preferences and the candidates, with those of their columns that are to be kept.
+def interests(candidates: DataFrame, preferences: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, article_id, interest, *keep) over all users with preferences and the candidates: the part of a score that weights decide.
 
     The candidates are limited by number, so every user meets a table of fixed size, which is broadcast. Weights of pillars
     add up; of topics that differ in case only the last one by name counts.
     """
-    facts = candidates.select("id", *keep, "pillar_id", F.transform("micro_tags", lambda t: F.lower(t)).alias("tags"), recency(F.col("published_at"), as_of).alias("recency"), engagement_boost(F.col("engagement")).alias("boost"), F.when(F.col("is_trending"), 0.5).otherwise(0.0).alias("trend"))
+    facts = candidates.select("id", *keep, "pillar_id", F.transform("micro_tags", lambda t: F.lower(t)).alias("tags"))
     by_pillar = preferences.groupBy("user_id", "pillar_id").agg(F.sum("weight").alias("w"))
     by_topic = preferences.groupBy("user_id", F.lower("topic_name").alias("topic")).agg(F.max_by("weight", "topic_name").alias("w"))
     users = (
@@ -38,8 +41,27 @@ def scores(candidates: DataFrame, preferences: DataFrame, as_of: Column, keep: t
     met = users.crossJoin(F.broadcast(facts))
     liked = F.coalesce(F.try_element_at("pillars", F.col("pillar_id")), F.lit(0.0))
     tags = F.aggregate(F.transform("tags", lambda t: F.coalesce(F.try_element_at(F.col("topics"), t), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    total = (liked * 2 + tags * 3) * F.col("recency") + F.col("boost") + F.col("trend") + serendipity(F.col("id"), F.col("user_id"))
-    return met.select("user_id", F.col("id").alias("article_id"), F.round(total, 6).alias("score"), *keep).where(F.col("score") > LEAST_SCORE)
+    return met.select("user_id", F.col("id").alias("article_id"), (liked * 2 + tags * 3).alias("interest"), *keep)
+
+
+def _timed(candidates: DataFrame, as_of: Column) -> DataFrame:
+    return candidates.withColumns({"recency": recency(F.col("published_at"), as_of), "boost": engagement_boost(F.col("engagement")), "trend": F.when(F.col("is_trending"), 0.5).otherwise(0.0)})
+
+
+def _scored(pairs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    total = F.col("interest") * F.col("recency") + F.col("boost") + F.col("trend") + serendipity(F.col("article_id"), F.col("user_id"))
+    return pairs.select("user_id", "article_id", F.round(total, 6).alias("score"), *keep).where(F.col("score") > LEAST_SCORE)
+
+
+def scores(candidates: DataFrame, preferences: DataFrame, as_of: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, article_id, score) over all users with preferences and the candidates, with those of their columns that are to be kept."""
+    return _scored(interests(_timed(candidates, as_of), preferences, (*TIMED, *keep)), keep)
+
+
+def scored(pairs: DataFrame, candidates: DataFrame, as_of: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same from pairs whose interest is known."""
+    facts = _timed(candidates, as_of).select(F.col("id").alias("article_id"), *TIMED, *keep)
+    return _scored(pairs.join(F.broadcast(facts), "article_id"), keep)
 
 
 def page(feed: DataFrame, articles: DataFrame | None = None, number: int = 1, size: int = 10, scope: str | None = None, pillar: int | None = None) -> DataFrame:

@@ -93,3 +93,9 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "ts", "user_id", (F.col("event_id") % F.col("n_docs")).alias("article_id"),
         scalars.clamp(F.floor("value"), 0, 60).cast("long").alias("duration_sec"), scalars.clamp(scroll, 0, 100).cast("int").alias("scroll_pct"),
     )
+
+
+def timed_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as (event_id, ts, user_id, action, duration_sec)."""
+    action = F.element_at(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv]), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", action.alias("action"), scalars.clamp(F.floor("value"), 0, 60).cast("long").alias("duration_sec"))
