@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from .common import checkpoint, ship_package
 from .components import connected_components
 
-#: Vectors that the codebooks are fitted on at most; every vector is indexed.
+#: Vectors that all codebooks are fitted on (at most twice as many, with LEAST_SHARE for each), and codebooks at most; every vector is indexed.
 SAMPLE = 20_000
+LEAST_SHARE = 512
+STRATA = 64
 #: Vectors of a label per cell of the product grid, which the number of codewords follows from, and the most codewords a half.
 CELL_ROWS = 256
-CODEWORDS = 256
+CODEWORDS = 1024
 THRESHOLD = 0.93
 TARGET_RECALL = 0.995
 #: Vectors of a length in the sample that its codebooks need.
@@ -128,6 +130,34 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.column_stack((ids[moved], ids[label[moved]]))
 
 
+def tiers(classes: DataFrame, cell_rows: int) -> DataFrame:
+    """(label, dims, members, tier): vectors of each label and length, and how often that many hold four times what two cells do.
+
+    Labels of one tier differ in size by a factor of four at most, so codebooks for the one suit the other.
+    """
+    sizes = classes.groupBy("label", F.size("v").alias("dims")).agg(F.count("*").alias("members"))
+    return sizes.withColumn("tier", F.greatest(F.lit(0), F.floor(F.log(F.col("members") / cell_rows) / F.log(F.lit(4.0)))).cast("int"))
+
+
+def fitted(tiered: DataFrame, sizes: DataFrame, cell_rows: int, threshold: float, target: float) -> dict[tuple[int, int], MultiIndex]:
+    """An index for each length and tier, the STRATA most frequent ones; codewords follow from the size of the label that a row is in."""
+    found = sizes.groupBy("dims", "tier").agg(F.sum("members").alias("n"), (F.sum(F.col("members").cast("double") ** 2) / F.sum("members")).alias("mean"))
+    strata = {(r["dims"], r["tier"]): r for r in found.where((F.col("dims") >= 2) & (F.col("n") >= LEAST_SAMPLE)).orderBy(F.desc("n"), "dims", "tier").limit(STRATA).collect()}
+    if not strata:
+        return {}
+    share = max(LEAST_SHARE, SAMPLE // len(strata))
+    wanted = F.lit(False)
+    for (dims, tier), r in strata.items():
+        wanted = wanted | ((F.size("v") == dims) & (F.col("tier") == tier) & (F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < -(-share * 1_000_000 // r["n"])))
+    drawn = tiered.where(wanted).select("tier", "v").limit(2 * share * len(strata)).toPandas()
+    out = {}
+    for key, own in drawn.groupby([drawn["v"].map(len), "tier"])["v"]:
+        if len(own) >= LEAST_SAMPLE:
+            words = int(min(CODEWORDS, max(2, round((strata[key]["mean"] / cell_rows) ** 0.5))))
+            out[(int(key[0]), int(key[1]))] = fit(_unit(np.stack(own.to_list()).astype(float)), words, threshold, target)
+    return out
+
+
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, target: float = TARGET_RECALL) -> DataFrame:
     """id, n_links, component_id, kept of every row.
 
@@ -135,8 +165,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     or a number that is not finite, or whose label or id is null, link with nothing; nor do vectors of different lengths.
     Equal vectors of a label are one class: a group of copies is one point of the index, and counts once per row in n_links.
     Numbers of one dimension only have a sign, so those are two classes. Rows of one id are vectors of their own, which may link
-    with each other; a component's name is the smallest id in it. The codebooks come from SAMPLE vectors at most, chosen by a
-    hash, a pair of them for each length that is among these; vectors of a length too rare to be are compared in blocks.
+    with each other; a component's name is the smallest id in it. The codebooks come from a bounded sample, chosen by
+    a hash, a pair of them for each length and size of label, so a large label is cut finely whatever the others are; vectors of a
+    length too rare for that are compared in blocks.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -150,16 +181,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     rows = vectors.select(F.col(id_col).alias("id"), F.when(fine, F.col(label_col)).alias("label"), F.when(fine, told).alias("v"))
     # rep names the class, also where ids are repeated.
     classes = checkpoint(rows.where("v is not null").groupBy("label", "v").agg(F.min("id").cast("long").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
-    n, n_labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    per_million = min(1_000_000, -(-SAMPLE * 1_000_000 // max(1, n)))
-    drawn = classes.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < per_million).select("v").limit(2 * SAMPLE).toPandas()["v"]
-    sizes = drawn.map(len)
-    indexes = {}
-    for size, members in sizes.value_counts().items():
-        if size >= 2 and members >= LEAST_SAMPLE:
-            expected = n * members / len(drawn) / max(1, n_labels)
-            words = int(min(CODEWORDS, max(2, round((expected / cell_rows) ** 0.5))))
-            indexes[int(size)] = fit(_unit(np.stack(drawn[sizes == size].to_list()).astype(float)), words, threshold, target)
+    sizes = checkpoint(tiers(classes, cell_rows))
+    large = sizes.where("tier > 0").select("label", F.col("dims").alias("__dims"), "tier")
+    tiered = classes.withColumn("__dims", F.size("v")).join(large, ["label", "__dims"], "left").drop("__dims").withColumn("tier", F.coalesce("tier", F.lit(0)))
+    indexes = fitted(tiered, sizes, cell_rows, threshold, target)
     shared = spark.sparkContext.broadcast(indexes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +192,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         for batch in batches:
             values = batch.column("v").to_pylist()
             at, cell, query = [], [], []
-            lengths = np.array([len(v) for v in values])
-            for size in np.unique(lengths).tolist():
-                own = np.flatnonzero(lengths == size)
-                index = shared.value.get(size)
+            lengths, tier = np.array([len(v) for v in values]), batch.column("tier").to_numpy(zero_copy_only=False)
+            for size, level in sorted(set(zip(lengths.tolist(), tier.tolist()))):
+                own = np.flatnonzero((lengths == size) & (tier == level))
+                index = shared.value.get((size, level))
                 if index is None:
                     for q in (False, True):
                         at += own.tolist()
@@ -184,10 +209,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                     cell += [visited[0], *visited]
                     query += [False] + [True] * len(visited)
             taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(c) for c in ("label", "rep", "copies", "v")] + [pa.array(lengths[at] if at else [], pa.int32()), pa.array(cell, pa.int32()), pa.array(query)], names=["label", "rep", "copies", "v", "dims", "cell", "query"])
+            yield pa.RecordBatch.from_arrays([taken.column(c) for c in ("label", "tier", "rep", "copies", "v")] + [pa.array(lengths[at] if at else [], pa.int32()), pa.array(cell, pa.int32()), pa.array(query)], names=["label", "tier", "rep", "copies", "v", "dims", "cell", "query"])
 
     label_kind = classes.schema["label"].dataType.simpleString()
-    placed = classes.mapInArrow(place, f"label {label_kind}, rep long, copies long, v array<double>, dims int, cell int, query boolean")
+    placed = tiered.select("label", "tier", "rep", "copies", "v").mapInArrow(place, f"label {label_kind}, tier int, rep long, copies long, v array<double>, dims int, cell int, query boolean")
     # A cell of many vectors is compared in blocks of rows against blocks of queries.
     counts = placed.groupBy("label", "dims", "cell").agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("r")).where("r > 0 and q > 0")
     counts = counts.select("label", "dims", "cell", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(f"n{c}") for c in "qr"))
@@ -195,7 +220,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     salted = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("query"), F.col("nq")).otherwise(F.col("nr"))).cast("int"))
     spread = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("nr")).otherwise(F.col("nq")) - 1)))
     keyed = spread.select(
-        "label", "dims", "cell", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("rb"), "query", "rep", "copies", "v"
+        "label", "tier", "dims", "cell", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("rb"), "query", "rep", "copies", "v"
     )
     keys = ["label", "dims", "cell", "qb", "rb"]
 
@@ -212,7 +237,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         i, j = np.nonzero(_links_in_block(a, b, threshold) & (q_ids[:, None] != r_ids[None, :]))
         one_way = np.zeros(len(i), dtype=bool)
         if frame["cell"].iloc[0] >= 0 and len(i):
-            index = shared.value[a.shape[1]]
+            index = shared.value[(a.shape[1], int(frame["tier"].iloc[0]))]
             ids, where = np.unique(i, return_inverse=True)
             cells = index.cells(a[ids])[where]
             first, second = index.distances(b)

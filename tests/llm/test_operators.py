@@ -787,3 +787,30 @@ def test_urls_that_are_hot_and_long(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = {r["page_id"]: r for r in url_filter.judge(pages, URL_RULES, training_urls=100).collect()}
     assert len(got) == len(rows) and got[1000]["verdict"] == "allow" and got[9999]["rule"] is None and 0 <= got[9999]["score"] <= 1
+
+
+def test_embedding_large_label_among_small_ones(spark):
+    """The large label is cut by its own size, however many small ones there are; links in both are found."""
+    rng = np.random.default_rng(11)
+    centres, rows = rng.normal(size=(40, 16)), []
+    for i in range(3000):
+        rows.append((i, centres[i % 40] + 0.15 * rng.normal(size=16), 0))
+    for label in range(1, 401):
+        x = rng.normal(size=16)
+        rows += [(len(rows), x, label), (len(rows) + 1, x + 0.02 * rng.normal(size=16), label)]
+    frame = vectors(spark, [(i, [float(z) for z in x], label) for i, x, label in rows], "vec_id long, embedding array<double>, label int, id int, v int, n int")
+    classes = frame.select("label", F.col("embedding").alias("v"))
+    sizes = embedding_dedup.tiers(classes, 20)
+    tiered = classes.withColumn("dims", F.size("v")).join(sizes, ["label", "dims"])
+    indexes = embedding_dedup.fitted(tiered, sizes, 20, embedding_dedup.THRESHOLD, embedding_dedup.TARGET_RECALL)
+    assert sorted(indexes) == [(16, 0), (16, 3)] and len(indexes[(16, 3)].first) == 12 and len(indexes[(16, 0)].first) == 2
+    large = np.stack([x / np.linalg.norm(x) for _, x, label in rows if label == 0])
+    index = indexes[(16, 3)]
+    in_cell = np.bincount(index.cells(large), minlength=144)
+    first, second = index.distances(large)
+    compared = sum(int(in_cell[index.visits(a, b)].sum()) for a, b in zip(first, second))
+    assert compared < 0.6 * len(large) ** 2
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicate_vectors(frame, cell_rows=20).collect()}
+    linked = (large @ large.T >= 0.93).sum(1) - 1
+    assert linked.sum() > 0 and sum(got[i] for i in range(3000)) >= 0.99 * linked.sum() and all(got[i] <= k for i, k in enumerate(linked))
+    assert all(got[i] == 1 for i in range(3000, 3800))
