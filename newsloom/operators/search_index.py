@@ -13,6 +13,8 @@ from .patterns import found_in
 
 #: Characters of a posting, those of the pieces that texts are cut in, and how many of a query's postings are met at most.
 GRAM, PIECE, MET = 3, 4096, 4
+#: Tasks that the postings of one gram are dealt over.
+PARTS = 16
 
 
 def _grams(text: Column) -> Column:
@@ -40,8 +42,9 @@ def indexed(rows: DataFrame, folder: str, columns: tuple[str, ...] = ("headline"
     spark = rows.sparkSession
     texts = F.array_compact(F.array(*(F.lower(c) for c in columns)))
     pieces = rows.select("id", F.explode(texts).alias("text")).select("id", F.explode(_pieces(F.col("text"))).alias("piece"))
-    each = pieces.select("id", F.explode(_grams(F.col("piece"))).alias("gram")).distinct()
-    each.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{folder}/postings")
+    each = pieces.select("id", F.explode(_grams(F.col("piece"))).alias("gram")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    once = each.repartition("gram", "part").dropDuplicates(["gram", "part", "id"])  # one shuffle for both
+    once.sortWithinPartitions("gram", "id").select("gram", "id").write.parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
     postings.groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{folder}/frequencies")
     return SearchIndex(postings, spark.read.parquet(f"{folder}/frequencies"), columns)
