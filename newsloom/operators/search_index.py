@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .browse import newest
-from .patterns import found_in
 
 #: Characters of a posting, those of the pieces that texts are cut in, and how many of a query's postings are met at most.
 GRAM, PIECE, MET = 3, 4096, 4
 #: Tasks that the postings of one gram are dealt over.
 PARTS = 16
+#: Rows of queries (one for each of their postings that are met) that are broadcast; more of them are shuffled.
+BROADCAST_QUERIES = 50_000
 
 
-def _grams(text: Column) -> Column:
-    """The distinct stretches of GRAM characters, told in one pass; none of a shorter text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+def _grams(text: Column, size: int = GRAM) -> Column:
+    """The distinct stretches of so many characters, told in one pass; none of a shorter text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?!\\p{{Cs}})(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def _pieces(text: Column) -> Column:
@@ -28,6 +29,17 @@ def _pieces(text: Column) -> Column:
     return F.transform(cut, lambda piece, i: F.concat(piece, F.coalesce(F.substring(F.get(cut, i + 1), 1, GRAM - 1), F.lit(""))))
 
 
+def _cut(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(id, piece) of the columns' texts without regard to case."""
+    texts = F.array_compact(F.array(*(F.lower(c) for c in columns)))
+    return rows.select("id", F.explode(texts).alias("text")).select("id", F.explode(_pieces(F.col("text"))).alias("piece"))
+
+
+def _small(queries: DataFrame) -> DataFrame:
+    """queries, marked for a broadcast if they are BROADCAST_QUERIES at most."""
+    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """Postings (gram, id), how many each gram has (gram, n), and the columns that are searched."""
@@ -40,9 +52,7 @@ class SearchIndex:
 def indexed(rows: DataFrame, folder: str, columns: tuple[str, ...] = ("headline", "full_body")) -> SearchIndex:
     """The index of the columns' texts without regard to case, written under the folder by gram; null texts have no postings."""
     spark = rows.sparkSession
-    texts = F.array_compact(F.array(*(F.lower(c) for c in columns)))
-    pieces = rows.select("id", F.explode(texts).alias("text")).select("id", F.explode(_pieces(F.col("text"))).alias("piece"))
-    each = pieces.select("id", F.explode(_grams(F.col("piece"))).alias("gram")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    each = _cut(rows, columns).select("id", F.explode(_grams(F.col("piece"))).alias("gram")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
     once = each.repartition("gram", "part").dropDuplicates(["gram", "part", "id"])  # one shuffle for both
     once.sortWithinPartitions("gram", "id").select("gram", "id").write.parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
@@ -56,14 +66,14 @@ def candidates(index: SearchIndex, queries: DataFrame) -> DataFrame:
     A query with a gram that no row has is in no pair. The postings of a query's grams are counted by row, so frequent
     grams are shuffled only for queries that have no rarer ones.
     """
-    long = queries.select("query").where(F.char_length("query") >= GRAM).distinct()
+    long = queries.select("query").where(F.char_length(F.lower("query")) >= GRAM).distinct()
     each = long.select("query", F.explode(_grams(F.lower("query"))).alias("gram"))
     known = each.join(index.frequencies, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     of_query = Window.partitionBy("query")  # the grams of one query
     ranked = known.withColumn("rank", F.row_number().over(of_query.orderBy("n", "gram"))).withColumn("least", F.min("n").over(of_query))
     wanted = ranked.where((F.col("least") > 0) & (F.col("rank") <= MET))
     needed = wanted.withColumn("needed", F.count("*").over(of_query)).select("query", "gram", "needed")
-    met = index.postings.join(needed, "gram").groupBy("query", "id", "needed").agg(F.count("*").alias("have"))
+    met = index.postings.join(_small(needed), "gram").groupBy("query", "id", "needed").agg(F.count("*").alias("have"))
     return met.where(F.col("have") == F.col("needed")).select("query", "id")
 
 
@@ -82,16 +92,12 @@ def hits(index: SearchIndex, rows: DataFrame, queries: DataFrame, keep: tuple[st
     """
     met = candidates(index, queries).join(rows.select("id", *index.columns, *(c for c in keep if c not in index.columns)), "id")
     out = met.where(_matches(index.columns)).select("query", "id", *keep)
-    short = queries.where(F.char_length("query").between(1, GRAM - 1)).select("query").distinct()
+    short = queries.where(F.char_length(F.lower("query")).between(1, GRAM - 1)).select("query").distinct()
     if short.isEmpty():
         return out
-    folded = short.withColumn("__lower", F.lower("query"))
-    texts = rows.select("id", *(F.lower(c).alias(f"__{i}") for i, c in enumerate(index.columns)))
-    each = [found_in(texts.select("id", f"__{i}"), f"__{i}", folded, "__lower").select("id", "__lower") for i in range(len(index.columns))]
-    both = each[0]
-    for more in each[1:]:
-        both = both.unionByName(more)
-    found = both.distinct().join(folded, "__lower").select("query", "id")
+    folded = short.withColumn("gram", F.lower("query"))
+    grams = F.concat(*(_grams(F.col("piece"), size) for size in range(1, GRAM)))
+    found = _cut(rows, index.columns).select("id", F.explode(grams).alias("gram")).join(_small(folded), "gram").select("query", "id").distinct()
     return out.unionByName(found.join(rows.select("id", *keep), "id").select("query", "id", *keep))
 
 
