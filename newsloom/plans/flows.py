@@ -6,18 +6,23 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import text
 from ..operators.versioned import VersionedTable
 from ..session import shared_folder
 from ..sources import adapters as A
+from ..sources import feed_stream, feeds
 from ..streaming import stateful
 from ..streaming.activity import run_available
 from . import sql as S
-from .composed import NEW, ingested, stored
-from .queries import moment
+from .composed import NEW, escaped, ingested, stored
+from .queries import HEADLINE, headlines, moment
 from .registry import query
 
 RUNS = 3
+#: Feeds of the live query, and of how many one is out of order in the second run.
+FEEDS, BROKEN = 300, 7
 
 
 def in_runs(events: DataFrame, folder: str) -> Iterator[int]:
@@ -66,3 +71,33 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
         raw.write.parquet(f"{base}/in/run={again}")
         stateful.articles_into(spark.readStream.schema(raw.schema).parquet(f"{base}/in/*"), table, "articles", f"{base}/checkpoint", [F.col("source_rank"), F.col("feed"), F.col("pos")])
     return table.read().where("source_rank is not null").select("url", "title_hash", "headline", "pillar_id", moment("published_at"))
+
+
+def placed(rows) -> None:
+    """Bodies of feeds in the place of those before them."""
+    for r in rows:
+        landing = feed_stream.Landing(r["folder"])
+        landing.files.create_dir(landing.root, recursive=True)
+        with landing.files.open_output_stream(f"{landing.root}/{r['feed']}.xml") as f:
+            f.write(r["body"].encode())
+
+
+@query(f"""WITH items AS (SELECT doc_id, {S.squeeze('headline')} AS title, doc_id % {FEEDS} AS f, doc_id // {FEEDS} % {RUNS} AS came FROM ({HEADLINE})), runs AS (SELECT unnest(range({RUNS})) AS run),
+shown AS (SELECT *, row_number() OVER (PARTITION BY run, f ORDER BY came DESC, doc_id DESC) AS pos FROM items JOIN runs ON came <= run)
+SELECT 'http://x/' || doc_id AS url, {S.fingerprint('title')} AS title_hash, title AS headline, min(run) + 1 AS turn FROM shown WHERE pos <= {feeds.ENTRIES_PER_FEED} AND NOT (run = 1 AND f % {BROKEN} = 0) AND title <> '' GROUP BY ALL""")
+def stream_live_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of live feeds, each once with the turn that it came with: feeds show their newest entries, which change from run to run."""
+    base, docs = shared_folder(spark, "live"), headlines(spark, d)
+    f, came = F.col("doc_id") % FEEDS, F.floor(F.col("doc_id") / FEEDS) % RUNS
+    item = F.concat(F.lit("<item><title>"), escaped(text.squeeze(F.col("headline"))), F.lit("</title><link>http://x/"), F.col("doc_id").cast("string"), F.lit("</link></item>"))
+    out, whole_base = None, feed_stream.qualified(spark, base)
+    for run in range(RUNS):
+        newest = Window.partitionBy("f").orderBy(F.desc("came"), F.desc("doc_id"))
+        shown = docs.select("doc_id", f.alias("f"), came.alias("came")).where(F.col("came") <= run).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= feeds.ENTRIES_PER_FEED)
+        listed = docs.join(shown, "doc_id").groupBy("f").agg(F.array_sort(F.collect_list(F.struct("n", item.alias("x")))).alias("items"))
+        whole = F.concat(F.lit("<rss><channel>"), F.array_join("items.x", ""), F.when((run != 1) | (F.col("f") % BROKEN != 0), "</channel></rss>").otherwise(""))
+        listed.select(F.lit(f"{whole_base}/site").alias("folder"), F.col("f").alias("feed"), whole.alias("body")).foreachPartition(placed)
+        urls = [f"{whole_base}/site/{k}.xml" for k in range(FEEDS)]
+        items = feeds.capped(feed_stream.new_items(feed_stream.asked(spark, urls, f"{base}/landing", FEEDS, seconds=0)))
+        out = run_available(items.select(F.col("link").alias("url"), text.title_fingerprint(F.col("title")).alias("title_hash"), F.col("title").alias("headline"), "turn"), base)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +10,40 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .feeds import ATOM_ENTRY, RSS_ITEM, atom_entry, rss_item
 
-#: Feeds that one task pulls, and seconds that it waits for each.
-FEEDS_PER_TASK, TIMEOUT = 10, 15
+#: Feeds that one task pulls, seconds that it waits for each, and bytes that a body may have.
+FEEDS_PER_TASK, TIMEOUT, MOST_BYTES = 10, 15, 64 << 20
+
+
+class TooLargeError(Exception):
+    """A body of more than MOST_BYTES."""
+
+
+def answer_of(url: str, etag: str | None = None, modified: str | None = None) -> tuple[str | None, str | None, str | None, str | None]:
+    """(body, failure, ETag, Last-Modified) of a feed; neither body nor failure if it says that it is as it was at the validators given."""
+    import urllib.error
+    import urllib.request
+
+    try:
+        request = urllib.request.Request(url)  # noqa: S310  the registry names the addresses
+        for name, value in (("If-None-Match", etag), ("If-Modified-Since", modified)):
+            if value:
+                request.add_header(name, value)
+        with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:  # noqa: S310
+            status = getattr(answer, "status", None)
+            if status not in (None, 200):
+                return None, f"status {status}", None, None
+            raw = answer.read(MOST_BYTES + 1)
+            if len(raw) > MOST_BYTES:
+                raise TooLargeError
+            if getattr(answer, "length", None):  # bytes that were announced and have not come
+                return None, "IncompleteRead", None, None
+            return raw.decode("utf-8", "replace"), None, answer.headers.get("ETag"), answer.headers.get("Last-Modified")
+    except urllib.error.HTTPError as e:
+        if e.code == 304:
+            return None, None, etag, modified
+        return None, type(e).__name__, None, None
+    except Exception as e:  # noqa: BLE001  no feed, however it fails, keeps the others from being read
+        return None, type(e).__name__, None, None
 
 
 class FeedPartition(InputPartition):
@@ -28,16 +60,8 @@ class FeedReader(DataSourceReader):
         return [FeedPartition(self.urls[i : i + FEEDS_PER_TASK]) for i in range(0, len(self.urls), FEEDS_PER_TASK)] or [FeedPartition([])]
 
     def read(self, partition: FeedPartition) -> Iterator[tuple[str, str | None, str | None]]:
-        import urllib.request
-
         for url in partition.urls:
-            try:
-                with urllib.request.urlopen(url, timeout=TIMEOUT) as answer:  # noqa: S310  the registry names the addresses
-                    status = getattr(answer, "status", None)
-                    row = (url, answer.read().decode("utf-8", "replace"), None) if status in (None, 200) else (url, None, f"status {status}")
-            except Exception as e:  # noqa: BLE001  no feed, however it fails, keeps the others from being read
-                row = (url, None, type(e).__name__)
-            yield row
+            yield (url, *answer_of(url)[:2])
 
 
 class FeedSource(DataSource):
@@ -65,8 +89,8 @@ def pulled(spark: SparkSession, urls: list[str]) -> DataFrame:
     return asked_for(spark, urls).where("body is not null").select("feed", "body")
 
 
-def items_of(bodies: DataFrame, body: Column | None = None) -> DataFrame:
-    """The items of RSS and Atom bodies with their position, in the shape that `feeds.capped` takes."""
+def items_of(bodies: DataFrame, body: Column | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """The items of RSS and Atom bodies with their position, in the shape that `feeds.capped` takes, and what else of the bodies' columns is asked for."""
     parsed = F.from_xml(F.col("body") if body is None else body, F.lit(f"channel struct<item: array<struct<{RSS_ITEM}>>>, entry array<struct<{ATOM_ENTRY}>>"))
     each = F.coalesce(F.transform(parsed["channel"]["item"], rss_item), F.transform(parsed["entry"], atom_entry))
-    return bodies.select("feed", F.posexplode(each).alias("pos", "i")).select("feed", (F.col("pos") + 1).alias("pos"), "i.*")
+    return bodies.select("feed", *also, F.posexplode(each).alias("pos", "i")).select("feed", *also, (F.col("pos") + 1).alias("pos"), "i.*")
