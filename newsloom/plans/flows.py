@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +18,7 @@ from ..streaming import stateful
 from ..streaming.activity import run_available
 from . import sql as S
 from .composed import NEW, escaped, ingested, stored
-from .queries import HEADLINE, headlines, moment
+from .queries import HEADLINE, moment
 from .registry import query
 
 RUNS = 3
@@ -73,13 +74,15 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return table.read().where("source_rank is not null").select("url", "title_hash", "headline", "pillar_id", moment("published_at"))
 
 
-def placed(rows) -> None:
-    """Bodies of feeds in the place of those before them."""
-    for r in rows:
-        landing = feed_stream.Landing(r["folder"])
-        landing.files.create_dir(landing.root, recursive=True)
-        with landing.files.open_output_stream(f"{landing.root}/{r['feed']}.xml") as f:
-            f.write(r["body"].encode())
+def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(folder, feed, body): bodies of feeds in the place of those before them. A try that is repeated writes the same again."""
+    for frame in frames:
+        for folder, feed, body in frame.itertuples(index=False):
+            landing = feed_stream.Landing(folder)
+            landing.files.create_dir(landing.root, recursive=True)
+            with landing.files.open_output_stream(f"{landing.root}/{feed}.xml") as f:
+                f.write(body.encode())
+        yield frame[["feed"]]
 
 
 @query(f"""WITH items AS (SELECT doc_id, {S.squeeze('headline')} AS title, doc_id % {FEEDS} AS f, doc_id // {FEEDS} % {RUNS} AS came FROM ({HEADLINE})), runs AS (SELECT unnest(range({RUNS})) AS run),
@@ -87,17 +90,23 @@ shown AS (SELECT *, row_number() OVER (PARTITION BY run, f ORDER BY came DESC, d
 SELECT 'http://x/' || doc_id AS url, {S.fingerprint('title')} AS title_hash, title AS headline, min(run) + 1 AS turn FROM shown WHERE pos <= {feeds.ENTRIES_PER_FEED} AND NOT (run = 1 AND f % {BROKEN} = 0) AND title <> '' GROUP BY ALL""")
 def stream_live_feeds(spark: SparkSession, d: str) -> DataFrame:
     """The entries of live feeds, each once with the turn that it came with: feeds show their newest entries, which change from run to run."""
-    base, docs = shared_folder(spark, "live"), headlines(spark, d)
-    f, came = F.col("doc_id") % FEEDS, F.floor(F.col("doc_id") / FEEDS) % RUNS
-    item = F.concat(F.lit("<item><title>"), escaped(text.squeeze(F.col("headline"))), F.lit("</title><link>http://x/"), F.col("doc_id").cast("string"), F.lit("</link></item>"))
-    out, whole_base = None, feed_stream.qualified(spark, base)
+    base, docs = shared_folder(spark, "live"), A.table(spark, d, "documents")
+    whole_base = feed_stream.qualified(spark, base)
+    came = F.floor(F.col("doc_id") / FEEDS) % RUNS
+    runs = docs.select("doc_id", (F.col("doc_id") % FEEDS).alias("f"), came.alias("came")).withColumn("run", F.explode(F.sequence(F.col("came"), F.lit(RUNS - 1).cast("long"))))
+    newest = Window.partitionBy("run", "f").orderBy(F.desc("came"), F.desc("doc_id"))
+    shown = runs.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= feeds.ENTRIES_PER_FEED).drop("came")
+    held = docs.select("doc_id", "text").join(F.broadcast(shown), "doc_id")  # RUNS * FEEDS * ENTRIES_PER_FEED rows at most
+    title = text.squeeze(F.substring(F.get(text.sentences(F.col("text")), F.lit(0)), 1, 80))
+    item = F.concat(F.lit("<item><title>"), escaped(title), F.lit("</title><link>http://x/"), F.col("doc_id").cast("string"), F.lit("</link></item>"))
+    listed = held.select("run", "f", F.struct("n", item.alias("x")).alias("x")).groupBy("run", "f").agg(F.array_sort(F.collect_list("x")).alias("items"))
+    closing = F.when((F.col("run") != 1) | (F.col("f") % BROKEN != 0), "</channel></rss>").otherwise("")
+    bodies = listed.select("run", F.lit(f"{whole_base}/site").alias("folder"), F.col("f").alias("feed"), F.concat(F.lit("<rss><channel>"), F.array_join("items.x", ""), closing).alias("body"))
+    bodies.write.parquet(f"{base}/bodies")
+    urls, out = [f"{whole_base}/site/{k}.xml" for k in range(FEEDS)], None
     for run in range(RUNS):
-        newest = Window.partitionBy("f").orderBy(F.desc("came"), F.desc("doc_id"))
-        shown = docs.select("doc_id", f.alias("f"), came.alias("came")).where(F.col("came") <= run).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= feeds.ENTRIES_PER_FEED)
-        listed = docs.join(shown, "doc_id").groupBy("f").agg(F.array_sort(F.collect_list(F.struct("n", item.alias("x")))).alias("items"))
-        whole = F.concat(F.lit("<rss><channel>"), F.array_join("items.x", ""), F.when((run != 1) | (F.col("f") % BROKEN != 0), "</channel></rss>").otherwise(""))
-        listed.select(F.lit(f"{whole_base}/site").alias("folder"), F.col("f").alias("feed"), whole.alias("body")).foreachPartition(placed)
-        urls = [f"{whole_base}/site/{k}.xml" for k in range(FEEDS)]
+        now = spark.read.parquet(f"{base}/bodies").where(F.col("run") == run).select("folder", "feed", "body")
+        now.mapInPandas(placed, "feed long").write.format("noop").mode("overwrite").save()
         items = feeds.capped(feed_stream.new_items(feed_stream.asked(spark, urls, f"{base}/landing", FEEDS, seconds=0)))
         out = run_available(items.select(F.col("link").alias("url"), text.title_fingerprint(F.col("title")).alias("title_hash"), F.col("title").alias("headline"), "turn"), base)
     return out
