@@ -44,6 +44,22 @@ def added(table: VersionedTable, actions: DataFrame, batch: tuple[str, int]) ->
     return table.merge(new, lambda old, rows: merged(old.unionByName(rows), "day"), batch=batch)
 
 
-def spans(states: DataFrame, unit: str) -> DataFrame:
-    """(span, ..., n_users) by week, month ...: what is read is a row for each day."""
-    return told(merged(states, F.trunc("day", unit).alias("span")))
+def users_added(table: VersionedTable, actions: DataFrame, batch: tuple[str, int]) -> int:
+    """Add who was there on which day to a table (keyed by user_id and day), for spans whose users have to be exact however many they are.
+
+    A user may come again with another batch of the same day; a batch that has been added already adds nothing.
+    """
+    return table.append(actions.select("user_id", F.to_date("ts").alias("day")).where("user_id is not null and day is not null").distinct(), batch)
+
+
+def spans(states: DataFrame, unit: str, users: DataFrame | None = None) -> DataFrame:
+    """(span, ..., n_users) by week, month ...: what is read is a row for each day.
+
+    With users (user_id, day) these are counted, which is exact; else the sketches tell how many there are.
+    """
+    span = F.trunc("day", unit).alias("span")
+    out = merged(states, span)
+    if users is None:
+        return told(out)
+    counts = users.groupBy(span).agg(F.count_distinct("user_id").alias("n_users"))  # a row for each span
+    return out.drop(USERS).join(counts, "span", "left").withColumn("n_users", F.coalesce("n_users", F.lit(0)))

@@ -225,6 +225,16 @@ def test_many_users_within_the_stated_error(spark):
     assert one["n_actions"] == 120_000 and abs(one["n_users"] - 100_000) < 4 * 2 ** (-rollups.LOG_ENTRIES / 2) * 100_000
 
 
+def test_weeks_count_more_users_than_a_sketch_tells_apart(spark, tmp_path):
+    acts = spark.range(60_000).select(F.lit(START).cast("timestamp_ntz").alias("ts"), F.col("id").alias("user_id"), F.lit("read").alias("action"), F.lit(1).cast("long").alias("duration_sec"))
+    days, users = VersionedTable(spark, f"file://{tmp_path}/days", ["day"]), VersionedTable(spark, f"file://{tmp_path}/users", ["user_id", "day"])
+    for number, part in ((0, "user_id < 40000"), (1, "user_id >= 30000"), (1, "user_id >= 30000")):
+        rollups.added(days, acts.where(part), ("actions", number))
+        rollups.users_added(users, acts.where(part), ("actions", number))
+    one = rollups.spans(days.read(), "week", users.read()).collect()
+    assert [(r["n_actions"], r["n_users"]) for r in one] == [(70_000, 60_000)]
+
+
 def test_days_of_nothing(spark):
     none = some_actions(spark, 1, 1).limit(0)
     assert rollups.day_states(none).isEmpty() and rollups.spans(rollups.day_states(none), "week").isEmpty()
