@@ -7,9 +7,10 @@ import inspect
 import json
 import random
 import re
+import threading
 import time
 from collections.abc import Awaitable, Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -139,13 +140,16 @@ class Window:
         """Each batch with its answers, as soon as the last of them is there; batches may overtake each other.
 
         Rows are taken up while places are free, across the ends of batches, so a slow row holds up its own batch alone. No more
-        batches are open than there are places, and a few rows more than places are waiting.
+        batches are open than there are places, and a few rows more than places are waiting. The loop turns in a thread of its own, so
+        calls go on, and deadlines count their time alone, while this generator waits for a batch or for what takes its answers.
         """
         loop = asyncio.new_event_loop()
+        turning = threading.Thread(target=loop.run_forever, daemon=True)
+        turning.start()
         todo = ((number, batch, at) for number, batch in enumerate(batches) for at in range(len(batch)))
         opened: dict[int, tuple[pa.RecordBatch, list]] = {}
         left: dict[int, int] = {}
-        pending: dict[asyncio.Task, tuple[int, int]] = {}
+        pending: dict[Future, tuple[int, int]] = {}
         try:
             exhausted = False
             while pending or not exhausted:
@@ -157,24 +161,36 @@ class Window:
                     if number not in opened:
                         opened[number], left[number] = (batch, [None] * len(batch)), len(batch)
                     said = self.answered(batch.column(title)[at].as_py() or "", batch.column(body)[at].as_py() or "")
-                    pending[loop.create_task(said)] = (number, at)
+                    pending[asyncio.run_coroutine_threadsafe(said, loop)] = (number, at)
                 if not pending:
                     break
-                done, _ = loop.run_until_complete(asyncio.wait(pending, return_when=asyncio.FIRST_COMPLETED))
-                for task in done:
-                    number, at = pending.pop(task)
-                    opened[number][1][at] = task.result()
+                done, _ = wait(pending, return_when=FIRST_COMPLETED)
+                for call in done:
+                    number, at = pending.pop(call)
+                    opened[number][1][at] = call.result()
                     left[number] -= 1
                     if not left[number]:
                         del left[number]
                         yield _with_answers(*opened.pop(number))
         finally:
-            for task in pending:
-                task.cancel()
+            for call in pending:
+                call.cancel()
             self.threads.shutdown(wait=False, cancel_futures=True)
+            asyncio.run_coroutine_threadsafe(_cancelled(), loop).result()
+            loop.call_soon_threadsafe(loop.stop)
+            turning.join()
             loop.close()
 
 
+async def _cancelled() -> None:
+    """All other tasks of the loop cancelled, and a second given to them to end."""
+    others = asyncio.all_tasks() - {asyncio.current_task()}
+    for task in others:
+        task.cancel()
+    if others:
+        await asyncio.wait(others, timeout=1)
+
+
 ANSWER = {"__json": pa.string(), "answered_by": pa.string(), "calls": pa.int32(), "failures": pa.string()}
 
 

@@ -56,6 +56,23 @@ def test_fifty_slow_rows_take_a_fifth_of_the_time_and_never_more_than_five_at_on
         assert counted.most == 5 and 0.95 < took < 4  # one after the other they would take five seconds
 
 
+def test_calls_do_not_fail_of_time_that_batches_and_answers_take():
+    async def call(title, body):
+        await asyncio.sleep(0.02 * (1 + int(title[1:]) % 4))  # so that some are in flight whenever a batch ends
+        return answer(title)
+
+    def batches():
+        for k in range(3):
+            time.sleep(0.6)  # as long as what comes before takes for a batch
+            yield pa.RecordBatch.from_pydict({"title": [f"t{k * 7 + i}" for i in range(7)], "body": ["b"] * 7})
+
+    found = []
+    for batch in Window([Provider("p", call, deadline=0.3)], QUICK).run(batches(), "title", "body"):
+        found += batch.to_pylist()
+        time.sleep(0.6)  # and what comes after
+    assert len(found) == 21 and all((r["calls"], r["failures"]) == (1, "") for r in found)
+
+
 def test_a_slow_row_holds_up_its_own_batch_alone():
     async def call(title, body):
         await asyncio.sleep(1.0 if title == "t0" else 0.01)
