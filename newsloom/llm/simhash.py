@@ -120,7 +120,8 @@ def near_links(found: DataFrame) -> DataFrame:
     index = signatures(found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp", F.lit(SEED))))
     left = index.where("side = 0").select("key", F.col("fp").alias("a"))
     right = index.where("side = 1").select("key", F.col("fp").alias("b"))
-    close = left.join(right, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
+    # A hundred times as large as the fingerprints, by whose size it would be broadcast.
+    close = left.hint("merge").join(right, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
     return close.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 

@@ -566,6 +566,13 @@ def test_near_links_are_all_within_two_bits(spark):
     assert got == expected
 
 
+def test_near_links_do_not_broadcast_the_index(spark):
+    found = simhash.near_links(spark.range(200).select(F.xxhash64("id").alias("fp")))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_simhash_odd_rows(odd_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
