@@ -32,6 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those near an earlier one: of each group of near copies one row stays.
 
+    Groups of SimHash fingerprints within two bits, as op10 finds them, are held against the shingles of the texts. At 0.8 edits mostly
+    change more bits than two, so buckets of MinHash keys are held against them as well; neither search stands in for the other.
     It is that of the smallest id, rows without an id last; of rows of one id that of the text with the smallest hash; of rows alike in
     both any. All null, empty and blank texts are copies of each other, so one of them stays.
     """

@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-# Near copies by similarity: MinHash keys of the shingles find candidates, shingles decide.
+# Near copies by similarity: SimHash fingerprints within two bits and MinHash keys of the shingles find candidates, shingles decide.
 
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: Smallest hashes that one key is made of, and how many of the pairs at the very similarity asked for are to share a key.
@@ -163,7 +163,7 @@ def distinct_shingles(text: str, words_each: int) -> np.ndarray:
 
 
 def copy_profiles(docs: DataFrame, n_keys: int, words_each: int, id_col: str, text_col: str) -> DataFrame:
-    """id, text_hash, exact (128 bits of hash of the words), size (distinct shingles), keys array<long> (none without words), of every row."""
+    """id, text_hash, exact (128 bits of hash of the words), fp (SimHash), size (distinct shingles), keys array<long> (none without words), of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -174,8 +174,9 @@ def copy_profiles(docs: DataFrame, n_keys: int, words_each: int, id_col: str, te
         factors, mixed = factors | np.uint64(1), mixed | np.uint64(1)
         for batch in batches:
             for part in slices_by_bytes(batch, "text", BATCH_BYTES):
-                exact, size, found = [], [], []
+                exact, fp, size, found = [], [], [], []
                 for text in part.column("text").to_pylist():
+                    fp.append(majority(shingle_hashes(text)))
                     exact.append(xxh3_128_digest(b" ".join(text.encode("utf-8", "replace").lower().split())))
                     own = distinct_shingles(text, words_each)
                     size.append(len(own))
@@ -187,11 +188,11 @@ def copy_profiles(docs: DataFrame, n_keys: int, words_each: int, id_col: str, te
                         np.minimum(least, ((own[i : i + 4096, None] ^ flips) * factors).min(axis=0), out=least)
                     least = (least ^ (least >> np.uint64(32))) * mixed
                     found.append(((least ^ (least >> np.uint64(29))).reshape(n_keys, KEY_HASHES).sum(axis=1, dtype=np.uint64) ^ marks).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(exact, pa.binary()), pa.array(size, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "text_hash", "exact", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(exact, pa.binary()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "text_hash", "exact", "fp", "size", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, f"id {kind}, text_hash long, exact binary, size int, keys array<long>")
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, exact binary, fp long, size int, keys array<long>")
 
 
 def shingle_sets(texts: DataFrame, words_each: int) -> DataFrame:
@@ -206,6 +207,17 @@ def shingle_sets(texts: DataFrame, words_each: int) -> DataFrame:
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
+def with_simhash_key(classes: DataFrame) -> DataFrame:
+    """classes (fp, keys, ...) with one more key: the group of fingerprints, linked as near_duplicates() links them, that each one's is in.
+
+    So what SimHash finds meets in a bucket like any other, and all its pairs are held against the shingles. Classes without words have no keys.
+    """
+    groups = connected_components(near_links(classes.where(F.size("keys") > 0).select("fp").distinct())).withColumnRenamed("u", "fp")
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp"))
+    met = classes.join(groups, "fp", "left")
+    return met.withColumn("keys", F.when(F.size("keys") > 0, F.concat("keys", F.array(key))).otherwise(F.col("keys"))).drop("fp", "root")
+
+
 def shared_buckets(classes: DataFrame) -> DataFrame:
     """(key, id, size, n, b0, ...): each class (id, size, keys) with each key that others have too, how many have it, and its representatives."""
     dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
@@ -300,7 +312,8 @@ def kept_of_each(docs: DataFrame, id_col: str, text_col: str, words_each: int, s
     ship_package(docs.sparkSession)
     found = checkpoint(copy_profiles(docs, keys_for(similarity), words_each, id_col, text_col))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
-    classes = checkpoint(found.groupBy("exact").agg(first.alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")).withColumn("class", F.monotonically_increasing_id()))
+    kinds = checkpoint(found.groupBy("exact").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("fp", "size", "keys"))))
+    classes = checkpoint(with_simhash_key(kinds).withColumn("class", F.monotonically_increasing_id()))
     met = checkpoint(shared_buckets(classes.select(F.col("class").alias("id"), "size", "keys")))
     pairs = candidate_pairs(met, similarity)
     wanted = checkpoint(met.select(F.col("id").alias("class")).distinct().join(classes.select("class", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "class"))
@@ -328,8 +341,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id and component (the smallest id reachable over links, its own included) of every row.
 
     Two texts link if the Jaccard similarity of their word shingles, counted over all of them, is as high as asked. Texts of
-    the same words in a row (without regard to case and white space) are one class from the start. Candidates share a MinHash
-    key of their shingles. Null and empty texts are one class. Rows of one id are compared each. A component is null where no
+    the same words in a row (without regard to case and white space) are one class from the start. Candidates are in one group of
+    SimHash fingerprints or share a MinHash key of their shingles. Null and empty texts are one class. Rows of one id are compared each. A component is null where no
     row in it has an id. No documents give no rows.
     """
     return kept_of_each(docs, id_col, text_col, words_each, similarity).select(F.col("id").alias(id_col), F.col("kept.id").alias("component"))

@@ -647,6 +647,19 @@ def test_near_copies_of_one_seed_in_a_large_group(spark):
     assert len(got) == 2500 and set(got) == {0}
 
 
+def test_near_copies_that_simhash_finds_alone(spark, monkeypatch):
+    """With one MinHash key of many hashes, which texts that differ never share, fingerprints bring the near copies together."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 1500)) for i in range(30)]
+    rows += [(100 + i, t + " appended") for i, t in rows[:25]]
+    monkeypatch.setattr(simhash, "keys_for", lambda similarity: 1)
+    monkeypatch.setattr(simhash, "KEY_HASHES", 20_000)
+    prints = {i: simhash.majority(simhash.shingle_hashes(t)) & (1 << 64) - 1 for i, t in rows}
+    linked = [i for i in range(25) if (prints[i] ^ prints[100 + i]).bit_count() <= simhash.MAX_BITS]
+    got = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(linked) > 15 and all(got[100 + i] == i for i in linked) and all(got[i] == i for i in range(30))
+
+
 def test_near_copies_without_broadcasts_and_small_buckets(spark, monkeypatch):
     """The ways for large inputs give what those for small ones give."""
     rng = random.Random(12)
