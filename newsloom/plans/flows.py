@@ -97,7 +97,7 @@ def stream_live_feeds(spark: SparkSession, d: str) -> DataFrame:
     newest = Window.partitionBy("run", "f").orderBy(F.desc("came"), F.desc("doc_id"))
     shown = runs.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= feeds.ENTRIES_PER_FEED).drop("came")
     held = docs.select("doc_id", "text").join(F.broadcast(shown), "doc_id")  # RUNS * FEEDS * ENTRIES_PER_FEED rows at most
-    title = text.squeeze(F.substring(F.get(text.sentences(F.col("text")), F.lit(0)), 1, 80))
+    title = text.squeeze(text.opening(F.col("text")))
     item = F.concat(F.lit("<item><title>"), escaped(title), F.lit("</title><link>http://x/"), F.col("doc_id").cast("string"), F.lit("</link></item>"))
     listed = held.select("run", "f", F.struct("n", item.alias("x")).alias("x")).groupBy("run", "f").agg(F.array_sort(F.collect_list("x")).alias("items"))
     closing = F.when((F.col("run") != 1) | (F.col("f") % BROKEN != 0), "</channel></rss>").otherwise("")

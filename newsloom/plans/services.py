@@ -53,7 +53,7 @@ concat_ws('; ', CASE length(title) % 5 WHEN 0 THEN 'first: ConnectionError; firs
 def concurrent_answers(spark, d) -> DataFrame:
     """Two services asked by a window of five calls a task, each row for itself; what each said and failed of, and the answers mended."""
     rows = headlines(spark, d).select("doc_id", F.col("headline").alias("title"), text.clean_markup(F.col("text")).alias("body"), F.lit("tech").alias("category_default"))
-    out, e = enrichment.repaired(providers.asked(rows, SERVICES, PATIENT)), "enriched"
+    out, e = enrichment.repaired(providers.asked(rows, SERVICES, PATIENT), cleaned=True), "enriched"
     return out.select("doc_id", f"{e}.refined_title", f"{e}.summary", f"{e}.category", "answered_by", "calls", "failures")
 
 
@@ -71,7 +71,7 @@ def ingest_and_enrich(spark, d) -> DataFrame:
     fresh = spark.read.parquet(path)
     waiting = enrichment.to_enrich(fresh, fresh.where("ai_processed").select("id"))
     rows = browse.decorated(waiting, pillars, default=3).select("id", F.col("headline").alias("title"), text.clean_markup(F.col("full_body")).alias("body"), F.col("pillar_slug").alias("category_default"))
-    written = enrichment.written_back(fresh, enrichment.repaired(providers.asked(rows, SERVICES, PATIENT, tasks=1)), pillars)
+    written = enrichment.written_back(fresh, enrichment.repaired(providers.asked(rows, SERVICES, PATIENT, tasks=1), cleaned=True), pillars)
     counts = written.groupBy("pillar_id").agg(F.count("*").alias("n_of_pillar"))  # a row for each pillar
     shown = written.select("url", "title_hash", "headline", F.col("summary_60").alias("summary"), "pillar_id", F.array_join("micro_tags", "|").alias("tags"), "ai_processed")
     return shown.join(F.broadcast(counts), "pillar_id")

@@ -72,3 +72,16 @@ def test_classes(spark):
     assert one(spark, lambda a, b: pillar_of(a, b, DEMO), "qq goal", "qq") == 9
     assert one(spark, lambda a, b: pillar_of(a, b, DEMO), None, None) == 1
     assert one(spark, lambda a, b: scope_of(a, b, DEMO), "the", "ing ung") == "local"
+
+
+def test_a_text_is_looked_through_for_what_may_be_in_it_only(spark):
+    """What one removal brings together, a later one still removes; texts without any of it stay."""
+    given = ["READ<i>more at x. b", "a [<b>image 3] b", "(<b></b>AP) - x (AP) - y", "&amp;lt;b> c", "a &amp;amp; b", "no mark at all", "[\n] é • "]
+    assert [one(spark, text.clean_markup, t) for t in given] == ["b", "a [ image 3] b", "( AP) - x y", "c", "a &amp; b", "no mark at all", "é"]
+
+
+def test_opening_is_that_of_the_first_sentence(spark):
+    for given in ("  One. Two", "x" * 200, "x" * 79 + ". y", "x" * 80 + " \n", " " * 3000 + "a b. c", "", "a" * 40 + "! " + "b" * 90):
+        first = one(spark, text.sentences, given)[0][:80]
+        assert one(spark, text.opening, given) == first
+    assert one(spark, text.opening, None) == ""
