@@ -209,3 +209,22 @@ def test_stream_at_an_interval(spark, tmp_path):
     finally:
         running.stop()
     assert [r["duration_sec"] for r in spark.read.parquet(str(tmp_path / "days")).collect()] == [5]
+
+
+def test_scores_and_cleaned_pages_are_worked_out_once(spark):
+    from newsloom.plans import composed, queries
+    from newsloom.sources import feeds
+
+    d = "/root/testdata/sf0.001"
+    frames = {
+        "md5(": feed.scores(queries.candidates(spark, d), queries.prefs(spark, d), F.lit("2024-01-31").cast("timestamp_ntz")),
+        "(?i)read more at": feeds.raw_articles(feeds.named(composed.json_items(spark, d)), composed.A.DEMO, F.lit("2024-01-31").cast("timestamp_ntz"), F.col("source_name")),
+    }
+    for what, df in frames.items():
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(what) == 1, what
+
+
+def test_a_cleaned_body_is_not_cleaned_again(spark):
+    rows = spark.createDataFrame([("t", "one &amp; two", "tech")], "title string, body string, category_default string")
+    rows = rows.withColumn("raw", F.from_json(F.lit(None).cast("string"), enrichment.SCHEMA))
+    assert enrichment.repaired(rows, cleaned=True).first()["enriched"]["full_body"] == "one &amp; two"
