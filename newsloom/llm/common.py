@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -38,15 +39,28 @@ def ship_package(spark: SparkSession) -> None:
     sc._newsloom_shipped = True
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is planned and run in here go as soon as it has run; else they stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut.
+    """df written to the shared checkpoint folder, its lineage cut and the shuffle files that it took removed.
 
     The folder is the one the session names in spark.checkpoint.dir; one of our own is set only where it is unset.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # planned anew, so that no other run of df has its files in use
 
 
 def free_name(base: str, taken: list[str]) -> str:
