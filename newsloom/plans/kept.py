@@ -66,12 +66,12 @@ queries AS (SELECT DISTINCT q AS query FROM (SELECT unnest([array_to_string(ws[1
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY published_at DESC, id DESC) AS rank, id FROM queries JOIN articles ON contains(lower(headline), lower(query)) OR contains(lower(full_body), lower(query))
 QUALIFY rank <= 25""")
 def search_many(spark: SparkSession, d: str) -> DataFrame:
-    """A search for each passage of the benchmark's first three words, its fourth word and its first two characters, by postings."""
+    """A search for each passage of the benchmark's first three words, its fourth word and its first two characters, by postings, from the newest articles on."""
     words = F.split("text", " ")
     asked = F.array(F.array_join(F.slice(words, 1, 3), " "), F.get(words, F.lit(3)), F.substring("text", 1, 2))
     queries = A.table(spark, d, "benchmark").select(F.explode(asked).alias("query")).where("query <> ''").distinct()
     articles = A.articles(spark, d, classified=False).select("id", "headline", "full_body", "published_at")
-    return search_index.search_each(search_index.indexed(articles, shared_folder(spark, "postings")), articles, queries)
+    return search_index.search_newest(articles, queries, shared_folder(spark, "postings"))
 
 
 @query(f"""WITH acts AS (SELECT ts, user_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'save' END AS action, greatest(0, least(60, floor(value)))::BIGINT AS duration_sec FROM events)
