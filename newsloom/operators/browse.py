@@ -47,17 +47,20 @@ def decorated(articles: DataFrame, pillars: DataFrame, default: int = 1) -> Data
 
 
 def notifications(preferences: DataFrame, articles: DataFrame, topics: int = 5, each: int = 2, loose: bool = False) -> DataFrame:
-    """Of each user's heaviest topics the newest articles that have the tag (loose: whose tags as JSON, beyond ASCII escaped, have its text)."""
+    """Of each user's heaviest topics the newest articles that have the tag (loose: whose tags as JSON, beyond ASCII escaped, have its text).
+
+    preferences are read twice and, if loose, once more before the result is: best ones that are stored.
+    """
     user = Window.partitionBy("user_id").orderBy(F.desc("weight"), "topic_name")
     heaviest = preferences.withColumn("n", F.row_number().over(user)).where(F.col("n") <= topics).select("user_id", "topic_name")
     names = preferences.select("topic_name").distinct()
     if loose:
-        # Articles of the same tags have the same text: the newest few of them stand for it.
+        # Articles of the same tags have the same text: the newest few of them stand for it, and go along with it as one row.
         shown = articles.select("id", "headline", "published_at", F.lower(ascii_json(F.col("micro_tags"))).alias("json"))
-        newest_of = shown.withColumn("n", F.row_number().over(Window.partitionBy("json").orderBy(*newest()))).where(F.col("n") <= each).drop("n")
+        ranked = shown.withColumn("n", F.row_number().over(Window.partitionBy("json").orderBy(*newest()))).where(F.col("n") <= each)
+        newest_of = ranked.groupBy("json").agg(F.collect_list(F.struct("id", "headline", "published_at")).alias("newest"))
         lowered = names.withColumn("lowered", F.lower("topic_name"))
-        hits = found_in(newest_of.select("json").distinct(), "json", lowered, "lowered").join(lowered, "lowered")
-        matched = hits.join(newest_of, "json").select("topic_name", "id", "headline", "published_at")
+        matched = found_in(newest_of, "json", lowered, "lowered").join(lowered, "lowered").select("topic_name", F.inline("newest"))
     else:
         matched = articles.select("id", "headline", "published_at", F.explode(F.array_distinct("micro_tags")).alias("topic_name"))
     best = matched.withColumn("n", F.row_number().over(Window.partitionBy("topic_name").orderBy(*newest()))).where(F.col("n") <= each)

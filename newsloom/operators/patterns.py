@@ -32,10 +32,10 @@ def found_in(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFr
     in all columns. How the join runs is Spark's choice by the size of the words.
     """
     anchors = anchored(words, word)
-    sizes = sorted(r["size"] for r in anchors.select("size").distinct().collect())  # GRAM at most
+    known = anchors.agg(F.array_sort(F.collect_set("size")).alias("sizes"), F.max(F.char_length("word")).alias("longest")).first()  # sizes: GRAM at most
+    sizes, longest = known["sizes"], known["longest"]
     if not sizes:
         return texts.withColumn(word, F.lit(None).cast("string")).limit(0)
-    longest = anchors.agg(F.max(F.char_length("word"))).first()[0]
     start = F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("__text"), F.lit(1)), F.lit(PIECE)))
     whole = texts.withColumn("__text", F.col(text))
     pieces = whole.where(F.col("__text").isNotNull()).withColumn("__at", start).withColumn("__piece", F.substring("__text", F.col("__at"), F.lit(PIECE + longest - 1))).drop("__text", "__at")
