@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,6 +15,7 @@ from ..operators.versioned import VersionedTable
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WEIGHTS = "user_id long, topic_name string, pillar_id int, weight double"
+WEIGHT = Row("user_id", "topic_name", "pillar_id", "weight")
 
 
 def preference_steps(actions: DataFrame, articles: DataFrame) -> DataFrame:
@@ -33,54 +33,61 @@ class _Weights(StatefulProcessor):
 
     What is handed on after each batch are the weights with all steps so far, in the order of (ts, event_id). Once the
     watermark has passed a step nothing can come before it any more: it goes into the weights, so what waits is bounded by the
-    actions within the lateness.
+    actions within the lateness. Each state is one value with a list for each part, as a user's are only read and written whole.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.weights = handle.getListState("weights", "topic string, pillar_id int, weight int")
-        self.waiting = handle.getListState("waiting", "at long, event_id long, d int, pillar_id int, topics array<string>")
+        self.weights = handle.getValueState("weights", "topic array<string>, pillar_id array<int>, weight array<int>")
+        self.waiting = handle.getValueState("waiting", "step array<array<long>>, topics array<array<string>>")  # step: at, event_id, d, pillar_id
 
     @staticmethod
     def _moved(weights: dict, steps: list[tuple]) -> None:
-        for _, _, d, pillar, topics in steps:
+        for (_, _, d, pillar), topics in steps:
             for topic in topics:
                 first, weight = weights.get(topic, (pillar, START))
                 weights[topic] = (first, max(LOWEST, min(HIGHEST, weight + d)))
 
     def _known(self) -> dict:
-        return {topic: (pillar, weight) for topic, pillar, weight in self.weights.get()} if self.weights.exists() else {}
+        stored = self.weights.get()
+        return {topic: (pillar, weight) for topic, pillar, weight in zip(*stored)} if stored else {}
 
     def _steps(self) -> list[tuple]:
-        return sorted((int(a), int(e), int(d), int(p), list(t)) for a, e, d, p, t in self.waiting.get()) if self.waiting.exists() else []
+        """Those that wait, in their order."""
+        stored = self.waiting.get()
+        return list(zip(*stored)) if stored else []
+
+    @staticmethod
+    def _in_lists(rows: list[tuple]) -> tuple:
+        return tuple(map(list, zip(*rows)))
 
     def _wait_for(self, steps: list[tuple]) -> None:
-        self.handle.registerTimer(-(-steps[0][0] // 1000))
+        self.handle.registerTimer(-(-steps[0][0][0] // 1000))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         before = self._steps()
-        steps = {s[:2]: s for s in before}  # an event that comes twice counts once
-        for frame in rows:
-            for a, e, d, p, t in zip(frame["at"], frame["event_id"], frame["d"], frame["pillar_id"], frame["topics"]):
-                steps[int(a), int(e)] = (int(a), int(e), int(d), int(p), list(t))
+        steps = {(s[0], s[1]): (s, topics) for s, topics in before}  # an event that comes twice counts once
+        for _, _, s, topics in rows:
+            steps[s[0], s[1]] = (s, topics)
         now = [steps[k] for k in sorted(steps)]
-        if not before or now[0] != before[0]:
+        if not before or now[0][0][:2] != before[0][0][:2]:
             self._wait_for(now)
-        self.waiting.put(now)
+        self.waiting.update(self._in_lists(now))
         weights = self._known()
         self._moved(weights, now)
-        yield pd.DataFrame([(key[0], t, p, w / 10) for t, (p, w) in weights.items()], columns=["user_id", "topic_name", "pillar_id", "weight"])
+        for topic, (pillar, weight) in weights.items():
+            yield WEIGHT(key[0], topic, pillar, weight / 10)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         steps = self._steps()
-        settled, rest = [s for s in steps if s[0] <= passed], [s for s in steps if s[0] > passed]
+        settled, rest = [s for s in steps if s[0][0] <= passed], [s for s in steps if s[0][0] > passed]
         if settled:
             weights = self._known()
             self._moved(weights, settled)
-            self.weights.put([(t, p, w) for t, (p, w) in weights.items()])
+            self.weights.update(self._in_lists([(t, p, w) for t, (p, w) in weights.items()]))
             if rest:
-                self.waiting.put(rest)
+                self.waiting.update(self._in_lists(rest))
             else:
                 self.waiting.clear()
         if rest:
@@ -97,8 +104,9 @@ def learned_weights(steps: DataFrame, lateness: str = "2 days") -> DataFrame:
     Equal to the weights of all actions in their order, however they come, as long as none is later than the lateness: those are
     dropped. Actions without a time are dropped too. Repeated events count once while they wait.
     """
-    timed = steps.where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    return timed.groupBy("user_id").transformWithStateInPandas(_Weights(), WEIGHTS, "Update", "EventTime")
+    step = F.array(*(F.col(c).cast("long") for c in ("at", "event_id", "d", "pillar_id")))  # one list: each field of a row costs its own time in Python
+    known = steps.where("ts is not null").select("user_id", F.col("ts").cast("timestamp").alias("ts"), step.alias("step"), "topics")
+    return known.withWatermark("ts", lateness).groupBy("user_id").transformWithState(_Weights(), WEIGHTS, "Update", "EventTime")
 
 
 def with_rocks(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
